@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, schema_of, slices, texts, vocabulary
-from .encode import kept_for_worker
+from .encode import byte_letters, kept_for_worker
 
 ENCODED = "doc_id long, ids array<int>"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -32,19 +32,6 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 CACHE_ENTRIES = 800_000
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Visible Latin-1 characters stand for themselves; the other bytes take the letters from 256 on.
-    """
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    letters = {b: chr(b) for b in plain}
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(256 + len(letters) - len(plain))
-    return [letters[b] for b in range(256)]
-
-
 class PrefixEncoder:
     def __init__(self, spec: str, cache_entries: int = CACHE_ENTRIES):
         import ahocorasick

@@ -37,7 +37,6 @@ RANK_BLOCK = 64
 SEGMENT_TOKENS = 1 << 20
 
 SEGMENTS = "part int, seg int, n_tokens long, doc_ids array<long>, doc_ends array<long>, data binary"
-RANGES = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _dtype(width: int) -> str:
@@ -174,33 +173,40 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocab_path: str |
 
 
 def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seg", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     for b in slices(batches):
-        for docs, ends, data, base in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        for part, seg, docs, ends, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             reader, ends = DacReader(data), np.asarray(ends)
             starts = np.concatenate([[0], ends[:-1]])
             ids = memoryview(reader.read(0, len(reader)).astype("<u4").tobytes())
             crcs = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((docs, starts + base, ends - starts, crcs), out, strict=True)], schema=out)
+            n = len(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((docs, [part] * n, [seg] * n, starts, ends - starts, crcs), out, strict=True)], schema=out)
 
 
 def segments(spark, path: str) -> DataFrame:
-    """The segments of a token file and ``base``, the ids before each.
+    return spark.read.schema(schema_of(SEGMENTS)).parquet(path)
+
+
+def segment_bases(spark, path: str) -> DataFrame:
+    """``part, seg, base``: the ids before each segment.
 
     Sums run within a part, and over one row a part: neither grows with the tokens of the corpus.
     """
-    table = spark.read.schema(schema_of(SEGMENTS)).parquet(path)
-    heads = table.select("part", "seg", "n_tokens")
+    heads = segments(spark, path).select("part", "seg", "n_tokens")
     own = heads.withColumn("own", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_tokens")).drop("n_tokens")
     parts = heads.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
-    bases = own.join(parts, "part").select("part", "seg", (F.col("own") + F.col("earlier")).alias("base"))
-    return table.join(bases, ["part", "seg"])
+    return own.join(parts, "part").select("part", "seg", (F.col("own") + F.col("earlier")).alias("base"))
 
 
 def read_ranges(spark, path: str) -> DataFrame:
-    """Each document's place in the token file, and the checksum of the ids read there."""
-    return segments(spark, path).select("doc_ids", "doc_ends", "data", "base").mapInArrow(_range_batches, schema_of(RANGES))
+    """Each document's place in the token file, and the checksum of the ids read there.
+
+    Only places and checksums meet the bases of their segments; the codes stay where they are read.
+    """
+    places = segments(spark, path).select("part", "seg", "doc_ids", "doc_ends", "data").mapInArrow(_range_batches, schema_of("doc_id long, part int, seg int, at long, n_tokens long, ids_crc32 long"))
+    return places.join(segment_bases(spark, path), ["part", "seg"]).select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_ranges(docs: DataFrame, name: str = "tokens", **options) -> DataFrame:

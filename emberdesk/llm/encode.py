@@ -29,6 +29,33 @@ def kept_for_worker(kind, spec: str):
     return _KEPT[key]
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves; the other bytes take the letters from 256 on.
+    """
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letters = {b: chr(b) for b in plain}
+    for b in range(256):
+        if b not in letters:
+            letters[b] = chr(256 + len(letters) - len(plain))
+    return [letters[b] for b in range(256)]
+
+
+class _Segments(dict):
+    """Ids by segment; a segment met for the first time is noted and stands as None until it is encoded."""
+
+    def __init__(self):
+        self.todo: list[str] = []
+        self.beside: dict[str, bytes | bool] = {}  # of the text at hand, once the cache is full
+
+    def __missing__(self, piece: str):
+        found = self.beside.get(piece)
+        if found is None:
+            self.todo.append(piece)
+        return found
+
+
 class CachedEncoder:
     def __init__(self, spec: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,38 +66,54 @@ class CachedEncoder:
         self.tok.no_padding()
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.tokenize, self.cut = self.tok.model.tokenize, self.tok.pre_tokenizer.pre_tokenize_str
+        self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
         self.limit = cache_entries
-        self.inner: dict[str, bytes | bool] = {}  # follows a space
-        self.first: dict[str, bytes | bool] = {}  # starts a text
+        self.inner = _Segments()  # follows a space
+        self.first = _Segments()  # starts a text
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, cache: dict, pieces: list[str], lead: str) -> dict[str, bytes | bool]:
-        todo, new = [], {}
-        for p in pieces:
+    def _words(self, lead: str, piece: str) -> list[str]:
+        """The words of a segment in the vocabulary's letters, as the library's pre-tokenizer cuts them.
+
+        A run of letters is one word with the space before it, and a mark behind it another.
+        """
+        if piece.isalpha():
+            return [(lead + piece).encode().decode("latin-1").translate(self.letters)]
+        if piece[-1] in ".,\n" and piece[:-1].isalpha():
+            return [(lead + piece[:-1]).encode().decode("latin-1").translate(self.letters), piece[-1].translate(self.letters)]
+        return [word for word, _ in self.cut(lead + piece)]
+
+    def _learn(self, cache: _Segments, lead: str) -> None:
+        new: dict[str, bytes | bool] = {}
+        for p in cache.todo:
             if not p or p[0].isspace() or (self.special is not None and self.special.search(p)):
                 new[p] = False
-            else:
-                todo.append(p)
-        for p, e in zip(todo, self.tok.encode_batch_fast([lead + p for p in todo], add_special_tokens=False), strict=True):
-            new[p] = array("I", e.ids).tobytes()
+        for p in dict.fromkeys(cache.todo):
+            if p not in new:
+                new[p] = array("I", [t.id for word in self._words(lead, p) for t in self.tokenize(word)]).tobytes()
+        cache.todo.clear()
         if len(cache) < self.limit:
             cache.update(new)
-        return new
+        else:
+            cache.beside = new
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as unsigned 32-bit numbers in the machine's order (little-endian)."""
         if not text:
             return b""
         head, *rest = text.split(" ")
-        start = self.first.get(head)
+        start = self.first[head]
         if start is None:
-            start = self._learn(self.first, [head], "")[head]
-        got = list(map(self.inner.get, rest))
-        if None in got:
-            new = self._learn(self.inner, list({p for p, g in zip(rest, got, strict=True) if g is None}), " ")
-            got = [new[p] if g is None else g for p, g in zip(rest, got, strict=True)]
-        if start is False or False in got:
+            self._learn(self.first, "")
+            start = self.first[head]
+        get = self.inner.__getitem__
+        got = list(map(get, rest))
+        if self.inner.todo:
+            self._learn(self.inner, " ")
+            got = list(map(get, rest))
+        if not start or not all(got):
             return self._whole(text)
         return start + b"".join(got)
