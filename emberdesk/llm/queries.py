@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, dac, neardup, packing, privacy, quality, secrets, suffixes
+from . import anchors, ann, bpe, dac, neardup, packing, privacy, quality, secrets, suffixes
 from .common import documents
 
 
@@ -34,6 +34,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.find(documents(spark, sf_dir))
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(documents(spark, sf_dir), threshold=0.8)
 
@@ -47,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scan, op5_substring_dedup, op6_personal_data, op8_prob_minhash, op9_bpe_round_trip, op10_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_quality_rules, op4_secret_scan, op5_substring_dedup, op6_personal_data, op7_nearest_vectors, op8_prob_minhash, op9_bpe_round_trip, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
