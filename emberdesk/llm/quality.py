@@ -90,12 +90,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     counted = placed.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
 
     lost = F.aggregate("failed", F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(WORD)))
-    judged = counted.select(
-        *held, "lines", "n_words", "word_chars", "n_symbols", "n_repeat_words",
+    counts = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_repeat_words",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         lost.alias("n_removed_words"), F.size("failed").cast("long").alias("n_removed_lines"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
     )
+    # A generator of one row: a filter on the counts stays above it, so that it isn't computed from the text again.
+    judged = counted.select(*held, "lines", F.explode(F.array(counts)).alias("q")).select(*held, "lines", "q.*")
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= MIN_KEPT_SHARE * F.col("n_words"))
     cleaned = F.when(F.col("n_removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~failing_line(x)), "\n"))
     return judged.select(
