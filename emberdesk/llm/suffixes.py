@@ -30,12 +30,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def words_at(data: np.ndarray, dtype: str = ">u8") -> np.ndarray:
     """The eight bytes at each place of ``data`` as one number; ``data`` ends with at least seven spare bytes."""
-    return np.ndarray((len(data) - 7,), dtype=dtype, buffer=data, strides=(1,))
+    return np.ndarray((len(data) - 7,), dtype=dtype, buffer=data, strides=(1,)).astype(np.uint64)
 
 
 def _skip_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the ``SKIP`` bytes at each place."""
-    h = mixed(words_at(data, "<u8").astype(np.uint64) * MIX[0])
+    h = mixed(words_at(data, "<u8") * MIX[0])
     size = 8
     while size < SKIP:
         h = mixed(h[: len(h) - size] * MIX[1] + h[size:])
@@ -69,20 +69,21 @@ def sort_smaller(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         own = order[where]
         far = skip[own + known]
         agrees = (np.minimum.reduceat(far, starts) == np.maximum.reduceat(far, starts))[group]
-        known[agrees] += SKIP
         rest = np.flatnonzero(~agrees)
         if len(rest):
-            sub = eight[own[rest] + known[rest]].astype(np.uint64)
-            g = group[rest]
-            turn = np.lexsort((sub, g))
-            own[rest] = own[rest][turn]
-            sub, g = sub[turn], g[turn]
-            order[where] = own
-            split = np.zeros(len(rest), dtype=bool)
-            split[1:] = (sub[1:] != sub[:-1]) & (g[1:] == g[:-1])
-            head = head.copy()
-            head[rest] |= split
+            near, g = eight[own[rest] + known[rest]], group[rest]
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            differs = np.repeat(np.minimum.reduceat(near, first) != np.maximum.reduceat(near, first), np.diff(np.append(first, len(g))))
             known[rest] += 8
+            split = rest[differs]
+            if len(split):
+                sub, g = near[differs], g[differs]
+                turn = np.lexsort((sub, g))
+                own[split] = own[split][turn]
+                sub, g = sub[turn], g[turn]
+                order[where[split]] = own[split]
+                head[split[1:]] |= (sub[1:] != sub[:-1]) & (g[1:] == g[:-1])
+        known[agrees] += SKIP
 
 
 def suffix_array(data: np.ndarray, size: int, depth: int) -> np.ndarray:
@@ -121,21 +122,27 @@ def suffix_array(data: np.ndarray, size: int, depth: int) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that each suffix of ``order`` shares with the next one, counted up to ``depth``."""
-    eight = words_at(data)
+    eight, skip = words_at(data), _skip_hashes(data)
     a, b = order[:-1], order[1:]
-    lcp, going = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
-    for d in range(0, depth, 8):
-        x = eight[a[going] + d] ^ eight[b[going] + d]
+    lcp = np.zeros(len(a), dtype=np.int64)
+    going = np.arange(len(a))
+    for d in range(0, depth - SKIP + 1, SKIP):
+        going = going[skip[a[going] + d] == skip[b[going] + d]]
+        lcp[going] += SKIP
+    going = np.arange(len(a))
+    for _ in range(0, SKIP, 8):
+        x = eight[a[going] + lcp[going]] ^ eight[b[going] + lcp[going]]
         same = x == 0
         lcp[going[same]] += 8
         differ = np.flatnonzero(~same)
         if len(differ):
-            v = x[differ].astype(np.uint64)
+            v = x[differ]
             lead = np.zeros(len(v), dtype=np.int64)
             for k in range(1, 8):
                 lead += v < np.uint64(1) << np.uint64(64 - 8 * k)
             lcp[going[differ]] += lead
         going = going[same]
+        going = going[lcp[going] < depth]
         if not len(going):
             break
     return np.minimum(lcp, depth)
@@ -166,7 +173,7 @@ def _byte_units(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _byte_grams(units: np.ndarray) -> np.ndarray:
     """Hashes of ``GRAM`` bytes at each place; those that reach past the end are never in a whole window."""
     data = np.concatenate([units, np.zeros(GRAM, dtype=np.uint8)])
-    eight = words_at(data, "<u8").astype(np.uint64)
+    eight = words_at(data, "<u8")
     n = len(units)
     return mixed(mixed(eight[:n] * MIX[0]) + eight[8 : n + 8] * MIX[1])[: max(0, n - GRAM + 1)]
 
@@ -206,13 +213,13 @@ def _kept_batches(window: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
     if window < GRAM:
         raise ValueError(f"a window has at least {GRAM} bytes")
-    rows = texts(docs, id_col, text_col)
+    keyed = keyed_rows(texts(docs, id_col, text_col))
 
     def compare(contents: list[bytes], firsts: np.ndarray) -> list[list[int]]:
         return [marks_of(f) for f in repeated_windows(contents, window)]
 
-    spans = repeats(rows, byte_units(window), compare, "suffixes", first_stays=False)
-    return keyed_rows(rows).join(spans, ["d", "th"], "left").select("d", "text", "spans")
+    spans = repeats(keyed, byte_units(window), compare, "suffixes", first_stays=False)
+    return keyed.join(spans, ["d", "th"], "left").select("d", "text", "spans")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

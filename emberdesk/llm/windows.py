@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, schema_of, slices, stored
@@ -37,7 +37,7 @@ NULL_ID = -(1 << 63)
 
 #: Bytes of documents in one numpy pass, and of contents in one comparison.
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -120,8 +120,10 @@ def _stretch_batches(how: Units):
 
 
 def keyed_rows(rows: DataFrame) -> DataFrame:
-    """``d, th, text``: a row is known by its id and a hash of its text, so rows with equal ids stay apart."""
-    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
+    """``d, th, text``: a row is known by its id, and where ids repeat, by a hash of its text as well."""
+    own = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "text")
+    repeated = own.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return own.select("d", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("th"), "text")
 
 
 def _cut_batches(how: Units):
@@ -173,28 +175,29 @@ def _mark_batches(compare):
     return run
 
 
-def repeats(rows: DataFrame, how: Units, compare, name: str, first_stays: bool) -> DataFrame:
-    """``d, th, spans`` for rows with windows to remove; spans are ``start, windows`` pairs in order.
+def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool) -> DataFrame:
+    """``d, th, spans`` for the keyed rows with windows to remove; spans are ``start, windows`` pairs in order.
 
     ``compare(contents, firsts)`` gives, for contents of some whole keys and the first place of each, the
     runs of windows (``offset, count, ...``) that also start elsewhere among them, or with ``first_stays``
     those that start earlier.
     """
-    keyed = keyed_rows(rows)
     found = stored(keyed.mapInArrow(_stretch_batches(how), schema_of(STRETCHES)), f"{name}-stretches")
     contents = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n_occ"), F.min(F.struct("d", "start", "th")).alias("first"), F.first("n").alias("n"))
-    several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("n_contents")).where("n_contents > 1")
-    live = stored(contents.join(several, "key", "left").where("n_contents > 1 or n_occ > 1"), f"{name}-live")
+    counted = contents.withColumn("n_contents", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    live = stored(counted.where("n_contents > 1 or n_occ > 1"), f"{name}-live")
 
     wanted = live.where("n_contents > 1").groupBy(F.col("first.d").alias("d"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "key", "content", "n_occ")).alias("wanted"))
     cut = keyed.join(wanted, ["d", "th"]).select("d", "th", "text", "wanted").mapInArrow(_cut_batches(how), schema_of(CONTENTS))
     marks = cut.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_mark_batches(compare), schema_of(MARKS))
-    judged = live.join(marks, ["key", "content"], "left").where("n_occ > 1 or marks is not null").select("key", "content", "n_occ", "first", "marks")
+    judged = live.join(marks, ["key", "content"], "left").where("n_occ > 1 or marks is not null").select("key", "content", "n_occ", "first", "n", "marks")
+    # Stored, so that the join below stands between two exchanges and a frequent content can be split.
+    judged = stored(judged, f"{name}-judged")
     whole = F.col("n_occ") > 1
     if first_stays:
         whole = whole & ~((F.col("d") == F.col("first.d")) & (F.col("start") == F.col("first.start")) & (F.col("th") == F.col("first.th")))
     runs = F.when(whole, F.array(F.lit(0), F.col("n"))).otherwise(F.coalesce("marks", F.array().cast("array<int>")))
-    places = found.join(judged, ["key", "content"]).select("d", "th", "start", runs.alias("runs")).where(F.size("runs") > 0)
+    places = found.drop("n").join(judged, ["key", "content"]).select("d", "th", "start", runs.alias("runs")).where(F.size("runs") > 0)
     return places.groupBy("d", "th").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
 
 
