@@ -162,14 +162,14 @@ def _result_batches(window: int):
     return run
 
 
-def _spans(rows: DataFrame, window: int) -> DataFrame:
+def _spans(keyed: DataFrame, window: int) -> DataFrame:
     if window < 2 * GRAM:
         raise ValueError(f"a window has at least {2 * GRAM} words")
 
     def compare(contents: list[bytes], firsts: np.ndarray) -> list[list[int]]:
         return [marks_of(f) for f in earlier_windows(contents, firsts, window)]
 
-    return repeats(rows, word_units(window), compare, "anchors", first_stays=True)
+    return repeats(keyed, word_units(window), compare, "anchors", first_stays=True)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,8 +180,8 @@ def dedup(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", t
     are alike in id and text all count as the first; an empty table gives no rows. Only the two columns
     named are read.
     """
-    rows = texts(docs, id_col, text_col)
-    return keyed_rows(rows).join(_spans(rows, window), ["d", "th"], "left").select("d", "text", "spans").mapInArrow(_result_batches(window), schema_of(RESULT))
+    keyed = keyed_rows(texts(docs, id_col, text_col))
+    return keyed.join(_spans(keyed, window), ["d", "th"], "left").select("d", "text", "spans").mapInArrow(_result_batches(window), schema_of(RESULT))
 
 
 def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,11 +189,15 @@ def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", t
 
     Columns and their order stay; a text that loses nothing stays as it is, null included.
     """
-    spans = _spans(texts(docs, id_col, text_col), window)
-    key, row = "__emberdesk_d", "__emberdesk_th"
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(row, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(spans.select(F.col("d").alias(key), F.col("th").alias(row), F.col("spans").alias("__emberdesk_spans")), [key, row], "left").select(*[F.col(c) for c in docs.columns], "__emberdesk_spans")
-    place, last = docs.columns.index(text_col), len(docs.columns)
+    repeated = "__emberdesk_spans"
+    id_, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit(""))
+    keyed = keyed_rows(texts(docs, id_col, text_col))
+    apart = keyed.select("th").where("th != 0").limit(1).count() > 0  # ids repeat, so texts tell rows apart
+    spans = _spans(keyed, window).select(F.col("d").alias("__emberdesk_d"), F.col("th").alias("__emberdesk_th"), F.col("spans").alias(repeated))
+    held = docs.withColumn("__emberdesk_d", id_).withColumn("__emberdesk_th", F.xxhash64(text) if apart else F.lit(0).cast("long"))
+    joined = held.join(spans, ["__emberdesk_d", "__emberdesk_th"], "left").select(*[F.col(c) for c in docs.columns], repeated)
+    names = docs.columns
+    place, last = names.index(text_col), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE_BYTES):
@@ -210,6 +214,6 @@ def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", t
                     text = np.frombuffer(data, dtype=np.uint8)[keep.astype(bool)].tobytes().decode().lstrip("\t\n\x0b\x0c\r ")
                 new.append(text)
             columns = [pa.array(new, type=b.schema.field(i).type) if i == place else b.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
