@@ -9,9 +9,11 @@
 * Banding: sets that agree on all registers of a band share a bucket. A bucket links its members to
   their leader, the least id, so it makes as many pairs as it has members.
 * Verification: the exact Jaccard similarity of the distinct shingles of each pair.
-* A member that isn't linked to its leader's class may still be near to another member. Jaccard distance
-  is a metric, so of these pairs only those remain whose distances to the leader differ by no more
-  than the threshold allows; they are verified too. No bucket, partner or candidate is capped.
+* A member that isn't linked to its leader's class may still be near to another member. Of the sets in
+  buckets with several classes, those are left out that can't be near to any other: shingles that no
+  other of these sets has can't be shared, and too few remain. The rest are compared all with all inside
+  groups that buckets connect, block by block, as products of membership matrices; of each block's links only as
+  many come out as join its sets. No bucket, partner or candidate is capped.
 * Classes: connected components of all verified links, by alternating star contractions in the shared
   folder; nothing but a count reaches the driver.
 """
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,6 +149,23 @@ def _similarity_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield batch_of(out, [a, b, [jaccard(cut[place[x]], cut[place[y]]) for x, y in zip(a, b, strict=True)]])
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = pa.schema([("sid", pa.int64()), ("shingle", pa.int64())])
+    for b in slices(batches, SLICE_BYTES):
+        value, _, ends = shingle_sets([t.encode() for t in b.column(1).to_pylist()])
+        sizes = np.diff(np.concatenate([[0], ends]))
+        yield batch_of(out, [np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes), value.view(np.int64)])
+
+
+def shareable(bodies: DataFrame, sids: DataFrame) -> DataFrame:
+    """``sid, n, m``: the shingles of each set, and those that at least one other of the sets has too."""
+    cut = bodies.join(sids, "sid").select("sid", "text").mapInArrow(_shingle_batches, schema_of("sid long, shingle long"))
+    by_shingle = cut.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid"))
+    own = by_shingle.where("df = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
+    sizes = cut.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for the nodes of ``links`` (``a, b``), root the least node of each component.
 
@@ -176,12 +196,63 @@ def _verified(pairs: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
     return stored(both.mapInArrow(_similarity_batches, schema_of("a long, b long, similarity double")), name)
 
 
+BLOCK_SHINGLES, BLOCK_SETS = 600_000, 1_500
+COLUMNS = 4096
+
+
+def _block_links(threshold: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        value, _, ends = shingle_sets([t.encode() for t in part["text"]])
+        sid, sizes = part["sid"].to_numpy(), np.diff(np.concatenate([[0], ends]))
+        row = np.repeat(np.arange(len(sid)), sizes)
+        _, column, df = np.unique(value, return_inverse=True, return_counts=True)
+        shared = df[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(sid), len(sid)), dtype=np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+            m = np.zeros((len(sid), COLUMNS), dtype=np.float32)
+            m[row[lo:hi], column[lo:hi] - start] = 1
+            common += m @ m.T
+        exact = common.astype(np.float64)
+        near = exact / np.maximum(sizes[:, None] + sizes[None, :] - exact, 1) >= threshold
+        np.fill_diagonal(near, True)
+        label, last = np.arange(len(sid)), None
+        while last is None or (label != last).any():
+            last = label
+            label = np.where(near, label[None, :], len(sid)).min(axis=1)
+            label = label[label]
+        x, y = sid[label != np.arange(len(sid))], sid[label[label != np.arange(len(sid))]]
+        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return run
+
+
+def _blockwise(pool: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: within the groups that the buckets of ``pool`` connect, each set with one that all links join it to.
+
+    A group is cut into blocks of bounded size, and each set goes to every pair of blocks with its own;
+    every link lies in one of these, which returns at most one row for each of its sets.
+    """
+    least = pool.groupBy("band", "bucket").agg(F.min("sid").alias("b"))
+    ties = pool.join(least, ["band", "bucket"]).where("sid != b").select(F.col("sid").alias("a"), "b").distinct()
+    grouped = components(ties, "near-groups").withColumnRenamed("node", "sid").join(pool.select("sid", "n").distinct(), "sid")
+    sizes = grouped.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    dealt = grouped.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid")
+    cells = dealt.join(bodies, "sid").select("root", "i", "j", "sid", "text")
+    return stored(cells.groupBy("root", "i", "j").applyInPandas(_block_links(threshold), "a long, b long").distinct(), "near-more")
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
 def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """``d, th, class_d, class_th, n_links`` for every row."""
+    """``d, th, class_d, class_th`` for every row."""
     rows = _keyed(docs, id_col, text_col)
     known = stored(rows.mapInArrow(_signed_batches(REGISTERS, ROWS), schema_of(SIGNED)), "near-rows")
     # One row of each set, the least, stands for it.
@@ -197,33 +268,28 @@ def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
     links = scored.where(F.col("similarity") >= threshold).select("a", "b")
     roots = components(links, "near-first")
 
-    # Buckets with several classes: members outside the largest one meet the members that the metric leaves.
+    # Buckets with several classes: their sets are compared all with all, in blocks.
     own = shared.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     own = stored(own, "near-own")
     parts = own.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed_buckets = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("m", "root")).alias("home")).where("roots > 1").select("band", "bucket", F.col("home.root").alias("home"))
-    to_leader = scored.select(F.col("a").alias("sid"), F.col("b").alias("leader"), (1 - F.col("similarity")).alias("distance"))
-    placed = own.join(mixed_buckets, ["band", "bucket"]).join(to_leader, ["sid", "leader"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-    placed = stored(placed, "near-placed")
-    strays = placed.where("root != home").select("band", "bucket", F.col("sid").alias("a"), F.col("distance").alias("da"), F.col("root").alias("ra"))
-    others = placed.where("sid != leader").select("band", "bucket", F.col("sid").alias("b"), F.col("distance").alias("db"), F.col("root").alias("rb"))
-    near = (F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= 1 - threshold + 1e-9)
-    more = strays.join(others, ["band", "bucket"]).where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    found = _verified(more, bodies, "near-more").where(F.col("similarity") >= threshold).select("a", "b")
+    mixed_buckets = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "bucket")
+    placed = stored(own.join(mixed_buckets, ["band", "bucket"]), "near-placed")
+    enough = shareable(bodies, placed.select("sid").distinct()).where(F.col("m") >= threshold * F.col("n") - 1e-9)
+    pool = stored(placed.join(enough.select("sid", "n"), "sid").select("band", "bucket", "sid", "n"), "near-pool")
+    found = _blockwise(pool, bodies, threshold)
     links = links.union(found)
     final = components(links, "near-final")
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
-    named = sets.drop("buckets").join(final.withColumnRenamed("node", "sid"), "sid", "left").join(ends, "sid", "left").select("s1", "s2", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "d", "th")
+    named = sets.drop("buckets").join(final.withColumnRenamed("node", "sid"), "sid", "left").select("s1", "s2", F.coalesce("root", "sid").alias("root"), "d", "th")
     least = named.groupBy("root").agg(F.min(F.struct("d", "th")).alias("head"))
-    by_set = named.join(least, "root").select("s1", "s2", F.col("head.d").alias("class_d"), F.col("head.th").alias("class_th"), "n_links")
-    result = known.where("n > 0").join(by_set, ["s1", "s2"]).select("d", "th", "class_d", "class_th", F.col("n_links").cast("long").alias("n_links"))
-    alone = known.where("n = 0").select("d", "th", F.col("d").alias("class_d"), F.col("th").alias("class_th"), F.lit(0).cast("long").alias("n_links"))
+    by_set = named.join(least, "root").select("s1", "s2", F.col("head.d").alias("class_d"), F.col("head.th").alias("class_th"))
+    result = known.where("n > 0").join(by_set, ["s1", "s2"]).select("d", "th", "class_d", "class_th")
+    alone = known.where("n = 0").select("d", "th", F.col("d").alias("class_d"), F.col("th").alias("class_th"))
     return result.union(alone)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row: the least id of its class, and its set's verified links.
+    """``doc_id, class_id`` for every row: the least id of its class.
 
     Null or empty texts have no shingles: each is a class of its own, of its own id. Null ids stay null
     and count as least within a class. Equal texts are always one class. Rows of one id are one
@@ -231,7 +297,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     Only the two columns named are read.
     """
     found = _classified(docs, threshold, id_col, text_col)
-    return found.select(F.nullif("d", F.lit(NULL_ID)).alias("doc_id"), F.nullif("class_d", F.lit(NULL_ID)).alias("class_id"), "n_links")
+    return found.select(F.nullif("d", F.lit(NULL_ID)).alias("doc_id"), F.nullif("class_d", F.lit(NULL_ID)).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
