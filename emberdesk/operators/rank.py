@@ -65,7 +65,8 @@ def score_posts(posts: DataFrame, authors: DataFrame, commands: DataFrame, now:
     return S.scored(filled.withColumn("age_hours", age))
 
 
-ORDER = (F.desc("score_r"), F.desc("created_at"), F.asc("uri"))
+def order() -> tuple:
+    return F.desc("score_r"), F.desc("created_at"), F.asc("uri")
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def composed(scored: DataFrame, size: int = dims.PAGE_SIZE * dims.BUFFER_PAGES,
     """
     base = ranked(scored)
     while True:
-        best = base.orderBy(*ORDER).limit(block).select(F.struct((-F.col("score_r")).alias("s"), F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)").alias("t"), F.col("uri"), "author_did", F.coalesce("root_uri", "uri").alias("root"), F.coalesce("external_uri", F.lit("")).alias("link")).alias("x"))
+        best = base.orderBy(*order()).limit(block).select(F.struct((-F.col("score_r")).alias("s"), F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)").alias("t"), F.col("uri"), "author_did", F.coalesce("root_uri", "uri").alias("root"), F.coalesce("external_uri", F.lit("")).alias("link")).alias("x"))
         all_in = best.agg(F.array_sort(F.collect_list("x")).alias("xs"))
         empty = F.slice("xs", 1, 0)
 

@@ -123,7 +123,7 @@ def score_posts(spark, sf_dir):
 
 @query("SELECT uri, score_r AS score, rn AS rank FROM ordered WHERE rn <= 30")
 def top_ranked(spark, sf_dir):
-    best = rank.ranked(Feed(spark, sf_dir).scored()).orderBy(*rank.ORDER).limit(30)
+    best = rank.ranked(Feed(spark, sf_dir).scored()).orderBy(*rank.order()).limit(30)
     return best.agg(F.array_sort(F.collect_list(F.struct((-F.col("score_r")).alias("s"), F.expr("-" + MICROS).alias("t"), "uri"))).alias("x")).select(F.posexplode("x").alias("p", "x")).select(F.col("x.uri").alias("uri"), (-F.col("x.s")).alias("score"), (F.col("p") + 1).cast("long").alias("rank"))
 
 
