@@ -15,7 +15,10 @@ the number of its occurrences.
 * marks: for contested contents, the runs of windows that the comparing method found;
 * spans: for each document, the runs of windows to remove.
 
-Only contents of one key are compared together, each once.
+Only contents of one key are compared together, each once. A key with more than ``HOT_CONTENTS`` of them
+is split: all windows of a stretch hold its least gram, and reach at least half of what is left of a
+window to the left or to the right of it. The windows of each side go to a group named by those
+units as well, and so on, deeper for more contents, until at last a group holds one window's contents.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ NULL_ID = -(1 << 63)
 #: Bytes of documents in one numpy pass, and of contents in one comparison.
 SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 18
+#: Contents of one key that are compared as one group; more are split by the units beside the gram.
+HOT_CONTENTS = 500
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
@@ -126,24 +131,52 @@ def keyed_rows(rows: DataFrame) -> DataFrame:
     return own.select("d", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("th"), "text")
 
 
+def parts_of(units: np.ndarray, windows: int, how: Units, depth: int) -> Iterator[tuple[int, int, bytes]]:
+    """``first window, windows, fixed units`` of the parts that a content's windows fall into.
+
+    Windows are equal only if they fall into parts with equal fixed units: which part is theirs follows
+    from where the least gram stands in them.
+    """
+    at = int(how.grams(units).argmin())
+    todo = [(0, windows, at, at + how.gram, depth)]
+    while todo:
+        first, last, a, b, more = todo.pop()
+        half = (how.window - (b - a)) // 2
+        if not more or half < 1:
+            yield first, last - first, units[a:b].tobytes()
+            continue
+        middle = min(max(a - half + 1, first), last)  # windows before it reach ``half`` units left of a
+        if middle > first:
+            todo.append((first, middle, a - half, b, more - 1))
+        if last > middle:
+            todo.append((middle, last, a, a - half + 1 + how.window, more - 1))
+
+
 def _cut_batches(how: Units):
-    out = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("n_occ", pa.int64()), ("d", pa.int64()), ("start", pa.int32()), ("th", pa.int64()), ("data", pa.binary())])
+    out = pa.schema([("sub", pa.int64()), ("key", pa.int64()), ("content", pa.int64()), ("off", pa.int32()), ("d", pa.int64()), ("start", pa.int32()), ("th", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE_BYTES):
             units, ends = how.load([t.encode() for t in b.column(2).to_pylist()])
-            starts, cols = np.concatenate([[0], ends[:-1]]), [[] for _ in range(7)]
+            starts, cols = np.concatenate([[0], ends[:-1]]), [[] for _ in range(8)]
             for s, d, th, wanted in zip(starts.tolist(), b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                 for w in wanted:
                     a = s + w["start"]
-                    for c, v in zip(cols, (w["key"], w["content"], w["n_occ"], d, w["start"], th, units[a : a + w["n"] + how.window - 1].tobytes()), strict=True):
-                        c.append(v)
+                    own = units[a : a + w["n"] + how.window - 1]
+                    depth = (w["n_contents"] // HOT_CONTENTS).bit_length()
+                    if depth:
+                        parts = [(xxhash.xxh3_64_intdigest(fixed) - (1 << 63), off, own[off : off + n + how.window - 1]) for off, n, fixed in parts_of(own, w["n"], how, depth)]
+                    else:
+                        parts = [(w["key"], 0, own)]
+                    for sub, off, data in parts:
+                        for c, v in zip(cols, (sub, w["key"], w["content"], off, d, w["start"] + off, th, data.tobytes()), strict=True):
+                            c.append(v)
             yield batch_of(out, cols)
 
     return run
 
 
-CONTENTS = "key long, content long, n_occ long, d long, start int, th long, data binary"
+CONTENTS = "sub long, key long, content long, off int, d long, start int, th long, data binary"
 MARKS = "key long, content long, marks array<int>"
 
 
@@ -152,23 +185,22 @@ def _mark_batches(compare):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size = 0
 
         def flush():
-            marks = compare([r[6] for r in held], np.array([r[3:6] for r in held], dtype=np.int64))
-            rows = [(r[0], r[1], m) for r, m in zip(held, marks, strict=True) if m]
+            marks = compare([r[7] for r in held], np.array([r[4:7] for r in held], dtype=np.int64))
+            rows = [(r[1], r[2], [x + r[3] * (k % 2 == 0) for k, x in enumerate(m)]) for r, m in zip(held, marks, strict=True) if m]
             return batch_of(out, list(zip(*rows, strict=True)) or [[], [], []])
 
         for b in slices(batches):
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if row[0] != last and size >= BLOCK_BYTES:
+            for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if held and held[-1][0] != row[0] and size >= BLOCK_BYTES:
                     yield flush()
                     held, size = [], 0
-                if held and held[-1][0] == row[0] and held[-1][1] == row[1]:
+                if held and held[-1][:4] == row[:4]:
                     continue  # the row was in the table twice
                 held.append(row)
-                size += len(row[6])
-                last = row[0]
+                size += len(row[7])
         if held:
             yield flush()
 
@@ -178,7 +210,7 @@ def _mark_batches(compare):
 def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool) -> DataFrame:
     """``d, th, spans`` for the keyed rows with windows to remove; spans are ``start, windows`` pairs in order.
 
-    ``compare(contents, firsts)`` gives, for contents of some whole keys and the first place of each, the
+    ``compare(contents, firsts)`` gives, for contents of some whole groups and the first place of each, the
     runs of windows (``offset, count, ...``) that also start elsewhere among them, or with ``first_stays``
     those that start earlier.
     """
@@ -187,9 +219,10 @@ def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool)
     counted = contents.withColumn("n_contents", F.count(F.lit(1)).over(Window.partitionBy("key")))
     live = stored(counted.where("n_contents > 1 or n_occ > 1"), f"{name}-live")
 
-    wanted = live.where("n_contents > 1").groupBy(F.col("first.d").alias("d"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "key", "content", "n_occ")).alias("wanted"))
+    wanted = live.where("n_contents > 1").groupBy(F.col("first.d").alias("d"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "key", "content", "n_contents")).alias("wanted"))
     cut = keyed.join(wanted, ["d", "th"]).select("d", "th", "text", "wanted").mapInArrow(_cut_batches(how), schema_of(CONTENTS))
-    marks = cut.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_mark_batches(compare), schema_of(MARKS))
+    marks = cut.repartition("sub").sortWithinPartitions("sub", "key", "content", "off").mapInArrow(_mark_batches(compare), schema_of(MARKS))
+    marks = marks.groupBy("key", "content").agg(F.flatten(F.collect_list("marks")).alias("marks"))  # a content's parts
     judged = live.join(marks, ["key", "content"], "left").where("n_occ > 1 or marks is not null").select("key", "content", "n_occ", "first", "n", "marks")
     # Stored, so that the join below stands between two exchanges and a frequent content can be split.
     judged = stored(judged, f"{name}-judged")
