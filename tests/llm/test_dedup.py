@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from emberdesk.llm import anchors, neardup, suffixes
+from emberdesk.llm import anchors, neardup, suffixes, windows
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -105,6 +105,30 @@ def test_rolling_hashes_tell_windows_apart():
                 assert (h[i] == h[j]) == (units[i : i + w] == units[j : j + w]).all()
 
 
+def test_hot_keys_are_split_without_loss(monkeypatch, plain):
+    monkeypatch.setattr(windows, "HOT_CONTENTS", 1)
+    held = [(r.doc_id, (r.text or "").encode()) for r in plain.collect()]
+    assert Counter(map(tuple, suffixes.dedup(plain, 40).collect())) == Counter(brute_bytes(held, 40))
+    held = [(r.doc_id, r.text or "") for r in plain.collect()]
+    assert Counter(map(tuple, anchors.dedup(plain, 6).collect())) == Counter(brute_words(held, 6))
+
+
+def test_parts_hold_every_window_once_and_agree():
+    rng = np.random.default_rng(3)
+    for how, units in ((suffixes.byte_units(40), rng.integers(97, 100, 400).astype(np.uint8)), (anchors.word_units(20), rng.integers(1, 6, 400).astype(np.uint64))):
+        doc, start, n, _ = windows.cut_stretches(units, np.array([len(units)]), how)
+        groups = {}
+        for s, k in zip(start, n, strict=True):
+            own = units[s : s + k + how.window - 1]
+            for depth in (1, 3, 9):
+                seen = np.zeros(k, dtype=int)
+                for off, m, fixed in windows.parts_of(own, int(k), how, depth):
+                    seen[off : off + m] += 1
+                    for i in range(off, off + m):
+                        assert groups.setdefault((depth, own[i : i + how.window].tobytes()), fixed) == fixed
+                assert (seen == 1).all()
+
+
 def shingles(text):
     x = split(text or "")
     return {tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else ({tuple(x)} if x else set())
