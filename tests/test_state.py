@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberdesk.engine import Engine
-from emberdesk.operators import cluster, edition, state, views
+from emberdesk.operators import cluster, display, edition, state, views
 from emberdesk.plans.queries import Feed
 from emberdesk.sources import commits, fixtures
 from emberdesk.streaming import ingest
@@ -85,3 +85,20 @@ def test_engine(spark):
         e.feed_page("edition", 5, "x")
     members = cluster.members(e.ranked())
     assert members.count() == members.select("uri").distinct().count() == e.ranked().count()
+
+
+def test_display(spark):
+    items = spark.createDataFrame([(i, f"u{i}", f"Headline number {i}") for i in range(12)], "pos int, uri string, headline string")
+    got = display.change_previews(items.where("pos < 9"), items.where("pos > 1")).collect()
+    assert [(r.change, r.uri, r.total) for r in got] == [("new", "u0", 2), ("new", "u1", 2), ("fading", "u9", 3), ("fading", "u10", 3), ("fading", "u11", 3)]
+    assert [(r.slice, r.side) for r in display.wire_slices(items).orderBy("pos").collect()] == [("strip", None)] * 5 + [(None, None)] + [("fold", k % 2) for k in range(6)]
+    m = spark.createDataFrame([("c", "b", 1), ("c", "a", 2), ("c", "b", 3)], "cluster_id string, author_did string, place int")
+    assert display.story_authors(m).collect()[0].authors == ["b", "a"]
+    said = fixtures.exclusion_commands(spark)
+    assert display.new_messages(said, 1).count() == 2 and display.high_water(said, 1).collect()[0].high_water == 3
+    f = Feed(spark, SF)
+    assert display.house_posts(f.posts, ["did:u0"]).count() <= 10
+    assert {r.place for r in display.watched(f.posts, ["did:u3", "did:u1"]).collect()} == {1, 2}
+    now = datetime(2026, 1, 2)
+    rows = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("nonsense",), (None,)], "v string").select(F.unix_seconds(display.utc(F.col("v"), now)).alias("s")).collect()
+    assert [r.s for r in rows] == [1767225600, 1767312000, 1767312000]
