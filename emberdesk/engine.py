@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import dims
 from .operators import cluster, edition, graph, rank, state
 
-FEEDS = ("receipts", "edition")
+FEEDS = ("ranked", "edition")
 
 
 class Engine:
@@ -35,16 +35,16 @@ class Engine:
         return edition.compacted(edition.items(self.clusters(), self.views, limit))
 
     def feed_page(self, feed: str, limit: int = dims.PAGE_SIZE, cursor: str | None = None) -> DataFrame:
-        """A page of ``receipts`` (behind a score) or of ``edition`` (from an index)."""
+        """A page of ``ranked`` (behind a score) or of ``edition`` (from an index)."""
         if feed not in FEEDS:
             raise ValueError(f"UnknownFeed: {feed}")
         if not 1 <= limit <= 100:
             raise ValueError("limit is 1 to 100")
         try:
-            at = None if cursor is None else float(cursor) if feed == "receipts" else int(cursor)
+            at = None if cursor is None else float(cursor) if feed == "ranked" else int(cursor)
         except ValueError:
             raise ValueError(f"BadCursor: {cursor}") from None
-        if feed == "receipts":
+        if feed == "ranked":
             return rank.feed_page(self.ranked(), limit, at).select("uri", F.col("score_r").alias("score"), F.col("next_cursor").cast("string").alias("next_cursor"))
         return edition_page(self.edition(), limit, at or 0)
 

@@ -75,9 +75,9 @@ def test_hourly_stream(spark, tmp_path):
 def test_engine(spark):
     f = Feed(spark, SF)
     e = Engine(spark, f.now, f.posts, f.known, fixtures.exclusion_commands(spark), fixtures.post_views(f.posts), per_author=8)
-    page = e.feed_page("receipts", 5).collect()
+    page = e.feed_page("ranked", 5).collect()
     assert len(page) == 5 and page[0].next_cursor is not None
-    behind = e.feed_page("receipts", 5, page[0].next_cursor).collect()
+    behind = e.feed_page("ranked", 5, page[0].next_cursor).collect()
     assert max(r.score for r in behind) < min(r.score for r in page)
     with pytest.raises(ValueError, match="UnknownFeed"):
         e.feed_page("none")
