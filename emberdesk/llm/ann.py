@@ -157,13 +157,15 @@ def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, seed: int = 5) -
     return min(visits, tree.leaves)
 
 
-def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v``: rows whose vector has a direction, of the commonest length."""
+def valid(rows: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> tuple[DataFrame, int]:
+    """``vec_id, v``: rows whose vector has a direction, of the given or else the commonest length; that length."""
     v = F.col(vec_col).cast("array<double>")
     own = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     own = own.where(F.size("v") > 0).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("v", lambda x: x != 0))
-    common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return own.where(F.size("v") == (common[0].n if common else 0))
+    if length is None:
+        common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        length = common[0].n if common else 0
+    return own.where(F.size("v") == length), length
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -227,8 +229,8 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 5, recall
     another length than the commonest. Rows repeated in id and vector count once; ties go to the
     smaller id. With fewer than ``k`` candidates, all are returned. An empty table gives no rows.
     """
-    every = valid(rows, id_col, vec_col)
-    asked = every if queries is None else valid(queries, id_col, vec_col)
+    every, length = valid(rows, id_col, vec_col)
+    asked = every if queries is None else valid(queries, id_col, vec_col, length)[0]
     spark = rows.sparkSession
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()  # bounded by FIT_ROWS
     if not len(sample):

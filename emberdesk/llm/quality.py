@@ -64,6 +64,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     their words within a document. Repeated rows are judged alike; an empty table gives no rows. Columns
     of the input are read only by the names given, so others can't clash.
     """
+    keep = keep or None
     rows = texts(docs, id_col, text_col) if keep is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*keep).alias("kept_columns"))
     extra = [] if keep is None else ["kept_columns"]
     held = ["doc_id", "text", *extra]
