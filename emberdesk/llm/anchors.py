@@ -56,7 +56,11 @@ def _word_units(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = word_places(data)
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) * MIX[0] + MIX[2]) * up[: len(data)], out=total[1:])
+    total[1:] = data
+    total[1:] *= MIX[0]
+    total[1:] += MIX[2]
+    total[1:] *= up[: len(data)]
+    np.cumsum(total[1:], out=total[1:])
     units = mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * MIX[1])
     stops = np.cumsum([len(t) + 1 for t in held])
     return units, np.searchsorted(lo, stops)
@@ -184,36 +188,41 @@ def dedup(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", t
     return keyed.join(_spans(keyed, window), ["d", "th"], "left").select("d", "text", "spans").mapInArrow(_result_batches(window), schema_of(RESULT))
 
 
-def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated words taken out of ``text_col``; white space around kept words stays.
-
-    Columns and their order stay; a text that loses nothing stays as it is, null included.
-    """
-    repeated = "__emberdesk_spans"
-    id_, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.coalesce(F.col(text_col), F.lit(""))
-    keyed = keyed_rows(texts(docs, id_col, text_col))
-    apart = keyed.select("th").where("th != 0").limit(1).count() > 0  # ids repeat, so texts tell rows apart
-    spans = _spans(keyed, window).select(F.col("d").alias("__emberdesk_d"), F.col("th").alias("__emberdesk_th"), F.col("spans").alias(repeated))
-    held = docs.withColumn("__emberdesk_d", id_).withColumn("__emberdesk_th", F.xxhash64(text) if apart else F.lit(0).cast("long"))
-    joined = held.join(spans, ["__emberdesk_d", "__emberdesk_th"], "left").select(*[F.col(c) for c in docs.columns], repeated)
-    names = docs.columns
-    place, last = names.index(text_col), len(names)
+def _stripped_batches(window: int):
+    out = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE_BYTES):
             new = []
-            for text, spans in zip(b.column(place).to_pylist(), b.column(last).to_pylist(), strict=True):
+            for text, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if spans:
                     data = text.encode()
                     lo, hi, gone = _removed_words(data, spans, window)
                     # A removed word goes with the white space before it.
                     ends = np.concatenate([[0], hi[:-1]])
-                    keep = np.ones(len(data), dtype=np.int8)
+                    keep = np.ones(len(data), dtype=bool)
                     for a, e in zip(ends[gone].tolist(), hi[gone].tolist(), strict=True):
-                        keep[a:e] = 0
-                    text = np.frombuffer(data, dtype=np.uint8)[keep.astype(bool)].tobytes().decode().lstrip("\t\n\x0b\x0c\r ")
+                        keep[a:e] = False
+                    text = np.frombuffer(data, dtype=np.uint8)[keep].tobytes().decode().lstrip("\t\n\x0b\x0c\r ")
                 new.append(text)
-            columns = [pa.array(new, type=b.schema.field(i).type) if i == place else b.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, type=pa.string())], schema=out)
+
+    return run
 
-    return joined.mapInArrow(run, docs.schema)
+
+def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated words taken out of ``text_col``; white space around kept words stays.
+
+    Columns and their order stay; a text that loses nothing stays as it is, null included. Texts are
+    dealt out once; the other columns meet the result by the row's key.
+    """
+    d, th, absent, new = (f"__emberdesk_{x}" for x in ("d", "th", "absent", "text"))
+    keyed = keyed_rows(texts(docs, id_col, text_col))
+    apart = keyed.select("th").where("th != 0").limit(1).count() > 0  # ids repeat, so texts tell rows apart
+    out = keyed.join(_spans(keyed, window), ["d", "th"], "left").select("d", "th", "text", "spans").mapInArrow(_stripped_batches(window), "d long, th long, text string").toDF(d, th, new)
+    if apart:
+        out = out.dropDuplicates([d, th])
+    own = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(absent, F.col(text_col).isNull())
+    own = own.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if apart else F.lit(0).cast("long")).drop(text_col)
+    text = F.when(~F.col(absent), F.col(new))
+    return own.join(out, [d, th]).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -44,8 +44,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of one batch between Spark and Python, unless the session has its own setting.
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of bounded bytes rather than of many long texts; a session's own setting stays."""
+    if spark.conf.get(BATCH_CONF) in ("64m", "64MB", "67108864", "67108864b"):  # the default
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, by fixed names; other columns can't clash with its own."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

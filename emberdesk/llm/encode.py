@@ -42,6 +42,11 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def forget() -> None:
+    """Drop what ``kept_for_worker`` keeps: other operators' tasks need the worker's memory."""
+    _KEPT.clear()
+
+
 class _Segments(dict):
     """Ids by segment; a segment met for the first time is noted and stands as None until it is encoded."""
 

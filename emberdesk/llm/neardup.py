@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .anchors import _word_units, rolling
 from .common import batch_of, schema_of, slices, stored, texts
+from .encode import forget
 from .windows import MIX, NULL_ID, SLICE_BYTES, mixed
 
 SHINGLE = 5
@@ -111,7 +112,8 @@ def _signed_batches(registers: int, rows: int):
     out = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2 * SLICE_BYTES):
+        forget()
+        for b in slices(batches, SLICE_BYTES):
             value, weight, ends = shingle_sets([t.encode() for t in b.column(2).to_pylist()])
             data = np.stack([value, weight.astype(np.uint64)], axis=1)
             s1, s2, at = [], [], 0
@@ -196,12 +198,13 @@ def _verified(pairs: DataFrame, bodies: DataFrame, name: str) -> DataFrame:
     return stored(both.mapInArrow(_similarity_batches, schema_of("a long, b long, similarity double")), name)
 
 
-BLOCK_SHINGLES, BLOCK_SETS = 600_000, 1_500
+BLOCK_SHINGLES, BLOCK_SETS = 300_000, 750
 COLUMNS = 4096
 
 
 def _block_links(threshold: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        forget()
         value, _, ends = shingle_sets([t.encode() for t in part["text"]])
         sid, sizes = part["sid"].to_numpy(), np.diff(np.concatenate([[0], ends]))
         row = np.repeat(np.arange(len(sid)), sizes)
@@ -216,13 +219,16 @@ def _block_links(threshold: float):
             m = np.zeros((len(sid), COLUMNS), dtype=np.float32)
             m[row[lo:hi], column[lo:hi] - start] = 1
             common += m @ m.T
-        exact = common.astype(np.float64)
-        near = exact / np.maximum(sizes[:, None] + sizes[None, :] - exact, 1) >= threshold
+        near = np.zeros(common.shape, dtype=bool)
+        for k in range(0, len(sid), 256):
+            exact = common[k : k + 256].astype(np.float64)
+            near[k : k + 256] = exact / np.maximum(sizes[k : k + 256, None] + sizes[None, :] - exact, 1) >= threshold
+        del common
         np.fill_diagonal(near, True)
         label, last = np.arange(len(sid)), None
         while last is None or (label != last).any():
             last = label
-            label = np.where(near, label[None, :], len(sid)).min(axis=1)
+            label = np.concatenate([np.where(near[k : k + 256], last[None, :], len(sid)).min(axis=1) for k in range(0, len(sid), 256)])
             label = label[label]
         x, y = sid[label != np.arange(len(sid))], sid[label[label != np.arange(len(sid))]]
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})

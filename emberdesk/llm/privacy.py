@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, schema_of, slices, texts
+from .common import batch_of, bounded_batches, schema_of, slices, texts
 
 #: Kinds in the order of their ranks at equal starts, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -406,6 +406,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; null stays null and other columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     chain, place = train(labelled), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ ROWS = "d long, th long, text string"
 NULL_ID = -(1 << 63)
 
 #: Bytes of documents in one numpy pass, and of contents in one comparison.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 18
 #: Contents of one key that are compared as one group; more are split by the units beside the gram.
 HOT_CONTENTS = 500
