@@ -1,11 +1,12 @@
 """Near duplicates of word shingles: ProbMinHash signatures, banding, exact verification, classes.
 
-* A text's weighted set: its five-word shingles with their counts. Texts with equal sets are one *set*
-  from the start; only one of each is signed and compared, and all get its class.
+* A text's set: its distinct five-word shingles. Texts with equal sets are one *set* from the start,
+  however often each shingle occurs; only one of each is signed and compared, and all get its class.
 * Signature: each shingle sends arrivals of a Poisson process whose rate is its weight, each to a random
   register; a register keeps the shingle of its first arrival. Arrivals come in order, so a shingle stops
   once its next one is later than the last register's first. Two registers agree with the probability
-  Jaccard similarity of the sets.
+  Jaccard similarity of the sets. Every distinct shingle has weight 1, so that this is the similarity
+  that is verified: with counts as weights, one line repeated often would hide a near pair.
 * Banding: sets that agree on all registers of a band share a bucket. A bucket links its members to
   their leader, the least id, so it makes as many pairs as it has members.
 * Verification: the exact Jaccard similarity of the distinct shingles of each pair.
@@ -108,21 +109,20 @@ SIGNED = "d long, th long, s1 long, s2 long, n int, buckets array<long>"
 
 
 def _signed_batches(registers: int, rows: int):
-    """The identity of each row's weighted set, its size, and its bucket in every band."""
+    """The identity of each row's set, its size, and its bucket in every band."""
     out = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("n", pa.int32()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for b in slices(batches, SLICE_BYTES):
-            value, weight, ends = shingle_sets([t.encode() for t in b.column(2).to_pylist()])
-            data = np.stack([value, weight.astype(np.uint64)], axis=1)
+            value, _, ends = shingle_sets([t.encode() for t in b.column(2).to_pylist()])
             s1, s2, at = [], [], 0
             for e in ends.tolist():
-                h = xxhash.xxh3_128_intdigest(memoryview(data[at:e]).cast("B") if e > at else b"")
+                h = xxhash.xxh3_128_intdigest(memoryview(value[at:e]).cast("B") if e > at else b"")
                 s1.append(h >> 65)
                 s2.append((h & ((1 << 64) - 1)) - (1 << 63))
                 at = e
-            bands = prob_minhash(value, weight.astype(np.float64), ends, registers).reshape(len(ends), -1, rows)
+            bands = prob_minhash(value, np.ones(len(value)), ends, registers).reshape(len(ends), -1, rows)
             h = np.zeros(bands.shape[:2], dtype=np.uint64) + np.arange(bands.shape[1], dtype=np.uint64)
             for k in range(rows):
                 h = mixed(h * MIX[1] + bands[:, :, k])

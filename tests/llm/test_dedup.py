@@ -171,6 +171,20 @@ def test_classes_against_all_pairs(spark, plain, odd, empty):
     assert neardup.classes(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
+def test_a_line_repeated_often_hides_no_near_text(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        line = words[60:75]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join([*words[:60], *line * 40, *words[75:]])))
+    # One shingle, once and nine times: sets that differ in counts alone.
+    rows += [(900, "a a a a a"), (901, "a " * 13)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {d: d - d % 2 for d, _ in rows}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(4)
     value = rng.integers(1, 1 << 62, 300).astype(np.uint64)
