@@ -32,7 +32,11 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_transition
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``doc_id, word_no, word, before, value`` for each word of ``text`` that holds a candidate."""
+    """``doc_id, word_no, nth, word, before, value`` for every candidate of every word of ``text``.
+
+    A word with several candidates, as in a URL or in JSON without white space, is cut behind each of them:
+    ``word`` is then the piece that ends with the candidate, and the last one also has the word's rest.
+    """
     split = rows.select("doc_id", F.split("text", r"[\x20\x09-\x0D]+").alias("words"))
     longish = F.filter(F.transform("words", lambda w, i: F.when(F.length(w) >= 16, i)), lambda i: i.isNotNull())
     at = split.withColumn("at", longish).where(F.size("at") > 0)
@@ -41,11 +45,14 @@ def candidates(rows: DataFrame) -> DataFrame:
         lambda i: F.struct(
             i.alias("word_no"), F.get("words", i).alias("word"),
             F.concat_ws(" ", F.get("words", i - 3), F.get("words", i - 2), F.get("words", i - 1)).alias("before"),
-            F.regexp_extract(F.get("words", i), CANDIDATE, 0).alias("value"),
+            F.regexp_extract_all(F.get("words", i), F.lit(CANDIDATE), F.lit(0)).alias("values"),
         ),
     )
-    worth = F.filter(described, lambda c: (F.length(c["value"]) >= 16) & c["value"].rlike(r"[0-9]"))
-    return at.select("doc_id", F.explode(worth).alias("c")).select("doc_id", "c.*")
+    worth = F.filter(described, lambda c: F.exists(c["values"], lambda v: v.rlike(r"[0-9]")))
+    found = at.select("doc_id", F.explode(worth).alias("c")).select("doc_id", "c.*").withColumn("between", F.split("word", CANDIDATE))
+    each = found.select("doc_id", "word_no", "before", "between", F.size("values").alias("n"), F.posexplode("values").alias("nth", "value")).where(F.col("value").rlike(r"[0-9]"))
+    rest = F.when(F.col("nth") == F.col("n") - 1, F.get("between", F.col("n"))).otherwise("")
+    return each.select("doc_id", "word_no", "nth", F.concat(F.get("between", F.col("nth")), "value", rest).alias("word"), "before", "value")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -140,7 +147,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> Column:
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, word_no, value, score``: the candidates that the forest takes for secrets.
 
-    ``word_no`` counts the pieces between white space from 0. Null or empty texts have no candidates; a
+    ``word_no`` counts the pieces between white space from 0; a word gives a row for each of its secrets. Null or empty texts have no candidates; a
     null id stays null; repeated rows give repeated findings; an empty table gives none. Only the two
     columns named are read.
     """

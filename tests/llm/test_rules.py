@@ -69,6 +69,22 @@ def test_secrets_on_held_out_findings(spark, odd, empty):
     assert secrets.scan(rows, own).columns == ["doc_id", "word_no", "value", "score"]
 
 
+def test_every_candidate_of_a_word_is_judged(spark):
+    hexes, other, token = "8f3a9c0b7d2e4f6a1b5c9d8e7f6a5b4c3d2e1f0a", "Zk3vQ9xT7bLm2RpW8sYdN4cH6gJfA1uE", "ghp_x7Kp2mQ9vT4bLz8RwW3sYdN6cH1gJfA5uEoB"
+    rows = [
+        (1, f"get https://api.service.io/v1/items?token={token} now"), (2, f'{{"title":"letters_without_digits","token":"{hexes}","secret":"{other}"}}'),
+        (3, f"name;letters_without_digits;{hexes};{other};"), (4, hexes), (5, "no-candidate-here! short"), (6, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets.candidates(docs.where("text is not null")).collect()
+    want = {(i, w, k, v) for i, t in rows for w, word in enumerate((t or "").split()) for k, v in enumerate(re.findall(secrets.CANDIDATE, word)) if re.search("[0-9]", v)}
+    assert len(got) == len(want) and {(r.doc_id, r.word_no, r.nth, r.value) for r in got} == want
+    pieces = {(r.doc_id, r.value): r.word for r in got}
+    assert pieces[2, hexes] == f'","token":"{hexes}' and pieces[2, other] == f'","secret":"{other}"}}' and pieces[3, other] == f";{other};" and pieces[4, hexes] == hexes
+    found = {(r.doc_id, r.value) for r in secrets.scan(docs).collect()}
+    assert {(1, f"token={token}"), (2, hexes), (2, other)} <= found
+
+
 def brute_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
