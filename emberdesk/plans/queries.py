@@ -403,7 +403,7 @@ def stream_equals_batch(spark, sf_dir):
     lines.union(gone).union(again).union(odd).repartition(4).write.text(f"{at}/in")
     frames = ingest.read_frames(spark, f"{at}/in", 2)
     for start, name, extra in ((ingest.start, "posts", (f.known,)), (ingest.start_tombstones, "gone", ())):
-        # Retention doesn't matter here: all frames are of one month, and repeats may lie in any file.
+        # Repeats may lie in any file.
         start(frames, *extra, f"{at}/{name}", f"{at}/{name}-checkpoint", {"availableNow": True}).awaitTermination()
     return ingest.current(spark.read.parquet(f"{at}/posts"), spark.read.schema("uri string").parquet(f"{at}/gone")).select("uri").distinct()
 

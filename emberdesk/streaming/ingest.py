@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import dims
 from ..sources.commits import gated, parsed
 
 
@@ -12,15 +11,24 @@ def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def first_seen(frames: DataFrame, graph: DataFrame, watermark: str = f"{dims.RETENTION_HOURS} hours") -> DataFrame:
-    """Gated posts of a stream, each uri once within the retention; state older than it is let go."""
-    posts = gated(parsed(frames), graph).where("op = 'create'")
-    return posts.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["uri"])
+def unseen(batch: DataFrame, table: str) -> DataFrame:
+    """Posts of ``batch`` whose uri ``table`` doesn't hold, each once. Clients' dates decide nothing."""
+    held = batch.sparkSession.read.schema(batch.schema).parquet(table).select("uri")
+    return batch.dropDuplicates(["uri"]).join(held, "uri", "left_anti").select(*batch.columns)
 
 
 def start(frames: DataFrame, graph: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
-    """Append the posts of ``frames`` to ``table``; the checkpoint holds offsets and state."""
-    return first_seen(frames, graph).writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    """Insert the gated posts of ``frames`` into ``table`` if their uri is absent; the checkpoint holds offsets.
+
+    The table itself is the state: a batch reads its uris, so a batch that runs again inserts nothing twice.
+    """
+    posts = gated(parsed(frames), graph).where("op = 'create'")
+    posts.sparkSession.createDataFrame([], posts.schema).write.mode("ignore").parquet(table)
+
+    def insert(batch: DataFrame, _: int) -> None:
+        unseen(batch, table).write.mode("append").parquet(table)
+
+    return posts.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def start_tombstones(frames: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):

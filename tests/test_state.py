@@ -63,6 +63,22 @@ def test_parsing_odd_frames(spark):
     assert got["at://d/app.bsky.feed.post/1"].op == "delete"
 
 
+def test_stream_keeps_posts_behind_one_of_the_future(spark, tmp_path):
+    def frame(key, at, cid="c"):
+        return f'{{"kind":"commit","did":"d","time_us":1774000000000000,"commit":{{"operation":"create","collection":"app.bsky.feed.post","rkey":"{key}","cid":"{cid}","record":{{"text":"{cid}","createdAt":"{at}"}}}}}}'
+
+    days = ["2026-03-20", "2031-01-01", "2026-03-20", "2026-03-21", "2020-05-05", "2026-03-22"]
+    files = [[(frame(k, f"{at}T00:00:00Z"),)] for k, at in enumerate(days)]
+    files[4].append((frame(0, "2026-03-20T00:00:00Z", "again"),))
+    for lines in files:
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+    graph = spark.createDataFrame([("d",)], "author_did string")
+    for _ in range(2):  # a second run finds nothing new
+        ingest.start(ingest.read_frames(spark, str(tmp_path / "in"), 1), graph, str(tmp_path / "posts"), str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    got = sorted((r.uri, r.text) for r in spark.read.parquet(str(tmp_path / "posts")).collect())
+    assert got == [(f"at://d/app.bsky.feed.post/{k}", "c") for k in range(len(days))]
+
+
 def test_hourly_stream(spark, tmp_path):
     at = datetime(2026, 1, 1)
     spark.createDataFrame([(at + timedelta(minutes=20 * k), "click") for k in range(9)], "ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "in"))
