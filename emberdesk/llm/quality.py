@@ -23,6 +23,8 @@ BOILERPLATE = (
     "click here", "enable javascript", "licensed under", "skip to content", "skip to main content",
 )
 STUTTER = r"(?<![^\x20\x09])([^\x20\x09]+)(?:[\x20\x09]\1){3}(?![^\x20\x09])"
+#: The same inside a text: lines' ends are borders as well, and no word holds one.
+STUTTER_IN_TEXT = r"(?<![^\x20\x09\n])([^\x20\x09\n]+)(?:[\x20\x09]\1){3}(?![^\x20\x09\n])"
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -51,7 +53,7 @@ def failing_line(line: Column) -> Column:
 
 def suspect(text: Column, n_symbols: Column) -> Column:
     """False only if no line of ``text`` can fail: every rule of ``failing_line`` needs one of these."""
-    return (n_symbols > 0) | text.contains("!!") | text.contains("??") | text.rlike(STUTTER) | _boilerplate(text)
+    return (n_symbols > 0) | text.contains("!!") | text.contains("??") | text.rlike(STUTTER_IN_TEXT) | _boilerplate(text)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -41,6 +41,18 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert judged[7].cleaned == rows[7].split("\n")[0]
 
 
+def test_repeats_at_the_ends_of_lines_need_no_symbol(spark):
+    clean = [" ".join(f"w{k}x{i}" for i in range(10)) for k in range(3)]
+    repeats = ["buy buy buy buy", "buy buy buy buy buy", "buy buy buy buy now", "x buy buy buy buy"]
+    rows = [(i, "\n".join([clean[0], r, *clean[1:]])) for i, r in enumerate(repeats)] + [(10, "\n".join(repeats)), (11, "\n".join(clean)), (12, "a b b\nb b c")]
+    rows += [(i + 100, t + "\n#") for i, t in rows]
+    judged = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, r in enumerate(repeats):
+        assert (judged[i].n_removed_lines, judged[i].n_removed_words, judged[i].cleaned) == (1, len(r.split()), "\n".join(clean))
+    assert (judged[10].n_removed_lines, judged[10].kept, judged[11].n_removed_lines, judged[12].n_removed_lines) == (4, False, 0, 0)
+    assert all(judged[i].n_removed_words == judged[i + 100].n_removed_words for i, _ in rows if i < 100)
+
+
 def test_a_filter_on_the_verdict_is_no_trap(odd):
     kept = quality.quality(odd, keep=["lang", "words"]).where("kept and n_words > 3")
     assert kept.count() > 0 and "words" in kept.columns and kept.columns.count("lang") == 1
