@@ -18,7 +18,9 @@ the number of its occurrences.
 Only contents of one key are compared together, each once. A key with more than ``HOT_CONTENTS`` of them
 is split: all windows of a stretch hold its least gram, and reach at least half of what is left of a
 window to the left or to the right of it. The windows of each side go to a group named by those
-units as well, and so on, deeper for more contents, until at last a group holds one window's contents.
+units as well, and so on, two cuts deeper for each doubling of the contents. A part that is cut down to
+one window is known by that window's hash: it needs no comparison, and its occurrences are counted with
+map-side combining. So the groups that are compared hold a bounded number of contents.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def parts_of(units: np.ndarray, windows: int, how: Units, depth: int) -> Iterato
     todo = [(0, windows, at, at + how.gram, depth)]
     while todo:
         first, last, a, b, more = todo.pop()
-        half = (how.window - (b - a)) // 2
+        half = (how.window - (b - a) + 1) // 2
         if not more or half < 1:
             yield first, last - first, units[a:b].tobytes()
             continue
@@ -163,13 +165,15 @@ def _cut_batches(how: Units):
                 for w in wanted:
                     a = s + w["start"]
                     own = units[a : a + w["n"] + how.window - 1]
-                    depth = (w["n_contents"] // HOT_CONTENTS).bit_length()
+                    depth = 2 * (w["n_contents"] // HOT_CONTENTS).bit_length()
+                    whole = how.window * own.itemsize
                     if depth:
-                        parts = [(xxhash.xxh3_64_intdigest(fixed) - (1 << 63), off, own[off : off + n + how.window - 1]) for off, n, fixed in parts_of(own, w["n"], how, depth)]
+                        # Fixed units as long as a window are all of the part, which then has no other data.
+                        parts = [(xxhash.xxh3_64_intdigest(fixed) - (1 << 63), off, None if len(fixed) == whole else own[off : off + n + how.window - 1].tobytes()) for off, n, fixed in parts_of(own, w["n"], how, depth)]
                     else:
-                        parts = [(w["key"], 0, own)]
+                        parts = [(w["key"], 0, own.tobytes())]
                     for sub, off, data in parts:
-                        for c, v in zip(cols, (sub, w["key"], w["content"], off, d, w["start"] + off, th, data.tobytes()), strict=True):
+                        for c, v in zip(cols, (sub, w["key"], w["content"], off, d, w["start"] + off, th, data), strict=True):
                             c.append(v)
             yield batch_of(out, cols)
 
@@ -207,6 +211,16 @@ def _mark_batches(compare):
     return run
 
 
+def _single_marks(cut: DataFrame, name: str, first_stays: bool) -> DataFrame:
+    """Marks of the parts of one window: those that occur in several places, with ``first_stays`` but the first."""
+    rows = cut.select("key", "sub", "content", "off", F.struct("d", "start", "th").alias("place"))
+    several = rows.groupBy("key", "sub").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least != most")
+    # Stored, as in ``repeats``: one row for each window, so that a frequent one can be split.
+    both = rows.join(stored(several.select("key", "sub", "least"), f"{name}-singles"), ["key", "sub"])
+    both = both.where("place != least") if first_stays else both
+    return both.select("key", "content", F.array(F.col("off"), F.lit(1)).alias("marks"))
+
+
 def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool) -> DataFrame:
     """``d, th, spans`` for the keyed rows with windows to remove; spans are ``start, windows`` pairs in order.
 
@@ -221,7 +235,13 @@ def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool)
 
     wanted = live.where("n_contents > 1").groupBy(F.col("first.d").alias("d"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.start").alias("start"), "n", "key", "content", "n_contents")).alias("wanted"))
     cut = keyed.join(wanted, ["d", "th"]).select("d", "th", "text", "wanted").mapInArrow(_cut_batches(how), schema_of(CONTENTS))
+    singles = None
+    if live.where(f"n_contents >= {HOT_CONTENTS}").limit(1).count():
+        cut = stored(cut, f"{name}-cut")
+        singles = _single_marks(cut.where("data is null"), name, first_stays)
+        cut = cut.where("data is not null")
     marks = cut.repartition("sub").sortWithinPartitions("sub", "key", "content", "off").mapInArrow(_mark_batches(compare), schema_of(MARKS))
+    marks = marks if singles is None else marks.union(singles)
     marks = marks.groupBy("key", "content").agg(F.flatten(F.collect_list("marks")).alias("marks"))  # a content's parts
     judged = live.join(marks, ["key", "content"], "left").where("n_occ > 1 or marks is not null").select("key", "content", "n_occ", "first", "n", "marks")
     # Stored, so that the join below stands between two exchanges and a frequent content can be split.

@@ -129,6 +129,39 @@ def test_parts_hold_every_window_once_and_agree():
                 assert (seen == 1).all()
 
 
+def test_a_hot_passage_makes_no_group_of_all_its_texts(monkeypatch, spark):
+    rng = random.Random(5)
+    some = lambda n: " ".join(f"w{rng.randint(0, 10**5)}" for _ in range(n))
+    passage = some(45)
+    rows = [(i, f"{some(30)} {passage} {some(30)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(windows, "HOT_CONTENTS", 2)
+    monkeypatch.setattr(windows, "BLOCK_BYTES", 0)  # each group is compared alone
+
+    def bounded(keyed, how, compare, name, first_stays):
+        def checked(contents, firsts):
+            if len(contents) > 40:
+                raise ValueError(f"a group of {len(contents)}")
+            return compare(contents, firsts)
+
+        return windows.repeats(keyed, how, checked, name, first_stays)
+
+    monkeypatch.setattr(suffixes, "repeats", bounded)
+    monkeypatch.setattr(anchors, "repeats", bounded)
+    assert Counter(map(tuple, suffixes.dedup(docs, 40).collect())) == Counter(brute_bytes([(d, t.encode()) for d, t in rows], 40))
+    assert Counter(map(tuple, anchors.dedup(docs, 20).collect())) == Counter(brute_words(rows, 20))
+
+
+def test_cuts_end_at_single_windows():
+    rng = np.random.default_rng(8)
+    for how, units in ((suffixes.byte_units(40), rng.integers(97, 100, 400).astype(np.uint8)), (suffixes.byte_units(41), rng.integers(97, 123, 400).astype(np.uint8)), (anchors.word_units(20), rng.integers(1, 6, 400).astype(np.uint64))):
+        _, start, n, _ = windows.cut_stretches(units, np.array([len(units)]), how)
+        for s, k in zip(start, n, strict=True):
+            own = units[s : s + k + how.window - 1]
+            parts = sorted(windows.parts_of(own, int(k), how, 20))
+            assert parts == [(i, 1, own[i : i + how.window].tobytes()) for i in range(k)]
+
+
 def shingles(text):
     x = split(text or "")
     return {tuple(x[i : i + 5]) for i in range(len(x) - 4)} if len(x) >= 5 else ({tuple(x)} if x else set())
