@@ -63,4 +63,10 @@ TAGS = {
     "mutual": ("mutual", "mutual"), "followed": ("graph", "graph"), "follower": ("graph", "graph"), "trusted_list": ("graph", "trusted"), "unknown_author": ("outsider", "outsider"),
     "original": ("original", "original"), "substantive_reply": ("substance", "good reply"), "has_link": ("link", "linked"),
 }
-FIXTURE_DOMAINS = ["congress.gov", "arxiv.org", "www.reuters.com", "storage.courtlistener.com", "github.com", "apnews.com", "sec.gov", "bsky.app", "example.com", "weather.gov", "bloomberg.com", "nature.com"]
+FIXTURE_DOMAINS = ["congress.gov", "arxiv.org", "www.reuters.com", "storage.courtlistener.com", "github.com", "apnews.com", "sec.gov", "bsky.app", "example.com", "weather.gov", "ticketmaster.com", "nature.com"]
+
+#: Whom the watch page follows, by handle; positions are those of the page.
+WATCHLIST = ["u3", "u1", "u8", "u12", "u2", "u16"]
+HOUSE = ["did:u0", "did:u1"]
+#: Seconds between runs of the periodic jobs.
+CADENCE = {"rank": 120, "edition": 900, "messages": 300, "graph": 86_400, "seeds": 600}

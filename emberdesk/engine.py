@@ -28,11 +28,19 @@ class Engine:
     def ranked(self) -> DataFrame:
         return rank.composed(self.scored(), per_author=self.per_author)
 
-    def clusters(self) -> DataFrame:
-        return cluster.clusters(cluster.members(self.ranked()))
+    def members(self, limit: int = dims.PAGE_SIZE, spare: int = 10) -> DataFrame:
+        """The posts that stories are made of: three times as many as stories are wanted."""
+        return cluster.members(self.ranked().where(F.col("rank") <= (limit + spare) * 3))
+
+    def clusters(self, limit: int = dims.PAGE_SIZE) -> DataFrame:
+        return cluster.clusters(self.members(limit))
 
     def edition(self, limit: int = dims.PAGE_SIZE) -> DataFrame:
-        return edition.compacted(edition.items(self.clusters(), self.views, limit))
+        return edition.compacted(edition.items(self.clusters(limit), self.views, limit))
+
+    def freeze(self, held: DataFrame, edition_id: str, feed_name: str = "edition") -> DataFrame:
+        """The current edition as one row behind those ``held``."""
+        return edition.frozen(held, self.edition(), feed_name, edition_id, self.now)
 
     def feed_page(self, feed: str, limit: int = dims.PAGE_SIZE, cursor: str | None = None) -> DataFrame:
         """A page of ``ranked`` (behind a score) or of ``edition`` (from an index)."""
@@ -58,11 +66,14 @@ class Engine:
         return edition.lens(self.edition(), name)
 
     def story(self, cluster_id: str) -> DataFrame:
-        return cluster.members(self.ranked()).where(F.col("cluster_id") == cluster_id).orderBy(F.desc("score_r"))
+        return edition.story_page(self.members().where(F.col("cluster_id") == cluster_id), self.views).orderBy(F.desc("score"))
 
     def refresh_graph(self, follows: DataFrame, followers: DataFrame) -> DataFrame:
         return graph.refreshed(self.authors, follows, followers)
 
+    def refresh_counters(self, follows: DataFrame, followers: DataFrame) -> DataFrame:
+        return graph.counters(self.authors, follows, followers)
+
     def purge(self) -> DataFrame:
         return state.purge(self.posts, self.now)
 

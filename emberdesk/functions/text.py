@@ -11,9 +11,10 @@ def strip(c: Column) -> Column:
 
 
 def strip_urls(c: Column) -> Column:
-    """The text without links and bare paths, trimmed."""
+    """The text without links and bare paths, trimmed. Each pattern needs a slash or ``www.``, so most texts need none."""
     once = F.regexp_replace(c, r"(?U)https?://\S+|www\.\S+|\S+\.\w{2,4}/\S+", "")
-    return strip(F.regexp_replace(once, r"(?U)\S+\.(com|org|gov|net|io|co|edu|news)/\S*", ""))
+    bare = F.regexp_replace(once, r"(?U)\S+\.(com|org|gov|net|io|co|edu|news)/\S*", "")
+    return strip(F.when(c.contains("/") | c.contains("www."), bare).otherwise(c))
 
 
 def clean_headline(c: Column) -> Column:

@@ -106,3 +106,8 @@ def web_url(uri: Column) -> Column:
 def short_link(u: Column, limit: int) -> Column:
     bare = F.replace(F.replace(u, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit(""))
     return F.when(F.length(bare) <= limit, bare).otherwise(F.concat(F.substring(bare, 1, limit - 3), F.lit("...")))
+
+
+def last_segment(uri: Column) -> Column:
+    """What stands behind the last slash: a feed's name, a post's key."""
+    return F.element_at(F.split(uri, "/"), -1)

@@ -1,7 +1,10 @@
 """Stories: posts grouped by link, thread or headline, scored, and followed from edition to edition."""
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from .. import dims
 from ..functions import text as T
@@ -32,7 +35,7 @@ def members(ranked: DataFrame) -> DataFrame:
     kind = F.when(c("url_n") >= 2, "url").when(c("root_n") >= 2, "root").when(c("headline_n") >= 2, "headline").otherwise("singleton")
     m = m.withColumn("cluster_type", kind)
     key = F.when(kind == "url", c("canonical_url")).when(kind == "root", c("thread")).when(kind == "headline", c("headline")).otherwise(c("uri"))
-    m = m.withColumn("cluster_id", F.concat("cluster_type", F.lit("_"), U.key16(key)))
+    m = m.withColumn("cluster_key", key).withColumn("cluster_id", F.concat("cluster_type", F.lit("_"), U.key16("cluster_key")))
     m = m.withColumn("graph_tier", F.when(is_graph(c("reasons")), 2).otherwise(0)).withColumn("commentary_tier", F.when(F.length(T.strip_urls(c("text"))) > 60, 1).otherwise(0))
     order = Window.partitionBy("cluster_id").orderBy(F.desc("graph_tier"), F.desc("commentary_tier"), F.desc("score_r"), "rank")
     return m.withColumn("place", F.row_number().over(order))
@@ -42,7 +45,7 @@ def clusters(m: DataFrame) -> DataFrame:
     lead = F.struct("place", "uri", "score_r", "reasons", "external_domain", "canonical_url", "thread", "external_uri", "text", "author_did")
     g = m.groupBy("cluster_id", "cluster_type").agg(
         F.count(F.lit(1)).alias("post_count"), F.countDistinct("author_did").alias("unique_authors"), F.min(lead).alias("lead"), F.min(F.struct("rank", "external_domain")).alias("first"),
-        F.count_if((F.col("place") > 1) & F.array_contains("reasons", "unknown_author")).alias("outsiders"), F.min("rank").alias("first_rank"),
+        F.count_if((F.col("place") > 1) & F.array_contains("reasons", "unknown_author")).alias("outsiders"), F.min("rank").alias("first_rank"), F.first("cluster_key").alias("cluster_key"),
     )
     n, a = F.col("post_count"), F.col("unique_authors")
     url = F.col("cluster_type") == "url"
@@ -57,7 +60,7 @@ def clusters(m: DataFrame) -> DataFrame:
     return g.select(
         "cluster_id", "cluster_type", F.when(url, F.col("lead.canonical_url")).alias("canonical_url"), F.when(F.col("cluster_type") == "root", F.col("lead.thread")).alias("root_uri"), "domain", "post_count", "unique_authors",
         F.col("lead.uri").alias("lead_post_uri"), F.col("lead.score_r").alias("lead_score"), F.round(score, 6).alias("cluster_score"), why.alias("lead_reason"), F.col("lead.reasons").alias("reasons"),
-        F.col("lead.external_uri").alias("external_uri"), F.col("lead.text").alias("text"), F.col("lead.author_did").alias("author_did"), "first_rank", F.array_position(kinds, F.col("cluster_type")).alias("type_rank"),
+        F.col("lead.external_uri").alias("external_uri"), F.col("lead.text").alias("text"), F.col("lead.author_did").alias("author_did"), "cluster_key", "first_rank", F.array_position(kinds, F.col("cluster_type")).alias("type_rank"),
     )
 
 
@@ -68,3 +71,32 @@ def lifecycle(stored: DataFrame, current: DataFrame) -> DataFrame:
     seen = F.coalesce("was", F.lit(0)) + F.when(F.col("here"), 1).otherwise(0)
     state = F.when(F.col("here") & F.col("was").isNull(), "emerging").when(F.col("here") & (seen >= 3), "persistent").when(F.col("here"), "active").otherwise("fading")
     return both.select("cluster_id", seen.cast("long").alias("editions_present"), state.alias("state"))
+
+
+STORY_TABLE = "cluster_id string, cluster_type string, cluster_key string, canonical_url string, root_uri string, domain string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, state string, lead_post_uri string, lead_score double, cluster_score double, post_count long, unique_authors long, editions_present long"
+#: What a story that is seen again takes from the edition; the rest stays as it was first written.
+REFRESHED = ["lead_post_uri", "lead_score", "cluster_score", "post_count", "unique_authors"]
+FIRST_WRITE = ["cluster_type", "cluster_key", "canonical_url", "root_uri", "domain"]
+
+
+def persisted(stories: DataFrame, current: DataFrame, now: datetime) -> DataFrame:
+    """The table of stories after an edition: new ones inserted, seen ones refreshed, live ones that are absent fade."""
+    at = F.lit(now).cast("timestamp_ntz")
+    new = current.select("cluster_id", *[F.col(c).alias(f"new_{c}") for c in [*FIRST_WRITE, *REFRESHED]], F.lit(True).alias("here"))
+    both = stories.join(new, "cluster_id", "full_outer")
+    here, known = F.coalesce("here", F.lit(False)), F.col("first_seen_at").isNotNull()
+    fades = ~here & F.col("state").isin("active", "emerging", "persistent")
+    seen = F.coalesce("editions_present", F.lit(0)) + F.when(here, 1).otherwise(0)
+    state = F.when(here & ~known, "emerging").when(here & (seen >= 3), "persistent").when(here, "active").when(fades, "fading").otherwise(F.col("state"))
+    out = {
+        **{c: F.when(known, F.col(c)).otherwise(F.col(f"new_{c}")) for c in FIRST_WRITE}, **{c: F.when(here, F.col(f"new_{c}")).otherwise(F.col(c)) for c in REFRESHED},
+        "first_seen_at": F.coalesce("first_seen_at", at), "last_seen_at": F.when(here | fades, at).otherwise(F.col("last_seen_at")), "state": state, "editions_present": seen,
+    }
+    schema = T_.StructType.fromDDL(STORY_TABLE)
+    return both.select("cluster_id", *[out[f.name].cast(f.dataType).alias(f.name) for f in schema.fields[1:]])
+
+
+def member_table(held: DataFrame, members_: DataFrame, now: datetime) -> DataFrame:
+    """The table of stories' posts after an edition: a post that is there already is replaced."""
+    new = members_.select("cluster_id", F.col("uri").alias("post_uri"), "author_did", F.col("score_r").alias("post_score"), F.lit(now).cast("timestamp_ntz").alias("joined_at"), (F.col("place") == 1).alias("is_lead"))
+    return held.join(new.select("cluster_id", "post_uri"), ["cluster_id", "post_uri"], "left_anti").unionByName(new)

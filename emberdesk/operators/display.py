@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def utc(value: Column, now: datetime) -> Column:
-    """A time from ISO text, with or without an offset; what can't be read counts as now."""
+def utc(value: Column, now: datetime | None = None) -> Column:
+    """A time from ISO text, with or without an offset; what can't be read counts as now (without one, null)."""
     return F.coalesce(F.try_to_timestamp(value), F.lit(now).cast("timestamp"))
 
 
 def change_previews(current: DataFrame, previous: DataFrame, new: int = 5, fading: int = 3, cut: int = 60) -> DataFrame:
-    """The first new and fading items by position, with short headlines, and how many there are of each."""
+    """The first new and fading items by position, with short headlines, and how many there are of each.
+
+    All that came or went count, those without a headline as well; a change that nothing underwent has one row.
+    """
 
     def of(left: DataFrame, right: DataFrame, change: str, most: int) -> DataFrame:
-        gone = left.join(right.select("uri"), "uri", "left_anti").where("headline <> ''")
-        n = gone.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).orderBy("pos").limit(most)
-        return n.select(F.lit(change).alias("change"), "uri", T.truncate(F.col("headline"), cut).alias("headline"), "total")
+        moved = left.join(right.select("uri"), "uri", "left_anti")
+        total = moved.agg(F.countDistinct("uri").alias("total"))  # one row
+        first = moved.where("headline <> ''").orderBy("pos", "uri").limit(most)
+        short = first.select("uri", T.truncate(F.col("headline"), cut).alias("headline"))
+        return total.join(short, F.lit(True), "left").select(F.lit(change).alias("change"), "uri", "headline", "total")
 
     return of(current, previous, "new", new).union(of(previous, current, "fading", fading))
 
@@ -41,6 +46,11 @@ def house_posts(posts: DataFrame, authors: list[str], least: int = 20, limit: in
     return own.orderBy(F.desc("created_at"), "uri").limit(limit)
 
 
+def desk_sides(posts: DataFrame, main: str) -> DataFrame:
+    """House posts in two columns: one author's, and the others'."""
+    return posts.withColumn("side", F.when(F.col("author_did") == main, "main").otherwise("other"))
+
+
 def watched(posts: DataFrame, authors: list[str], each: int = 5) -> DataFrame:
     """The newest posts of each watched author, in the list's order."""
     own = posts.where(F.col("author_did").isin(authors) & (F.length(T.strip(F.col("text"))) >= 10) & ~F.col("is_repost"))

@@ -1,5 +1,7 @@
 """Candidates, author profiles, scores, composition caps and feed pages."""
 
+import json
+from collections import Counter
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from .. import dims
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import url as U
+from ..shared import stored
 
 
 def since(posts: DataFrame, now: datetime, hours: int) -> DataFrame:
@@ -74,29 +77,55 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score_r", F.round("score", 6))
 
 
+def pruned(ranked_: DataFrame, per_author: int, per_thread: int, per_link: int) -> DataFrame:
+    """Without posts that no caps can let in: of those alike in author, thread and link, only the best few can be.
+
+    Caps only fill up, so a post is turned down if one like it was before.
+    """
+    alike = ["author_did", "root", "link"]
+    keyed = ranked_.withColumns({"root": F.coalesce("root_uri", "uri"), "link": F.coalesce("external_uri", F.lit(""))})
+    nth = F.row_number().over(Window.partitionBy(*alike).orderBy(*order()))
+    most = F.when(F.col("link") == "", min(per_author, per_thread)).otherwise(min(per_author, per_thread, per_link))
+    return keyed.withColumn("alike", nth).where(F.col("alike") <= most).drop("alike")
+
+
+KEPT = "array<struct<s:double,t:bigint,uri:string,author_did:string,root:string,link:string>>"
+
+
+def folded(best: DataFrame, kept: list, size: int, per_author: int, per_thread: int, per_link: int) -> DataFrame:
+    """One row: the kept posts so far and of ``best``, and the last one that was looked at."""
+
+    def step(acc, x):
+        ok = (F.size(acc) < size) & (F.size(F.filter(acc, lambda k: k["author_did"] == x["author_did"])) < per_author) & (F.size(F.filter(acc, lambda k: k["root"] == x["root"])) < per_thread)
+        ok &= (x["link"] == "") | (F.size(F.filter(acc, lambda k: k["link"] == x["link"])) < per_link)
+        return F.when(ok, F.concat(acc, F.array(x))).otherwise(acc)
+
+    before = F.from_json(F.lit(json.dumps([k.asDict() for k in kept])), KEPT)
+    xs = best.agg(F.array_sort(F.collect_list(F.struct("s", "t", "uri", "author_did", "root", "link"))).cast(KEPT).alias("xs"))
+    return xs.select(F.aggregate("xs", before, step).alias("kept"), F.size("xs").alias("seen"), F.element_at("xs", F.when(F.size("xs") > 0, -1)).alias("last"))
+
+
 def composed(scored: DataFrame, size: int = dims.PAGE_SIZE * dims.BUFFER_PAGES, per_author: int = dims.PER_AUTHOR, per_thread: int = dims.PER_THREAD, per_link: int = dims.PER_LINK, block: int = 2_000) -> DataFrame:
-    """The best posts under caps for each author, thread and link: one fold over the best ``block`` of them.
+    """The best posts under caps for each author, thread and link, ranked.
 
-    A rejected post takes nothing from the other caps, so this is a fold, not a window. If fewer than
-    ``size`` posts are kept and the block was full, the block is doubled: the answer never depends on it.
+    A rejected post takes nothing from the other caps, so this is a fold, not a window. Posts are scored
+    once and stored without those that can't get in. The fold reads the best ``block`` of them; should more
+    be needed, the next block leaves out the posts of every author, thread and link whose cap is full, so
+    its first post is kept: rounds are bounded by ``size``, a task by ``block``, the driver by ``size``.
     """
-    base = ranked(scored)
+    rows = stored(pruned(ranked(scored), per_author, per_thread, per_link).withColumns({"s": -F.col("score_r"), "t": F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")}), "candidates")
+    spark, kept, last, todo = rows.sparkSession, [], None, rows
     while True:
-        best = base.orderBy(*order()).limit(block).select(F.struct((-F.col("score_r")).alias("s"), F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)").alias("t"), F.col("uri"), "author_did", F.coalesce("root_uri", "uri").alias("root"), F.coalesce("external_uri", F.lit("")).alias("link")).alias("x"))
-        all_in = best.agg(F.array_sort(F.collect_list("x")).alias("xs"))
-        empty = F.slice("xs", 1, 0)
-
-        def step(acc, x):
-            ok = (F.size(acc) < size) & (F.size(F.filter(acc, lambda k: k["author_did"] == x["author_did"])) < per_author) & (F.size(F.filter(acc, lambda k: k["root"] == x["root"])) < per_thread)
-            ok &= (x["link"] == "") | (F.size(F.filter(acc, lambda k: k["link"] == x["link"])) < per_link)
-            return F.when(ok, F.concat(acc, F.array(x))).otherwise(acc)
-
-        kept = all_in.select(F.posexplode(F.aggregate("xs", empty, step)).alias("pos", "k"))
-        picked = kept.select((F.col("pos") + 1).alias("rank"), "k.uri")
-        full = base.limit(block).count() == block
-        if not full or picked.count() >= size:
-            return F.broadcast(picked).join(base, "uri")  # at most ``size`` rows
-        block *= 2
+        got = folded(todo.orderBy("s", "t", "uri").limit(block), kept, size, per_author, per_thread, per_link).collect()[0]  # one row of ``size`` posts at most
+        kept, last = got.kept, got.last
+        if len(kept) >= size or got.seen < block:
+            break
+        todo = rows.where(F.struct("s", "t", "uri") > F.struct(F.lit(float(last.s)), F.lit(last.t).cast("bigint"), F.lit(last.uri)))
+        for key, most in (("author_did", per_author), ("root", per_thread), ("link", per_link)):
+            full = [k for k, n in Counter(x[key] for x in kept).items() if n >= most and (k or key != "link")]
+            todo = todo.where(~F.col(key).isin(full)) if full else todo  # fewer than ``size``
+    picked = spark.createDataFrame([(k.uri, i + 1) for i, k in enumerate(kept)], "uri string, rank int")
+    return F.broadcast(picked).join(rows.drop("s", "t", "root", "link"), "uri")  # at most ``size`` rows
 
 
 def deduplicated(composed_: DataFrame, limit: int) -> DataFrame:

@@ -44,13 +44,25 @@ def nth_latest(editions: DataFrame, n: int) -> DataFrame:
     return editions.withColumn("nth", nth).where(F.col("nth") == n).drop("nth")
 
 
+def exclusions(held: DataFrame, commands: DataFrame) -> DataFrame:
+    """The table of exclusions after ``commands`` (``did, sent_at, command``): the last one decides.
+
+    Asking out inserts or updates; asking in only updates, so nothing comes of it for someone who never
+    asked out. The source stays that of the first request.
+    """
+    said = commands.groupBy("did").agg(F.max(F.struct("sent_at", "command")).alias("last"), F.min(F.when(F.col("command") == "opt_out", F.col("sent_at"))).alias("out"))
+    both = held.join(said, "did", "full_outer").where(F.col("state").isNotNull() | F.col("out").isNotNull())
+    state = F.when(F.col("last.command") == "opt_out", "excluded").when(F.col("last.command") == "opt_in", "included").otherwise(F.col("state"))
+    return both.select("did", F.coalesce("last.sent_at", "requested_at").alias("requested_at"), F.coalesce("source", F.lit("dm")).alias("source"), state.alias("state"), F.when(F.col("out").isNotNull(), "").otherwise(F.col("note")).alias("note"))
+
+
 def by_key(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.where(F.col(key) == F.lit(value))
 
 
-def sampled(rows: DataFrame, kind: str, id_col: str, seed: int, count: int) -> DataFrame:
+def sampled(rows: DataFrame, kind: str, id_col: str, seed: Column, count: int) -> DataFrame:
     """A repeatable pick with varied kinds: ordered by a hash of seed and id, the first of each kind before others."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    h = F.xxhash64(seed, F.col(id_col))
     nth = F.row_number().over(Window.partitionBy(kind).orderBy(h, id_col))
     return rows.withColumns({"__h": h, "__n": nth}).orderBy(F.col("__n") > 1, "__h", id_col).limit(count).drop("__h", "__n")
 

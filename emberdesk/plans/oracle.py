@@ -78,20 +78,23 @@ def graph(r: str) -> str:
     return f"list_has_any({r}, {_list(dims.GRAPH_REASONS)})"
 
 
-AUTHORS = ", ".join("('did:u%d','u%d','%s',%s)" % (k, k, *(("mutual", 4.0) if k <= 4 else ("followed", 2.0) if k <= 8 else ("trusted_list", 3.0) if k <= 10 else ("follower", 1.0) if k <= 14 else ("stale", 0.1))) for k in range(16))
-
 CTES = {
     "now": "SELECT max(ts) AS t FROM events",
-    "linked": f"""SELECT e.event_id AS i, e.event_type AS k, e.ts AS created_at, 'did:u' || (e.user_id % 20) AS author_did, d.text AS body, d.lang,
-        CASE WHEN e.event_type NOT IN ('click', 'purchase') THEN NULL WHEN e.event_id % 7 = 0 THEN p.url
+    "people": "SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id // 15 END AS k FROM events",
+    "linked": f"""SELECT e.event_id AS i, e.event_type AS k, e.ts AS created_at, e.a, 'did:u' || e.a AS author_did, coalesce(CASE WHEN e.a % 10 = 7 OR e.event_id % 5 = 0 THEN d.source ELSE d.text END, '') AS body, d.lang, d.source,
+        CASE WHEN e.a % 10 = 7 AND e.event_type <> 'error' THEN 'https://tickets.ticketmaster.com/item/' || e.event_id WHEN e.event_type NOT IN ('click', 'purchase') THEN NULL WHEN e.event_id % 7 = 0 THEN p.url
         ELSE 'https://' || ({_list(dims.FIXTURE_DOMAINS)})[e.event_id % 12 + 1] || '/item/' || CASE WHEN e.event_id % 3 = 0 THEN e.event_id ELSE e.event_id % 60 END || CASE WHEN e.event_id % 2 = 0 THEN '?utm_source=x&id=7' ELSE '?id=7#top' END END AS external_uri
-        FROM events e JOIN documents d ON d.doc_id = e.event_id % 36 JOIN pages p ON p.page_id = e.event_id % 40""",
-    "posts": f"""SELECT 'at://' || author_did || '/post/' || i AS uri, i AS event_id, author_did, created_at,
-        CASE WHEN k = 'error' THEN '' ELSE CASE WHEN i % 5 = 0 THEN substr(body, 1, 12) ELSE substr(body, 1, 20 + i * 37 % 600) END || CASE WHEN external_uri IS NOT NULL AND i % 4 = 0 THEN ' ' || external_uri ELSE '' END END AS text,
+        FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id // 15 END AS a FROM events) e LEFT JOIN documents d ON d.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents) LEFT JOIN pages p ON p.page_id = e.event_id % (SELECT max(page_id) + 1 FROM pages)""",
+    "posts": f"""SELECT 'at://' || author_did || '/post/' || i AS uri, i AS event_id, a, author_did, created_at,
+        CASE WHEN k = 'error' THEN '' ELSE body || CASE WHEN external_uri IS NOT NULL AND i % 4 = 0 THEN ' ' || external_uri ELSE '' END END AS text,
         CASE WHEN k = 'signup' THEN 'at://thread/' || (i - i % 10) END AS reply_to_uri, CASE WHEN k = 'signup' THEN 'at://thread/' || (i - i % 10) END AS root_uri,
         CASE WHEN k = 'purchase' THEN 'at://quoted/' || (i % 25) END AS quote_uri, external_uri, {host("external_uri")} AS external_domain, external_uri IS NOT NULL AS has_external_embed,
-        k = 'view' AND i % 4 = 1 AS has_image, k = 'error' AS is_repost, lang, CASE WHEN external_uri IS NULL THEN 0 ELSE 1 + i % 2 END AS link_count, i % 4 AS facets_count FROM linked""",
-    "authors": f"SELECT * FROM (VALUES {AUTHORS}) v(author_did, handle, seed_class, trusted_score)",
+        k = 'view' AND i % 4 = 1 AS has_image, k = 'error' AS is_repost, lang, source, CASE WHEN external_uri IS NULL THEN 0 ELSE 1 + i % 2 END AS link_count, i % 4 AS facets_count FROM linked""",
+    "authors": """SELECT 'did:u' || k AS author_did, 'u' || k AS handle, CASE WHEN c <= 4 THEN 'mutual' WHEN c <= 8 THEN 'followed' WHEN c <= 10 THEN 'trusted_list' WHEN c <= 14 THEN 'follower' ELSE 'stale' END AS seed_class,
+        CASE WHEN c <= 4 THEN 4.0 WHEN c <= 8 THEN 2.0 WHEN c <= 10 THEN 3.0 WHEN c <= 14 THEN 1.0 ELSE 0.1 END::DOUBLE AS trusted_score FROM (SELECT k, k % 20 AS c FROM people) WHERE c < 16""",
+    "commands": "SELECT 'did:u' || k AS did, m.at AS sent_at, m.t AS text FROM (SELECT k, unnest(CASE k % 20 WHEN 14 THEN [{'at': 1, 't': 'opt out'}] WHEN 13 THEN [{'at': 1, 't': 'Exclude me.'}, {'at': 2, 't': 'include me'}] WHEN 12 THEN [{'at': 3, 't': 'hello there'}] WHEN 11 THEN [{'at': 1, 't': 'add me back'}] END) AS m FROM people)",
+    "asked": "SELECT *, CASE WHEN regexp_matches(lower(trim(text)), '^(opt *out|exclude *me|remove *me|don.?t *include *me) *[.!]?$') THEN 'opt_out' WHEN regexp_matches(lower(trim(text)), '^(opt *in|include *me|add *me *back) *[.!]?$') THEN 'opt_in' END AS command FROM commands",
+    "barred": "SELECT did FROM (SELECT did, arg_max(command, sent_at) AS last FROM asked WHERE command IS NOT NULL GROUP BY 1) WHERE last = 'opt_out'",
     "counts": "SELECT author_did, count(*) AS posts_24h FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 24 HOUR GROUP BY 1",
     "recent": f"SELECT *, length({strip_urls('text')}) AS bare FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 7 DAY",
     "top_domain": "SELECT author_did, max(n) AS top, sum(n) AS named FROM (SELECT author_did, external_domain, count(*) AS n FROM recent WHERE external_domain IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
@@ -101,7 +104,7 @@ CTES = {
         greatest(0.0, least(1.0, 0.30 * link_post_ratio + 0.25 * titles + 0.15 * coalesce(top / named, 0) + 0.15 * (1 - least(reply_ratio / 0.20, 1)) + 0.15 * (1 - least(avg_non_url_len / 120.0, 1)))) AS stink_score
         FROM profile0 p LEFT JOIN top_domain t USING (author_did)""",
     "relays": "SELECT author_did, external_domain, count(*) AS outsider_posts FROM posts WHERE external_domain IS NOT NULL GROUP BY 1, 2",
-    "candidates": "SELECT * FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 24 HOUR AND author_did <> 'did:u14'",
+    "candidates": "SELECT * FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 24 HOUR AND author_did NOT IN (SELECT did FROM barred)",
     "joined": f"""SELECT c.*, a.handle, a.author_did IS NOT NULL AS is_known, a.seed_class, a.trusted_score, coalesce(n.posts_24h, 0) AS posts_24h, coalesce(s.stink_score, 0) AS stink_score, coalesce(r.outsider_posts, 0) AS outsider_posts,
         epoch_us((SELECT t FROM now)) / 3.6e9 - epoch_us(c.created_at) / 3.6e9 AS age, {bonus('c.external_domain')} AS bonus, c.has_external_embed AND NOT {platform('c.external_domain')} AS evid, length({strip_urls('c.text')}) AS sl
         FROM candidates c LEFT JOIN authors a USING (author_did) LEFT JOIN counts n USING (author_did) LEFT JOIN profiles s USING (author_did) LEFT JOIN relays r ON r.author_did = c.author_did AND r.external_domain = c.external_domain""",
@@ -138,41 +141,47 @@ CTES |= {
     "dedup0": f"SELECT *, CASE WHEN external_uri IS NOT NULL AND NOT {platform('external_domain')} THEN nullif({canonical('external_uri')}, '') END AS cu, {docket('external_uri', 'reasons', chr(39) * 2)} AS family FROM composed",
     "dedup1": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(cu, uri) ORDER BY rank) AS nth FROM dedup0) WHERE cu IS NULL OR nth <= 1",
     "dedup": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(family, uri) ORDER BY rank) AS fth FROM dedup1) WHERE family IS NULL OR fth <= 2",
-    "m0": f"SELECT *, CASE WHEN external_uri IS NOT NULL AND NOT {platform('external_domain')} THEN nullif({canonical('external_uri')}, '') END AS cu, coalesce(root_uri, quote_uri) AS thread, {title_words('text')} AS tw FROM composed",
+    "m0": f"SELECT *, CASE WHEN external_uri IS NOT NULL AND NOT {platform('external_domain')} THEN nullif({canonical('external_uri')}, '') END AS cu, coalesce(root_uri, quote_uri) AS thread, {title_words('text')} AS tw FROM composed WHERE rank <= 120",
     "m1": f"SELECT *, CASE WHEN {real_domain} AND length(text) >= 30 AND len(tw) >= 3 THEN {family('external_domain')} || ':' || array_to_string(list_sort(tw)[1:5], ' ') END AS headline, count(cu) OVER (PARTITION BY cu) AS un FROM m0",
     "m2": "SELECT *, CASE WHEN un < 2 THEN thread END AS t1 FROM m1",
     "m3": "SELECT *, count(t1) OVER (PARTITION BY t1) AS tn FROM m2",
     "m4": "SELECT *, CASE WHEN un < 2 AND tn < 2 THEN headline END AS h1 FROM m3",
     "m5": "SELECT *, count(h1) OVER (PARTITION BY h1) AS hn FROM m4",
     "m6": "SELECT *, CASE WHEN un >= 2 THEN 'url' WHEN tn >= 2 THEN 'root' WHEN hn >= 2 THEN 'headline' ELSE 'singleton' END AS cluster_type FROM m5",
-    "m7": f"SELECT *, cluster_type || '_' || substr(sha256(CASE cluster_type WHEN 'url' THEN cu WHEN 'root' THEN thread WHEN 'headline' THEN headline ELSE uri END), 1, 16) AS cluster_id, CASE WHEN {graph('reasons')} THEN 2 ELSE 0 END AS graph_tier, CASE WHEN sl > 60 THEN 1 ELSE 0 END AS commentary_tier FROM m6",
+    "m7": f"SELECT *, cluster_type || '_' || substr(sha256(CASE cluster_type WHEN 'url' THEN cu WHEN 'root' THEN thread WHEN 'headline' THEN headline ELSE uri END), 1, 16) AS cluster_id, CASE cluster_type WHEN 'url' THEN cu WHEN 'root' THEN thread WHEN 'headline' THEN headline ELSE uri END AS cluster_key, CASE WHEN {graph('reasons')} THEN 2 ELSE 0 END AS graph_tier, CASE WHEN sl > 60 THEN 1 ELSE 0 END AS commentary_tier FROM m6",
     "members": "SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY graph_tier DESC, commentary_tier DESC, score_r DESC, rank) AS place FROM m7",
     "c0": f"""SELECT cluster_id, cluster_type, count(*) AS n, count(DISTINCT author_did) AS a, min(rank) AS first_rank, arg_min(external_domain, rank) AS first_domain, sum((place > 1 AND list_contains(reasons, 'unknown_author'))::INT) AS outsiders,
         max(CASE WHEN place = 1 THEN uri END) AS lead_post_uri, max(CASE WHEN place = 1 THEN score_r END) AS lead_score, max(CASE WHEN place = 1 THEN external_domain END) AS lead_domain, max(CASE WHEN place = 1 THEN cu END) AS lead_cu,
         max(CASE WHEN place = 1 THEN thread END) AS lead_thread, max(CASE WHEN place = 1 THEN external_uri END) AS external_uri, max(CASE WHEN place = 1 THEN text END) AS text, max(CASE WHEN place = 1 THEN author_did END) AS author_did,
-        max(CASE WHEN place = 1 THEN reasons END) AS reasons FROM members GROUP BY 1, 2""",
+        max(CASE WHEN place = 1 THEN reasons END) AS reasons, max(cluster_key) AS cluster_key FROM members GROUP BY 1, 2""",
     "c1": f"SELECT *, CASE cluster_type WHEN 'url' THEN {host('lead_cu')} WHEN 'headline' THEN first_domain ELSE coalesce(lead_domain, '') END AS domain FROM c0",
     "clusters": f"""SELECT *, CASE WHEN cluster_type = 'url' THEN lead_cu END AS canonical_url, list_position({_list(['url', 'root', 'headline', 'singleton'])}, cluster_type) AS type_rank,
         round(lead_score * 0.45 + (CASE WHEN n = 1 THEN 0 WHEN n <= 3 THEN n * 1.5 ELSE 4.5 + ln(n - 2) * 0.5 END)::DOUBLE * 0.15 + (CASE WHEN a <= 1 THEN 0 ELSE least(a * 0.8, 3) END)::DOUBLE * 0.1 + {bonus('domain')} * 0.1 - (CASE WHEN n >= 3 AND a = 1 THEN 3 WHEN n >= 2 AND a = 1 THEN 1.5 ELSE 0 END)::DOUBLE, 6) AS cluster_score,
         CASE WHEN n = 1 THEN 'singleton' WHEN NOT {graph('reasons')} THEN 'best representative by score' WHEN outsiders > 0 THEN 'graph member chosen over ' || outsiders || ' outsider(s)' ELSE 'graph member with best commentary' END AS lead_reason FROM c1""",
-    "views": "SELECT uri FROM posts WHERE event_id % 17 <> 0 AND author_did <> 'did:u12'",
-    "shown": "SELECT c.* FROM (SELECT * FROM clusters ORDER BY cluster_score DESC, type_rank, first_rank LIMIT 40) c JOIN views v ON v.uri = c.lead_post_uri",
-    "items": f"SELECT * FROM (SELECT row_number() OVER (ORDER BY cluster_score DESC, type_rank, first_rank) - 1 AS pos, lead_post_uri AS uri, cluster_score AS score, reasons, cluster_type, cluster_id, n AS post_count, a AS unique_authors, canonical_url, external_uri, text, author_did, coalesce(nullif({clean('text')}, ''), text) AS headline FROM shown) WHERE pos < 30",
-    "d0": f"SELECT *, {docket('coalesce(nullif(external_uri, ' + chr(39) * 2 + '), canonical_url)', 'reasons', 'author_did')} AS family FROM items",
+    "views0": f"""SELECT uri, author_did, 'u' || a AS author_handle, text, CASE WHEN event_id % 6 <> 0 THEN [lang] ELSE [] END AS langs, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS shown_at, external_uri, event_id % 50 AS likes, event_id % 9 AS replies,
+        CASE WHEN external_uri IS NOT NULL AND event_id % 3 = 0 THEN 'Report ' || event_id || ' from ' || source END AS title, {strip('text')} AS t, 'https://bsky.app/profile/' || author_did || '/post/' || event_id AS web_url FROM posts WHERE event_id % 17 <> 0 AND a % 20 <> 12""",
+    "views1": """SELECT *, CASE WHEN length(title) >= 10 AND (length(t) < 60 OR starts_with(t, '- ') OR starts_with(t, '"...') OR starts_with(t, chr(8220) || '...') OR starts_with(t, '...') OR starts_with(t, chr(9835)) OR starts_with(t, chr(9834)) OR starts_with(t, 'http') OR starts_with(t, 'www.')
+        OR ((contains(t, 'http') OR contains(t, 'www.') OR contains(t, '.com/') OR contains(t, '.org/')) AND length(t) < 140) OR length(title) > length(t)) THEN title ELSE text END AS raw FROM views0""",
+    "views": f"SELECT *, coalesce(nullif({clean('raw')}, ''), raw) AS headline FROM views1",
+    "shown": "SELECT c.cluster_id, c.cluster_type, c.n, c.a, c.canonical_url, c.reasons, c.cluster_score, c.type_rank, c.first_rank, c.lead_post_uri, v.external_uri, v.text, v.author_did, v.author_handle, v.langs, v.headline, v.shown_at, v.web_url FROM (SELECT * FROM clusters ORDER BY cluster_score DESC, type_rank, first_rank LIMIT 40) c JOIN views v ON v.uri = c.lead_post_uri",
+    "items": "SELECT * FROM (SELECT row_number() OVER (ORDER BY cluster_score DESC, type_rank, first_rank) - 1 AS pos, lead_post_uri AS uri, cluster_score AS score, reasons, cluster_type, cluster_id, n AS post_count, a AS unique_authors, canonical_url, external_uri, text, author_did, author_handle, langs, headline, shown_at, web_url FROM shown) WHERE pos < 30",
+    "d0": f"SELECT *, {docket('coalesce(nullif(external_uri, ' + chr(39) * 2 + '), canonical_url)', 'reasons', 'author_handle')} AS family FROM items",
     "d1": f"SELECT *, count(family) OVER (PARTITION BY family) AS fn, row_number() OVER (PARTITION BY family ORDER BY score DESC, pos) AS nth, (post_count >= 3 AND unique_authors >= 2) OR {graph('reasons')} OR score > 6 AS strong, min(pos) OVER (PARTITION BY family) AS family_first FROM d0",
     "d2": "SELECT *, family IS NOT NULL AND fn >= 3 AND nth > 1 AND NOT strong AS folds FROM d1",
     "d3": "SELECT *, folds AND sum(folds::INT) OVER (PARTITION BY family) >= 2 AS folded FROM d2",
-    "cards": "SELECT family, min(family_first) AS family_first, count(*) AS post_count, count(DISTINCT author_did) AS unique_authors, arg_min(uri, nth) AS uri, arg_min(score, nth) * 0.8 AS score, arg_min(reasons, nth) AS reasons, arg_min(external_uri, nth) AS external_uri FROM d3 WHERE folded GROUP BY 1",
-    "page0": "SELECT uri, score, reasons, cluster_type, cluster_id, post_count, unique_authors, canonical_url, external_uri, text, headline, false AS is_docket, pos AS fp FROM d3 WHERE NOT folded UNION ALL SELECT uri, score, reasons, 'docket', 'docket_' || family, post_count, unique_authors, NULL, external_uri, '', CASE family "
+    "cards": "SELECT family, min(family_first) AS family_first, count(*) AS post_count, count(DISTINCT author_did) AS unique_authors, arg_min(uri, nth) AS uri, arg_min(score, nth) * 0.8 AS score, arg_min(reasons, nth) AS reasons, arg_min(external_uri, nth) AS external_uri, arg_min(web_url, nth) AS web_url, list_transform(list(headline ORDER BY nth)[1:5], lambda h: substr(h, 1, 80)) AS preview FROM d3 WHERE folded GROUP BY 1",
+    "page0": "SELECT uri, score, reasons, cluster_type, cluster_id, post_count, unique_authors, canonical_url, external_uri, text, headline, langs, web_url, author_handle, false AS is_docket, pos AS fp, NULL AS subtitle, []::VARCHAR[] AS preview FROM d3 WHERE NOT folded UNION ALL SELECT uri, score, reasons, 'docket', 'docket_' || family, post_count, unique_authors, NULL, external_uri, '', CASE family "
     + " ".join(f"WHEN '{k}' THEN '{t}'" for k, (_, t, _) in dims.DOCKETS.items())
-    + " END, true, family_first FROM cards",
+    + " END, [], web_url, '', true, family_first, CASE family "
+    + " ".join(f"WHEN '{k}' THEN replace('{u}', '{{count}}', post_count::VARCHAR)" for k, (_, _, u) in dims.DOCKETS.items())
+    + " END, preview FROM cards",
     "page": "SELECT *, row_number() OVER (ORDER BY score DESC, is_docket, fp) - 1 AS pos FROM page0",
     "domains": f"SELECT domain, count(*) AS n, min(pos) AS first_pos FROM (SELECT pos, {display('coalesce(nullif(external_uri, ' + chr(39) * 2 + '), canonical_url)')} AS domain FROM page) WHERE domain IS NOT NULL GROUP BY 1",
-    "hero": f"""SELECT coalesce(min(pos), 0) AS hero_idx FROM (SELECT pos, reasons, coalesce(nullif(headline, ''), text) AS h, {clean("coalesce(nullif(headline, ''), text)")} AS cl FROM page) WHERE length(cl) >= 20 AND length(cl) >= length(h) * 0.4 AND NOT starts_with(cl, '- ')
+    "hero": f"""SELECT coalesce(min(pos), 0) AS hero_idx FROM (SELECT pos, reasons, coalesce(nullif(headline, ''), text) AS h, {clean("coalesce(nullif(headline, ''), text)")} AS cl, langs FROM page) WHERE length(cl) >= 20 AND (len(langs) = 0 OR list_contains(langs, 'en')) AND length(cl) >= length(h) * 0.4 AND NOT starts_with(cl, '- ')
         AND (list_contains(reasons, 'original') OR len(list_filter(reasons, lambda r: starts_with(r, 'substance') OR starts_with(r, 'domain:'))) > 0) AND NOT (len(regexp_extract_all(h, '\\p{{L}}')) > 10 AND len(regexp_extract_all(h, '[A-Za-z]')) < len(regexp_extract_all(h, '\\p{{L}}')) * 0.5)""",
     "stats": f"""SELECT count(*) AS total, sum(list_contains(reasons, 'original')::INT) AS originals, sum((cluster_type = 'url')::INT) AS url_clusters, sum((cluster_type = 'root')::INT) AS root_clusters, sum((cluster_type NOT IN ('url', 'root'))::INT) AS singletons,
         sum({graph('reasons')}::INT) AS graph_count, sum(list_contains(reasons, 'unknown_author')::INT) AS outsider_count, sum(is_docket::INT) AS docket_count FROM page""",
-    "front": f"SELECT *, cluster_type = 'url' AS u, list_contains(reasons, 'unknown_author') AS o, {graph('reasons')} AND cluster_type <> 'url' AS g FROM page WHERE pos <> (SELECT hero_idx FROM hero) ORDER BY pos LIMIT 29",
+    "front": f"SELECT pos, uri, headline, cluster_type, is_docket, reasons, cluster_type = 'url' AS u, list_contains(reasons, 'unknown_author') AS o, {graph('reasons')} AND cluster_type <> 'url' AS g FROM page WHERE pos <> (SELECT hero_idx FROM hero) ORDER BY pos LIMIT 29",
     "front1": "SELECT *, is_docket OR (NOT g AND (u OR o)) AS ws, row_number() OVER (PARTITION BY is_docket OR (NOT g AND (u OR o)) ORDER BY pos) AS sn FROM front",
     "front2": "SELECT *, ws AND sn <= 8 AS src, g AND NOT (is_docket AND sn <= 8) AS wg FROM front1",
     "front3": "SELECT *, row_number() OVER (PARTITION BY wg ORDER BY pos) AS gn FROM front2",

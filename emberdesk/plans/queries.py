@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import score as S
 from ..functions import text as T
 from ..functions import url as U
+from .. import schema
+from ..engine import Engine
 from ..engine import edition_page as _edition_page
-from ..operators import cluster, edition, graph, rank, state
+from ..operators import cluster, display, edition, graph, rank, state, views
+from ..shared import new_path
 from ..sources import commits, fixtures
 from . import oracle as O
 
@@ -33,23 +37,23 @@ class Feed:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.now = spark, fixtures.as_of(spark, sf_dir)
-        self.posts, self.authors = fixtures.posts(spark, sf_dir), fixtures.authors(spark)
-        self.known = self.authors.withColumnRenamed("did", "author_did")
+        self.posts, self.known = fixtures.posts(spark, sf_dir), fixtures.authors(spark, sf_dir).withColumnRenamed("did", "author_did")
+        self.commands, self.views = fixtures.exclusion_commands(spark, sf_dir), fixtures.post_views(self.posts)
 
     def scored(self) -> DataFrame:
-        return rank.score_posts(self.posts, self.known, fixtures.exclusion_commands(self.spark), self.now)
+        return rank.score_posts(self.posts, self.known, self.commands, self.now)
 
     def composed(self, per_author: int = 8) -> DataFrame:
         return rank.composed(self.scored(), per_author=per_author)
 
     def members(self) -> DataFrame:
-        return cluster.members(self.composed())
+        return cluster.members(self.composed().where("rank <= 120"))  # three times 30 stories and 10 to spare
 
     def clusters(self) -> DataFrame:
         return cluster.clusters(self.members())
 
     def items(self) -> DataFrame:
-        return edition.items(self.clusters(), fixtures.post_views(self.posts))
+        return edition.items(self.clusters(), self.views)
 
     def page(self) -> DataFrame:
         return edition.compacted(self.items())
@@ -76,10 +80,11 @@ def author_stink(spark, sf_dir):
     return p.select("author_did", "total", *[F.round(c, 6).alias(c) for c in ("link_post_ratio", "reply_ratio", "avg_non_url_len", "domain_concentration", "stink_score")])
 
 
-@query("SELECT a.author_did, round(stink_score::DOUBLE, 6) AS stink_score FROM authors a JOIN profiles p USING (author_did) WHERE stink_score > 0.3 ORDER BY stink_score DESC, 1 LIMIT 20")
+@query("SELECT handle, seed_class, round(stink_score::DOUBLE, 6) AS stink, round(link_post_ratio, 6) AS link_ratio, round(reply_ratio, 6) AS reply_ratio, round(avg_non_url_len, 6) AS avg_non_url_len, coalesce(posts_24h, 0) AS posts_24h FROM authors a JOIN profiles p USING (author_did) LEFT JOIN counts USING (author_did) WHERE stink_score > 0.3 ORDER BY stink_score DESC, author_did LIMIT 20")
 def stinky_accounts(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    return rank.author_table(f.known, f.posts, f.now).where("stink_score > 0.3").select("author_did", F.round("stink_score", 6).alias("stink_score")).orderBy(F.desc("stink_score"), "author_did").limit(20)
+    e = Engine(spark, f.now, f.posts, f.known, f.commands, f.views)
+    return e.stinky().select("handle", "seed_class", F.round("stink_score", 6).alias("stink"), F.round("link_post_ratio", 6).alias("link_ratio"), F.round("reply_ratio", 6).alias("reply_ratio"), F.round("avg_non_url_len", 6).alias("avg_non_url_len"), "posts_24h")
 
 
 @query("SELECT author_did, external_domain, outsider_posts FROM relays WHERE author_did NOT IN (SELECT author_did FROM authors)")
@@ -91,7 +96,7 @@ def outsider_relay(spark, sf_dir):
 @query("SELECT uri FROM candidates")
 def exclusion_anti(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    out = rank.excluded(fixtures.exclusion_commands(spark))
+    out = rank.excluded(f.commands)
     return rank.since(f.posts, f.now, dims.HORIZON_HOURS).join(out, F.col("author_did") == F.col("did"), "left_anti").select("uri")
 
 
@@ -152,21 +157,39 @@ def cluster_scores(spark, sf_dir):
     return Feed(spark, sf_dir).clusters().select("cluster_id", "cluster_type", "canonical_url", "domain", "post_count", "unique_authors", "lead_post_uri", "lead_score", "cluster_score", "lead_reason")
 
 
-@query("SELECT m.cluster_id, m.uri, m.author_did, m.score_r AS score, m.place = 1 AS is_lead FROM members m JOIN (SELECT cluster_id FROM clusters ORDER BY cluster_score DESC, type_rank, first_rank LIMIT 5) USING (cluster_id)")
+@query("SELECT m.cluster_id, m.uri, m.author_did, m.score_r AS score, m.place = 1 AS is_lead, v.headline, v.author_handle, v.web_url, v.likes AS like_count, v.replies AS reply_count, length(v.text) > 40 AS shows_text FROM members m JOIN (SELECT cluster_id FROM clusters ORDER BY cluster_score DESC, type_rank, first_rank LIMIT 5) USING (cluster_id) JOIN views v ON v.uri = m.uri")
 def story_pages(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    top = f.clusters().orderBy(F.desc("cluster_score"), "type_rank", "first_rank").limit(5).select("cluster_id")
-    return f.members().join(top, "cluster_id").select("cluster_id", "uri", "author_did", F.col("score_r").alias("score"), (F.col("place") == 1).alias("is_lead"))
+    members = f.members()
+    top = cluster.clusters(members).orderBy(F.desc("cluster_score"), "type_rank", "first_rank").limit(5).select("cluster_id")
+    return edition.story_page(members.join(top, "cluster_id"), f.views).select("cluster_id", "uri", "author_did", "score", "is_lead", "headline", "author_handle", "web_url", "like_count", "reply_count", "shows_text")
 
 
-@query("SELECT pos::INT AS pos, uri, score, cluster_type, cluster_id, post_count, headline FROM items")
+@query("SELECT cluster_id, array_to_string(list(author_did ORDER BY p), ' ') AS authors FROM (SELECT cluster_id, author_did, min(place) AS p FROM members GROUP BY 1, 2) GROUP BY 1")
+def story_authors(spark, sf_dir):
+    return display.story_authors(Feed(spark, sf_dir).members()).select("cluster_id", F.array_join("authors", " ").alias("authors"))
+
+
+@query("SELECT pos::INT AS pos, uri, score, cluster_type, cluster_id, post_count, headline, author_handle, array_to_string(langs, ',') AS langs, external_uri, web_url, shown_at AS created_at, 'active' AS cluster_state FROM items")
 def edition_items(spark, sf_dir):
-    return Feed(spark, sf_dir).items().select(F.col("pos").cast("int").alias("pos"), "uri", "score", "cluster_type", "cluster_id", "post_count", "headline")
+    return Feed(spark, sf_dir).items().select(F.col("pos").cast("int").alias("pos"), "uri", "score", "cluster_type", "cluster_id", "post_count", "headline", "author_handle", F.array_join("langs", ",").alias("langs"), "external_uri", "web_url", "created_at", "cluster_state")
 
 
-@query("SELECT pos::INT AS pos, uri, round(score, 6) AS score, cluster_type, cluster_id, post_count, unique_authors, headline, is_docket FROM page")
+@query("SELECT pos::INT AS pos, uri, round(score, 6) AS score, cluster_type, cluster_id, post_count, unique_authors, headline, is_docket, subtitle, array_to_string(preview, '; ') AS preview FROM page")
 def docket_cards(spark, sf_dir):
-    return Feed(spark, sf_dir).page().select(F.col("pos").cast("int").alias("pos"), "uri", F.round("score", 6).alias("score"), "cluster_type", "cluster_id", "post_count", "unique_authors", "headline", "is_docket")
+    return Feed(spark, sf_dir).page().select(F.col("pos").cast("int").alias("pos"), "uri", F.round("score", 6).alias("score"), "cluster_type", "cluster_id", "post_count", "unique_authors", "headline", "is_docket", "subtitle", F.array_join("preview", "; ").alias("preview"))
+
+
+@query("SELECT uri, title, headline, author_handle, array_to_string(langs, ',') AS langs, external_uri, likes AS like_count FROM views")
+def post_views(spark, sf_dir):
+    """Every post's view: the link of its embed, the chosen headline, who may be seen."""
+    return views.shown(Feed(spark, sf_dir).views).select("uri", F.col("external_title").alias("title"), edition.display_headline().alias("headline"), "author_handle", F.array_join("langs", ",").alias("langs"), "external_uri", "like_count")
+
+
+@query("""SELECT uri, coalesce(headline, '') <> '' AND coalesce(text, '') <> '' AND NOT starts_with(t, substr(h, 1, 30)) AND NOT starts_with(h, substr(t, 1, 30)) AS excerpt FROM (SELECT *, regexp_replace(regexp_replace(headline, '^\\s+|\\s+$', '', 'g'), '[.!?…]+$', '') AS h FROM views)""")
+def excerpts(spark, sf_dir):
+    v = views.shown(Feed(spark, sf_dir).views)
+    return v.select("uri", T.excerpt_differs(edition.display_headline(), F.col("text")).alias("excerpt"))
 
 
 @query("SELECT hero_idx::INT AS hero_idx FROM hero")
@@ -196,9 +219,13 @@ def edition_character(spark, sf_dir):
 
 @query("SELECT pos::INT AS pos, uri, CASE WHEN src THEN 'source' WHEN wg AND gn <= 8 THEN 'graph' ELSE 'wire' END AS col FROM front3")
 def column_routing(spark, sf_dir):
-    page = Feed(spark, sf_dir).page()
-    chosen = edition.hero(page).collect()[0].hero_idx  # one value
-    return edition.columns(page, chosen).select(F.col("pos").cast("int").alias("pos"), "uri", "col")
+    return edition.columns(Feed(spark, sf_dir).page()).select(F.col("pos").cast("int").alias("pos"), "uri", "col")
+
+
+@query("SELECT uri, i::INT AS i, CASE WHEN i < 5 THEN 'strip' WHEN i >= 6 THEN 'fold' END AS slice, CASE WHEN i >= 6 THEN (i - 6) % 2 END::INT AS side FROM (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS i FROM front3 WHERE NOT src AND NOT (wg AND gn <= 8))")
+def wire_slices(spark, sf_dir):
+    wire = edition.columns(Feed(spark, sf_dir).page()).where("col = 'wire'")
+    return display.wire_slices(wire).select("uri", "i", "slice", F.col("side").cast("int").alias("side"))
 
 
 def _lens(name: str) -> str:
@@ -206,29 +233,34 @@ def _lens(name: str) -> str:
     d = O.host("coalesce(nullif(external_uri, ''), canonical_url)")
     said = "lower(coalesce(text, '') || ' ' || coalesce(headline, ''))"
     extra = f" OR list_has_any(list_transform(list_filter(reasons, lambda r: starts_with(r, 'domain:')), lambda r: split_part(r, ':', 2)), {O._list(dims.BUSINESS_REGULATORS)})" if name == "business" else ""
-    return f"SELECT uri FROM page WHERE coalesce({O._in(d, domains)}, false) OR " + " OR ".join(f"contains({said}, '{w.lower()}')" for w in words) + extra
+    return f"SELECT uri, (row_number() OVER (ORDER BY pos) - 1)::INT AS lens_pos FROM page WHERE coalesce({O._in(d, domains)}, false) OR " + " OR ".join(f"contains({said}, '{w.lower()}')" for w in words) + extra
 
 
 @query(_lens("business"))
 def lens_business(spark, sf_dir):
-    return edition.lens(Feed(spark, sf_dir).page(), "business").select("uri")
+    return edition.lens(Feed(spark, sf_dir).page(), "business").select("uri", "lens_pos")
 
 
 @query(_lens("sports"))
 def lens_sports(spark, sf_dir):
-    return edition.lens(Feed(spark, sf_dir).page(), "sports").select("uri")
+    return edition.lens(Feed(spark, sf_dir).page(), "sports").select("uri", "lens_pos")
 
 
 @query(_lens("weather"))
 def lens_weather(spark, sf_dir):
-    return edition.lens(Feed(spark, sf_dir).page(), "weather").select("uri")
+    return edition.lens(Feed(spark, sf_dir).page(), "weather").select("uri", "lens_pos")
+
 
+TAG_SQL = """list_filter([CASE WHEN NOT is_known THEN 'outsider:outsider' WHEN seed_class = 'mutual' THEN 'mutual:mutual' WHEN seed_class IN ('followed', 'follower') THEN 'graph:graph' WHEN seed_class = 'trusted_list' THEN 'graph:trusted' END,
+    CASE WHEN is_repost THEN NULL WHEN reply_to_uri IS NULL AND quote_uri IS NULL THEN 'original:original' WHEN quote_uri IS NULL AND length(text) > 100 THEN 'substance:good reply' END, CASE WHEN evid THEN 'link:linked' END,
+    CASE WHEN bonus >= 2.5 THEN 'source:primary source' WHEN bonus >= 1 THEN 'reporting:reporting' END, CASE WHEN c_substance > 0 AND NOT (NOT is_repost AND reply_to_uri IS NOT NULL AND quote_uri IS NULL AND length(text) > 100) THEN 'substance:substance' END], lambda x: x IS NOT NULL)"""
 
-@query("""SELECT uri, array_to_string(list_filter([CASE WHEN NOT is_known THEN 'outsider' WHEN seed_class = 'mutual' THEN 'mutual' WHEN seed_class IN ('followed', 'follower') THEN 'graph' WHEN seed_class = 'trusted_list' THEN 'trusted' END,
-    CASE WHEN is_repost THEN NULL WHEN reply_to_uri IS NULL AND quote_uri IS NULL THEN 'original' WHEN quote_uri IS NULL AND length(text) > 100 THEN 'good reply' END, CASE WHEN evid THEN 'linked' END,
-    CASE WHEN bonus >= 2.5 THEN 'primary source' WHEN bonus >= 1 THEN 'reporting' END, CASE WHEN c_substance > 0 AND NOT (NOT is_repost AND reply_to_uri IS NOT NULL AND quote_uri IS NULL AND length(text) > 100) THEN 'substance' END], lambda x: x IS NOT NULL)[1:4], ', ') AS tags FROM scored""")
+
+@query(f"SELECT uri, array_to_string({TAG_SQL}[1:4], ', ') AS tags, array_to_string(CASE event_id % 4 WHEN 0 THEN ['state-emerging:emerging'] WHEN 1 THEN ['state-persistent:persistent'] ELSE [] END || {TAG_SQL}[1:CASE WHEN event_id % 4 < 2 THEN 3 ELSE 4 END], ', ') AS with_state FROM scored")
 def reason_tags(spark, sf_dir):
-    return Feed(spark, sf_dir).scored().select("uri", F.array_join(edition.tags(F.col("reasons")), ", ").alias("tags"))
+    named = lambda c: F.array_join(F.transform(c, lambda t: F.concat(t["css"], F.lit(":"), t["label"])), ", ")
+    story = F.get(F.array(*[F.lit(x) for x in ("emerging", "persistent", "active", "none")]), (F.col("event_id") % 4).cast("int"))
+    return Feed(spark, sf_dir).scored().select("uri", named(edition.tags(F.col("reasons"))).alias("tags"), named(edition.tags(F.col("reasons"), state=story)).alias("with_state"))
 
 
 @query("""SELECT coalesce(c.cluster_id, o.cluster_id) AS cluster_id, (coalesce(o.was, 0) + (c.cluster_id IS NOT NULL)::INT)::BIGINT AS editions_present,
@@ -240,6 +272,40 @@ def cluster_lifecycle(spark, sf_dir):
     return cluster.lifecycle(old.union(spark.createDataFrame([("url_gone", 5, "active")], "cluster_id string, editions_present int, state string")), now)
 
 
+KNOWN_SQL = "(SELECT cluster_id, CASE WHEN type_rank = 4 THEN 2 ELSE 1 END AS was, CASE WHEN n > 2 THEN 'fading' ELSE 'active' END AS state, 'old ' || cluster_key AS cluster_key FROM clusters WHERE n > 1 OR ascii(right(cluster_id, 1)) % 2 = 0 UNION ALL SELECT 'url_gone', 5, 'persistent', 'gone' UNION ALL SELECT 'url_long_gone', 5, 'fading', 'long gone')"
+
+
+def _known_stories(spark, now: DataFrame, at) -> DataFrame:
+    """What an earlier edition may have left: some of the stories, one that is gone, one that has been for long."""
+    some = now.where((F.col("post_count") > 1) | (F.ascii(F.right("cluster_id", F.lit(1))) % 2 == 0))
+    some = some.select("cluster_id", F.when(F.col("type_rank") == 4, 2).otherwise(1).alias("editions_present"), F.when(F.col("post_count") > 2, "fading").otherwise("active").alias("state"), F.concat(F.lit("old "), "cluster_key").alias("cluster_key"))
+    gone = spark.createDataFrame([("url_gone", 5, "persistent", "gone"), ("url_long_gone", 5, "fading", "long gone")], "cluster_id string, editions_present int, state string, cluster_key string")
+    seen = F.lit(at).cast("timestamp_ntz") - F.expr("INTERVAL '1' HOUR")
+    return schema.migrated(some.union(gone).withColumns({"first_seen_at": seen, "last_seen_at": seen}), "story_clusters")
+
+
+@query(f"""SELECT coalesce(o.cluster_id, c.cluster_id) AS cluster_id, CASE WHEN o.cluster_id IS NULL THEN c.cluster_type END AS cluster_type, coalesce(o.cluster_key, c.cluster_key) AS cluster_key, coalesce(o.was, 0) + (c.cluster_id IS NOT NULL)::INT AS editions_present,
+    CASE WHEN c.cluster_id IS NULL THEN 'fading' WHEN o.cluster_id IS NULL THEN 'emerging' WHEN o.was + 1 >= 3 THEN 'persistent' ELSE 'active' END AS state, c.lead_post_uri, c.cluster_score, c.n AS post_count,
+    o.cluster_id IS NULL AS first_seen_now, coalesce(c.cluster_id IS NOT NULL OR o.state <> 'fading', true) AS last_seen_now FROM clusters c FULL JOIN {KNOWN_SQL} o ON o.cluster_id = c.cluster_id""")
+def story_table(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    now = f.clusters()
+    t = cluster.persisted(_known_stories(spark, now, f.now), now, f.now)
+    at = F.lit(f.now).cast("timestamp_ntz")
+    return t.select("cluster_id", "cluster_type", "cluster_key", F.col("editions_present").cast("long").alias("editions_present"), "state", "lead_post_uri", "cluster_score", "post_count", (F.col("first_seen_at") == at).alias("first_seen_now"), (F.col("last_seen_at") == at).alias("last_seen_now"))
+
+
+@query("SELECT cluster_id, uri AS post_uri, author_did, score_r AS post_score, place = 1 AS is_lead, true AS joined_now FROM members UNION ALL SELECT 'url_gone', uri, author_did, -1.0::DOUBLE, false, false FROM members WHERE place > 1")
+def story_member_table(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    m = f.members()
+    before = F.lit(f.now).cast("timestamp_ntz") - F.expr("INTERVAL '1' HOUR")
+    old = m.select("cluster_id", F.col("uri").alias("post_uri"), "author_did", F.lit(-1.0).alias("post_score"), before.alias("joined_at"), F.lit(False).alias("is_lead"))
+    gone = old.join(m.where("place > 1").select(F.col("uri").alias("post_uri")), "post_uri", "left_semi").withColumn("cluster_id", F.lit("url_gone")).select(*old.columns)
+    t = cluster.member_table(old.where("post_uri like '%1'").union(gone), m, f.now)
+    return t.select("cluster_id", "post_uri", "author_did", "post_score", "is_lead", (F.col("joined_at") == F.lit(f.now).cast("timestamp_ntz")).alias("joined_now"))
+
+
 @query("SELECT uri, 'new' AS change FROM items WHERE uri NOT IN (SELECT uri FROM page) UNION ALL SELECT uri, 'gone' FROM page WHERE uri NOT IN (SELECT uri FROM items WHERE pos < 20) AND uri NOT IN (SELECT uri FROM items WHERE uri NOT IN (SELECT uri FROM page))")
 def edition_diff(spark, sf_dir):
     f = Feed(spark, sf_dir)
@@ -250,55 +316,59 @@ def edition_diff(spark, sf_dir):
 
 @query("SELECT feed_name, edition_id, nth::INT AS nth FROM (SELECT event_type AS feed_name, event_id AS edition_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 100")
 def edition_retention(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("feed_name"), F.col("event_id").alias("edition_id"), F.col("ts").alias("created_at"))
-    return edition.retained(e).select("feed_name", "edition_id", "nth")
+    return edition.retained(fixtures.editions(spark, sf_dir)).select("feed_name", "edition_id", "nth")
 
 
-FOLLOW_SQL = "(SELECT 'did:u' || k AS did FROM range(0, 9) r(k))"
-FOLLOWER_SQL = "(SELECT 'did:u' || k AS did FROM range(0, 15) r(k) WHERE k < 5 OR k >= 11)"
+FOLLOW_SQL = "(SELECT 'did:u' || k AS did FROM people WHERE k % 20 < 9)"
+FOLLOWER_SQL = "(SELECT 'did:u' || k AS did FROM people WHERE k % 20 < 5 OR k % 20 BETWEEN 11 AND 14)"
+GRAPH_SQL = f"SELECT coalesce(a.did, b.did) AS did, CASE WHEN a.did IS NULL THEN 'follower' WHEN b.did IS NULL THEN 'followed' ELSE 'mutual' END AS kind FROM {FOLLOW_SQL} a FULL JOIN {FOLLOWER_SQL} b ON a.did = b.did"
 
 
-@query(f"SELECT coalesce(a.did, b.did) AS author_did, CASE WHEN a.did IS NULL THEN 'follower' WHEN b.did IS NULL THEN 'followed' ELSE 'mutual' END AS seed_class, (CASE WHEN a.did IS NULL THEN 1 WHEN b.did IS NULL THEN 2 ELSE 4 END)::DOUBLE AS trusted_score FROM {FOLLOW_SQL} a FULL JOIN {FOLLOWER_SQL} b ON a.did = b.did UNION ALL SELECT author_did, 'stale', 0.1::DOUBLE FROM authors WHERE author_did NOT IN (SELECT did FROM {FOLLOW_SQL}) AND author_did NOT IN (SELECT did FROM {FOLLOWER_SQL})")
+@query(f"SELECT did AS author_did, kind AS seed_class, (CASE kind WHEN 'follower' THEN 1 WHEN 'followed' THEN 2 ELSE 4 END)::DOUBLE AS trusted_score FROM ({GRAPH_SQL}) UNION ALL SELECT author_did, 'stale', 0.1::DOUBLE FROM authors WHERE author_did NOT IN (SELECT did FROM ({GRAPH_SQL}))")
 def graph_refresh(spark, sf_dir):
-    return graph.refreshed(fixtures.authors(spark).withColumnRenamed("did", "author_did"), fixtures.follows(spark), fixtures.followers(spark))
+    return graph.refreshed(Feed(spark, sf_dir).known, fixtures.follows(spark, sf_dir), fixtures.followers(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (kind = 'mutual') AS mutuals, (SELECT count(*) FROM {FOLLOW_SQL}) AS follows, (SELECT count(*) FROM {FOLLOWER_SQL}) AS followers, (SELECT count(*) FROM authors WHERE author_did NOT IN (SELECT did FROM ({GRAPH_SQL}))) AS stale FROM ({GRAPH_SQL})")
+def graph_counters(spark, sf_dir):
+    return graph.counters(Feed(spark, sf_dir).known, fixtures.follows(spark, sf_dir), fixtures.followers(spark, sf_dir))
 
 
 @query("SELECT uri FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 48 HOUR")
 def purge(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    return rank.since(f.posts, f.now, dims.RETENTION_HOURS).select("uri")
+    return state.purge(f.posts, f.now).select("uri")
+
+
+KEPT_SQL = "(SELECT * FROM (SELECT event_type AS feed_name, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 100)"
 
 
-@query("SELECT (SELECT count(*) FROM posts) AS posts, (SELECT count(*) FROM authors) AS authors, (SELECT count(*) FROM authors WHERE seed_class = 'stale') AS authors_stale, 1::BIGINT AS exclusions, (SELECT count(*) FROM tight) AS ranked")
+@query(f"SELECT (SELECT count(*) FROM posts) AS posts, (SELECT count(*) FROM authors) AS authors, (SELECT count(*) FROM authors WHERE seed_class = 'stale') AS authors_stale, (SELECT count(*) FROM barred) AS exclusions, (SELECT count(*) FROM tight) AS ranked, (SELECT count(*) FROM {KEPT_SQL}) AS editions, (SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 1) AS latest_edition, (SELECT max(event_id)::VARCHAR FROM events WHERE event_type = 'click' AND user_id = 3) AS last_graph_refresh")
 def debug_stats(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    one = lambda df, *a: df.agg(*a)
-    n = F.count(F.lit(1))
-    parts = [one(f.posts, n.alias("posts")), one(f.known, n.alias("authors"), F.count_if(F.col("seed_class") == "stale").alias("authors_stale")), one(rank.excluded(fixtures.exclusion_commands(spark)), n.alias("exclusions")), one(f.composed(dims.PER_AUTHOR), n.alias("ranked"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)  # one row each
-    return out
+    n, held = F.count(F.lit(1)), edition.retained(fixtures.editions(spark, sf_dir))
+    excluded = state.exclusions(spark.createDataFrame([], "did string, requested_at int, source string, state string, note string"), _asked(f)).where("state = 'excluded'")
+    parts = [
+        f.posts.agg(n.alias("posts")), f.known.agg(n.alias("authors"), F.count_if(F.col("seed_class") == "stale").alias("authors_stale")), excluded.agg(n.alias("exclusions")), f.composed(dims.PER_AUTHOR).agg(n.alias("ranked")), held.agg(n.alias("editions")),
+        state.nth_latest(held.drop("nth"), 1).where("feed_name = 'view'").agg(F.max("edition_id").alias("latest_edition")), state.by_key(fixtures.state(spark, sf_dir, "click"), "key", "cursor:3").agg(F.max("value").alias("last_graph_refresh")),
+    ]
+    return functools.reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
 
 
-@query("SELECT c.uri, c.score_r AS score, coalesce(c.handle, '?') AS author_handle, coalesce(c.seed_class, '') AS seed_class, c.sl::INT AS non_url_text_len, coalesce(c.external_domain, '') AS external_domain, substr(c.text, 1, 80) AS text_preview FROM tight c WHERE rank <= 30")
+@query("SELECT c.uri, c.score_r AS score, coalesce(c.handle, '?') AS author_handle, coalesce(c.seed_class, '') AS seed_class, round(stink_score::DOUBLE, 3) AS author_stink, c.sl::INT AS non_url_text_len, coalesce(c.external_domain, '') AS external_domain, substr(c.text, 1, 80) AS text_preview FROM tight c WHERE rank <= 30")
 def debug_ranking(spark, sf_dir):
     c = Feed(spark, sf_dir).composed(dims.PER_AUTHOR).where("rank <= 30")
-    return c.select("uri", F.col("score_r").alias("score"), F.coalesce("handle", F.lit("?")).alias("author_handle"), F.coalesce("seed_class", F.lit("")).alias("seed_class"), F.col("stripped_len").alias("non_url_text_len"), F.coalesce("external_domain", F.lit("")).alias("external_domain"), F.substring("text", 1, 80).alias("text_preview"))
+    return c.select("uri", F.col("score_r").alias("score"), F.coalesce("handle", F.lit("?")).alias("author_handle"), F.coalesce("seed_class", F.lit("")).alias("seed_class"), F.round(F.coalesce("stink_score", F.lit(0.0)), 3).alias("author_stink"), F.col("stripped_len").alias("non_url_text_len"), F.coalesce("external_domain", F.lit("")).alias("external_domain"), F.substring("text", 1, 80).alias("text_preview"))
 
 
-@query("SELECT author_did, uri, nth::INT AS nth FROM (SELECT author_did, uri, row_number() OVER (PARTITION BY author_did ORDER BY created_at DESC, uri) AS nth FROM posts WHERE length(trim(text)) >= 10 AND NOT is_repost) WHERE nth <= 5")
+@query(f"SELECT author_did, uri, nth::INT AS nth, list_position({O._list(['did:' + h for h in dims.WATCHLIST])}, author_did) AS place FROM (SELECT author_did, uri, row_number() OVER (PARTITION BY author_did ORDER BY created_at DESC, uri) AS nth FROM posts WHERE length(trim(text)) >= 10 AND NOT is_repost AND author_did IN ({', '.join(repr('did:' + h) for h in dims.WATCHLIST)})) WHERE nth <= 5")
 def watch_topn(spark, sf_dir):
-    from pyspark.sql import Window
+    return display.watched(Feed(spark, sf_dir).posts, ["did:" + h for h in dims.WATCHLIST]).select("author_did", "uri", "nth", F.col("place").cast("int").alias("place"))
 
-    p = Feed(spark, sf_dir).posts.where((F.length(T.strip(F.col("text"))) >= 10) & ~F.col("is_repost"))
-    return p.withColumn("nth", F.row_number().over(Window.partitionBy("author_did").orderBy(F.desc("created_at"), "uri"))).where("nth <= 5").select("author_did", "uri", "nth")
 
-
-@query("SELECT uri FROM posts WHERE author_did IN ('did:u0', 'did:u1') AND length(trim(text)) >= 20 AND NOT is_repost ORDER BY created_at DESC, uri LIMIT 10")
+@query(f"SELECT uri, CASE WHEN author_did = 'did:u1' THEN 'main' ELSE 'other' END AS side FROM (SELECT * FROM posts WHERE author_did IN ({', '.join(map(repr, dims.HOUSE))}) AND length(trim(text)) >= 20 AND NOT is_repost ORDER BY created_at DESC, uri LIMIT 10)")
 def desk_posts(spark, sf_dir):
-    p = Feed(spark, sf_dir).posts.where(F.col("author_did").isin("did:u0", "did:u1") & (F.length(T.strip(F.col("text"))) >= 20) & ~F.col("is_repost"))
-    return p.orderBy(F.desc("created_at"), "uri").limit(10).select("uri")
+    return display.desk_sides(display.house_posts(Feed(spark, sf_dir).posts, dims.HOUSE), "did:u1").select("uri", "side")
 
 
 @query(f"SELECT uri, 'https://bsky.app/profile/' || author_did || '/post/' || event_id AS web_url, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS age FROM (SELECT *, (epoch_us((SELECT t FROM now)) - epoch_us(created_at)) // 60000000 AS m FROM posts)")
@@ -308,17 +378,44 @@ def relative_time(spark, sf_dir):
     return p.select("uri", U.web_url(F.col("uri")).alias("web_url"), T.relative_time(F.expr("timestampdiff(MICROSECOND, created_at, as_of)") / 1e6).alias("age"))
 
 
-@query("SELECT * FROM (VALUES ('did:u14', 'opt_out'), ('did:u13', 'opt_in')) v(did, last_command)")
+def _asked(f: Feed) -> DataFrame:
+    return f.commands.withColumn("command", T.command(F.col("text"))).where("command is not null")
+
+
+@query("SELECT did, arg_max(command, sent_at) AS last_command FROM asked WHERE command IS NOT NULL GROUP BY 1")
 def dm_commands(spark, sf_dir):
-    said = fixtures.exclusion_commands(spark).withColumn("command", T.command(F.col("text"))).where("command is not null")
-    return said.groupBy("did").agg(F.max_by("command", "sent_at").alias("last_command"))
+    return _asked(Feed(spark, sf_dir)).groupBy("did").agg(F.max_by("command", "sent_at").alias("last_command"))
 
 
-@query("SELECT 'at://' || author_did || '/app.bsky.feed.' || CASE WHEN is_repost THEN 'repost' ELSE 'post' END || '/' || event_id AS uri, author_did, epoch_us(created_at) AS created_us, text, reply_to_uri, root_uri, external_uri, external_domain, is_repost, lang AS langs FROM posts")
+@query("SELECT did, CASE WHEN did = 'did:u14' THEN 'page' ELSE 'dm' END AS source, CASE last WHEN 'opt_out' THEN 'excluded' ELSE 'included' END AS state FROM (SELECT did, arg_max(command, sent_at) AS last FROM asked WHERE command IS NOT NULL GROUP BY 1) WHERE did IN (SELECT did FROM asked WHERE command = 'opt_out') UNION ALL SELECT 'did:none', 'page', 'excluded'")
+def exclusion_table(spark, sf_dir):
+    held = spark.createDataFrame([("did:u14", "page", "included"), ("did:none", "page", "excluded")], "did string, source string, state string")
+    f = Feed(spark, sf_dir)
+    held = held.join(f.commands.select("did").union(held.where("did = 'did:none'").select("did")).distinct(), "did", "left_semi")
+    return state.exclusions(schema.migrated(held, "exclusions").withColumn("requested_at", F.lit(None).cast("int")), _asked(f)).select("did", "source", "state")
+
+
+@query("SELECT did, text, (SELECT greatest(max(sent_at), 1) FROM commands WHERE sent_at > 1) AS high_water FROM commands WHERE sent_at > 1")
+def new_messages(spark, sf_dir):
+    fresh = display.new_messages(Feed(spark, sf_dir).commands, 1)
+    return fresh.crossJoin(display.high_water(fresh, 1)).select("did", "text", "high_water")  # one row on the right
+
+
+@query("SELECT 'at://' || author_did || '/app.bsky.feed.' || CASE WHEN is_repost THEN 'repost' ELSE 'post' END || '/' || event_id AS uri, author_did, epoch_us(created_at) AS created_us, text, reply_to_uri, root_uri, quote_uri, external_uri, external_domain, has_image, is_repost, lang AS langs, CASE WHEN external_uri IS NOT NULL AND least(link_count, facets_count) = 0 THEN 1 ELSE least(link_count, facets_count) END AS link_count, facets_count FROM (SELECT * REPLACE (has_image AND external_uri IS NULL AS has_image) FROM posts)")
 def parse_commit(spark, sf_dir):
     f = Feed(spark, sf_dir)
     p = commits.parsed(commits.frames(f.posts), f.now)
-    return p.select("uri", "author_did", F.unix_micros("created_at").alias("created_us"), "text", "reply_to_uri", "root_uri", "external_uri", "external_domain", "is_repost", "langs")
+    return p.select("uri", "author_did", F.unix_micros("created_at").alias("created_us"), "text", "reply_to_uri", "root_uri", "quote_uri", "external_uri", "external_domain", "has_image", "is_repost", "langs", "link_count", "facets_count")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts - INTERVAL 2 HOUR) ELSE epoch_us((SELECT t FROM now)) END AS at_us FROM events")
+def utc_times(spark, sf_dir):
+    """Times as text: with a Z, with an offset, and not to be read, which counts as now."""
+    i, e = F.col("event_id") % 3, spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    said = F.when(i == 0, F.concat(plain, F.lit("Z"))).when(i == 1, F.concat(plain, F.lit("+02:00"))).otherwise("some day")
+    now = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', timestamp_ntz'{fixtures.as_of(spark, sf_dir)}')")
+    return e.select("event_id", F.coalesce(F.unix_micros(display.utc(said)), now).alias("at_us"))
 
 
 @query(f"SELECT 'at://' || author_did || '/app.bsky.feed.' || CASE WHEN is_repost THEN 'repost' ELSE 'post' END || '/' || event_id AS uri FROM posts WHERE author_did IN (SELECT author_did FROM authors) OR {O.bonus('external_domain')} >= 2.0")
@@ -338,21 +435,74 @@ def edition_page(spark, sf_dir):
     return _edition_page(Feed(spark, sf_dir).page(), 10, 10)
 
 
-@query("SELECT arg_min(substr(headline, 1, 80), abs(pos - (SELECT hero_idx FROM hero))) AS hero_headline, count(*) AS n_items, (SELECT string_agg(domain, ', ' ORDER BY n DESC, first_pos) FROM (SELECT * FROM domains ORDER BY n DESC, first_pos LIMIT 3)) AS domains, lpad('1', 4, '0') AS edition_no FROM page")
-def archive_summary(spark, sf_dir):
-    page = Feed(spark, sf_dir).page()
-    top = edition.top_domains(page, 3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first_pos", "domain"))), lambda x: x["domain"]), ", ").alias("domains"))
-    chosen = page.crossJoin(edition.hero(page))  # one row on the right
-    one = chosen.agg(F.min_by(F.substring("headline", 1, 80), F.abs(F.col("pos") - F.col("hero_idx"))).alias("hero_headline"), F.count(F.lit(1)).alias("n_items"))
-    return one.crossJoin(top).withColumn("edition_no", F.lpad(F.lit("1"), 4, "0"))
+@query(f"SELECT 'e' AS edition_id, (SELECT count(*) + 1 FROM {KEPT_SQL} WHERE feed_name = 'view')::BIGINT AS edition_num, (SELECT hero_idx FROM hero)::INT AS hero_idx, count(*)::INT AS n_items, string_agg(headline, '; ' ORDER BY pos) AS headlines, (SELECT string_agg(domain || ' ' || n, ', ' ORDER BY n DESC, first_pos) FROM (SELECT * FROM domains ORDER BY n DESC, first_pos LIMIT 5)) AS domains FROM page")
+def edition_freeze(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    one = edition.frozen(edition.retained(fixtures.editions(spark, sf_dir)), f.page(), "view", "e", f.now)
+    named = F.array_join(F.transform("stats.top_domains", lambda d: F.concat(d["domain"], F.lit(" "), d["n"].cast("string"))), ", ")
+    return one.select("edition_id", F.col("stats.edition_num").alias("edition_num"), "hero_idx", F.size("items").alias("n_items"), F.array_join(F.transform("items", lambda x: x["headline"]), "; ").alias("headlines"), named.alias("domains"))
+
+
+ARCHIVE_SQL = """SELECT event_id AS edition_id, lpad((row_number() OVER (ORDER BY event_id))::VARCHAR, 4, '0') AS edition_no, (1 + event_id % 3)::BIGINT AS total, list_transform(range(0, 1 + event_id % 3), lambda k: 'Story ' || (k + 1) || ' of the hour') AS heads, (event_id % 2)::INT AS hero_idx, ts
+    FROM events WHERE event_type = 'signup'"""
+
+
+@query(f"SELECT edition_id::VARCHAR AS edition_id, edition_no, total, coalesce(heads[hero_idx + 1], '') AS hero_headline, 'a.org, b.org, c.org' AS domains FROM ({ARCHIVE_SQL}) ORDER BY ts DESC, edition_id::VARCHAR DESC LIMIT 20")
+def archive_listing(spark, sf_dir):
+    """The last editions of a table of many, one for each signup."""
+    i = F.col("event_id")
+    every = F.row_number().over(Window.orderBy("event_id"))  # the fixture's numbers
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").withColumn("edition_num", every.cast("long"))
+    items = F.transform(F.sequence(F.lit(0), (i % 3).cast("int")), lambda k: F.struct(k.alias("pos"), F.concat(F.lit("Story "), (k + 1).cast("string"), F.lit(" of the hour")).alias("headline")))
+    domains = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(n).alias("n")) for d, n in (("a.org", 4), ("b.org", 3), ("c.org", 2), ("d.org", 1))])
+    stats = F.struct((1 + i % 3).alias("total"), F.lit(50).alias("original_pct"), F.lit(0).alias("url_clusters"), F.lit("Mixed").alias("character"), domains.alias("top_domains"), "edition_num")
+    held = e.select(i.cast("string").alias("edition_id"), F.lit("receipts").alias("feed_name"), F.col("ts").alias("created_at"), items.alias("items"), stats.alias("stats"), (i % 2).cast("int").alias("hero_idx"))
+    return edition.archive(held, "receipts").select("edition_id", "edition_no", "total", "hero_headline", "domains")
+
+
+@query("""SELECT * FROM (WITH moved AS (SELECT 'new' AS change, pos, uri, headline FROM items WHERE pos < 20 AND uri NOT IN (SELECT uri FROM page WHERE pos >= 6) UNION ALL SELECT 'fading', pos, uri, headline FROM page WHERE pos >= 6 AND uri NOT IN (SELECT uri FROM items WHERE pos < 20)),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY pos, uri) AS n, count(*) OVER (PARTITION BY change) AS total FROM moved)
+    SELECT change, uri, total FROM nth WHERE n <= CASE change WHEN 'new' THEN 5 ELSE 3 END UNION ALL SELECT c, NULL, 0 FROM (VALUES ('new'), ('fading')) v(c) WHERE c NOT IN (SELECT change FROM moved))""")
+def change_previews(spark, sf_dir):
+    f = Feed(spark, sf_dir)
+    items = f.items()
+    return display.change_previews(items.where("pos < 20"), edition.compacted(items).where("pos >= 6")).select("change", "uri", "total")
 
 
-@query("SELECT author_did, handle, seed_class, trusted_score FROM (SELECT author_did, handle, CASE WHEN k % 2 = 0 THEN 'followed' ELSE seed_class END AS seed_class, CASE WHEN k % 2 = 0 THEN 2.0::DOUBLE ELSE trusted_score::DOUBLE END AS trusted_score FROM (SELECT *, substr(handle, 2)::INT AS k FROM authors)) UNION ALL SELECT 'did:u16', NULL, 'followed', 2.0 UNION ALL SELECT 'did:u18', NULL, 'followed', 2.0")
+@query("SELECT coalesce(a.author_did, n.did) AS author_did, a.handle, CASE WHEN n.did IS NULL THEN a.seed_class ELSE 'followed' END AS seed_class, CASE WHEN n.did IS NULL THEN a.trusted_score ELSE 2.0::DOUBLE END AS trusted_score FROM authors a FULL JOIN (SELECT 'did:u' || k AS did FROM people WHERE k % 2 = 0) n ON n.did = a.author_did")
 def author_upsert(spark, sf_dir):
-    new = spark.range(0, 20, 2).select(F.concat(F.lit("did:u"), F.col("id").cast("string")).alias("author_did"), F.lit("followed").alias("seed_class"), F.lit(2.0).alias("trusted_score"))
+    new = fixtures.people(spark, sf_dir).where("k % 2 = 0").select(F.col("did").alias("author_did"), F.lit("followed").alias("seed_class"), F.lit(2.0).alias("trusted_score"))
     return state.upsert(Feed(spark, sf_dir).known, new, "author_did", ["author_did", "seed_class", "trusted_score"])
 
 
+def _state_sql(kind: str) -> str:
+    return f"(SELECT 'cursor:' || user_id AS key, max(event_id)::VARCHAR AS value FROM events WHERE event_type = '{kind}' GROUP BY 1)"
+
+
+@query(f"SELECT coalesce(n.key, o.key) AS key, coalesce(n.value, o.value) AS value FROM {_state_sql('view')} o FULL JOIN {_state_sql('signup')} n ON o.key = n.key")
+def state_upsert(spark, sf_dir):
+    return state.upsert(fixtures.state(spark, sf_dir, "view"), fixtures.state(spark, sf_dir, "signup"), "key", ["key", "value"])
+
+
+@query("SELECT author_did, handle, seed_class, trusted_score, NULL::DOUBLE AS stink_score, NULL::BIGINT AS posts_24h FROM authors")
+def schema_migration(spark, sf_dir):
+    """A table written before the behaviour columns were there, read under today's schema."""
+    return schema.migrated(Feed(spark, sf_dir).known, "authors").select("author_did", "handle", "seed_class", "trusted_score", "stink_score", "posts_24h")
+
+
+@query("SELECT event_type AS feed_name, arg_max(event_id, {'t': ts, 'i': event_id}) AS edition_id FROM events GROUP BY 1")
+def latest_edition(spark, sf_dir):
+    return state.nth_latest(fixtures.editions(spark, sf_dir), 1).select("feed_name", "edition_id")
+
+
+@query("SELECT * FROM (WITH top AS (SELECT max(score_r) AS c FROM (SELECT * FROM (SELECT score_r, row_number() OVER (ORDER BY rank) AS n FROM composed) WHERE n = 10)), behind AS (SELECT d.* FROM composed d WHERE score_r < (SELECT c FROM top)) SELECT uri, score_r AS score FROM behind ORDER BY rank LIMIT 5)")
+def behind_cursor(spark, sf_dir):
+    """Keyset paging: the posts behind the tenth one's score."""
+    c = Feed(spark, sf_dir).composed()
+    at = c.where("rank = 10").agg(F.max("score_r").alias("at"))  # one row
+    return c.crossJoin(at).where("score_r < at").orderBy("rank").limit(5).select("uri", F.col("score_r").alias("score"))
+
+
 @query("SELECT uri, min(event_id) AS event_id FROM (SELECT uri, event_id FROM posts WHERE event_id % 50 <> 0 AND event_id % 3 = 0 UNION ALL SELECT uri, event_id FROM posts WHERE event_id % 50 <> 0 AND event_id % 3 <> 0) GROUP BY 1")
 def insert_and_delete(spark, sf_dir):
     p = Feed(spark, sf_dir).posts.select("uri", "event_id")
@@ -362,8 +512,7 @@ def insert_and_delete(spark, sf_dir):
 
 @query("SELECT event_type AS feed_name, event_id AS edition_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth = 2")
 def previous_edition(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("feed_name"), F.col("event_id").alias("edition_id"), F.col("ts").alias("created_at"))
-    return state.nth_latest(e, 2).select("feed_name", "edition_id")
+    return state.nth_latest(fixtures.editions(spark, sf_dir), 2).select("feed_name", "edition_id")
 
 
 def _cut(limit: int) -> str:
@@ -374,36 +523,34 @@ def _cut(limit: int) -> str:
     return f"CASE WHEN length(text) <= {limit} THEN text WHEN {sentence} <> '' THEN rtrim({sentence}) ELSE regexp_replace(substr(text, 1, {cut}), '\\s+$', '') || '...' END"
 
 
-@query(f"SELECT uri, {_cut(60)} AS short, coalesce(nullif(regexp_replace(regexp_replace(external_uri, 'https?://', ''), '^(.{{32}}).{{4,}}$', '\\1...'), ''), NULL) AS link FROM posts")
+@query(f"SELECT uri, {_cut(60)} AS short, string_split(uri, '/')[-1] AS name, coalesce(nullif(regexp_replace(regexp_replace(external_uri, 'https?://', ''), '^(.{{32}}).{{4,}}$', '\\1...'), ''), NULL) AS link FROM posts")
 def short_forms(spark, sf_dir):
-    return Feed(spark, sf_dir).posts.select("uri", T.truncate(F.col("text"), 60).alias("short"), U.short_link(F.col("external_uri"), 35).alias("link"))
+    return Feed(spark, sf_dir).posts.select("uri", T.truncate(F.col("text"), 60).alias("short"), U.last_segment(F.col("uri")).alias("name"), U.short_link(F.col("external_uri"), 35).alias("link"))
 
 
 @query(None)
 def marginalia_pick(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("page_id") % 4).alias("kind"))
-    return state.sampled(pages, "kind", "page_id", 202400100, 3)
+    at = spark.range(1).select(F.lit(fixtures.as_of(spark, sf_dir)).alias("at"))
+    return state.sampled(pages.crossJoin(at.select(state.hour_seed(F.col("at")).alias("seed"))), "kind", "page_id", F.col("seed"), 3).select("page_id", "kind", "seed")  # one row on the right
 
 
 @query(f"SELECT DISTINCT 'at://' || author_did || '/app.bsky.feed.' || CASE WHEN is_repost THEN 'repost' ELSE 'post' END || '/' || event_id AS uri FROM posts WHERE event_id % 50 <> 0 AND (author_did IN (SELECT author_did FROM authors) OR {O.bonus('external_domain')} >= 2.0)")
 def stream_equals_batch(spark, sf_dir):
     """Frames with repeats, unparsable lines and deletes, read as a stream to its end."""
-    import tempfile
-    import uuid
-
     from ..streaming import ingest
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="emberdesk-")
-    at = f"{shared}/emberdesk-stream-{uuid.uuid4().hex}"
+    at = new_path(spark, "stream")
     f = Feed(spark, sf_dir)
     lines = commits.frames(f.posts)
     gone = f.posts.where("event_id % 50 = 0").select(F.to_json(F.struct(F.lit("commit").alias("kind"), F.col("author_did").alias("did"), F.struct(F.lit("delete").alias("operation"), F.when(F.col("is_repost"), commits.REPOST).otherwise(commits.POST).alias("collection"), F.col("event_id").cast("string").alias("rkey")).alias("commit"))).alias("value"))
     again = commits.frames(f.posts.where("event_id % 20 = 0"))
     odd = spark.createDataFrame([("not json",), ('{"kind":"identity"}',)], "value string")
-    lines.union(gone).union(again).union(odd).repartition(4).write.text(f"{at}/in")
+    # Sixteen files, the newest events first; repeats may lie in any file.
+    every = lines.union(gone).union(again).union(odd).withColumn("at", F.coalesce(F.get_json_object("value", "$.time_us").cast("long"), F.lit(0)))
+    every.repartitionByRange(16, F.desc("at"), "value").select("value").write.text(f"{at}/in")
     frames = ingest.read_frames(spark, f"{at}/in", 2)
     for start, name, extra in ((ingest.start, "posts", (f.known,)), (ingest.start_tombstones, "gone", ())):
-        # Repeats may lie in any file.
         start(frames, *extra, f"{at}/{name}", f"{at}/{name}-checkpoint", {"availableNow": True}).awaitTermination()
     return ingest.current(spark.read.parquet(f"{at}/posts"), spark.read.schema("uri string").parquet(f"{at}/gone")).select("uri").distinct()
 

@@ -19,8 +19,14 @@ def frames(posts: DataFrame) -> DataFrame:
     """One create event as a JSON line for each post: the inverse of ``parsed`` for tests and streams."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")
     created = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    embed = F.when(F.col("external_uri").isNotNull(), F.struct(F.lit("app.bsky.embed.external").alias("$type"), F.struct(F.col("external_uri").alias("uri")).alias("external")))
-    record = F.struct("text", created.alias("createdAt"), F.array("lang").alias("langs"), F.when(F.col("reply_to_uri").isNotNull(), F.struct(F.struct(F.col("reply_to_uri").alias("uri")).alias("parent"), F.struct(F.col("root_uri").alias("uri")).alias("root"))).alias("reply"), embed.alias("embed"))
+    link, quote, kind = F.struct(F.col("external_uri").alias("uri")), F.struct(F.col("quote_uri").alias("uri")), F.col("event_id") % 3
+    # Links stand in the embed itself or in its media; pictures and quotes are embeds of their own type.
+    link_type = F.when(kind == 0, "app.bsky.embed.recordWithMedia").otherwise("app.bsky.embed.external")
+    with_link = F.struct(link_type.alias("$type"), F.when(kind != 0, link).alias("external"), F.when(kind == 0, F.struct(link.alias("external"))).alias("media"), F.when(F.col("quote_uri").isNotNull(), quote).alias("record"))
+    other = F.struct(F.when(F.col("has_image"), "app.bsky.embed.images").otherwise("app.bsky.embed.record").alias("$type"), F.lit(None).cast("struct<uri:string>").alias("external"), F.lit(None).cast("struct<external:struct<uri:string>>").alias("media"), F.when(F.col("quote_uri").isNotNull(), quote).alias("record"))
+    embed = F.when(F.col("external_uri").isNotNull(), with_link).when(F.col("has_image") | F.col("quote_uri").isNotNull(), other)
+    facets = F.transform(F.sequence(F.lit(1), F.col("facets_count")), lambda k: F.struct(F.array(F.struct(F.when(k <= F.col("link_count"), "app.bsky.richtext.facet#link").otherwise("app.bsky.richtext.facet#tag").alias("$type"))).alias("features")))
+    record = F.struct("text", created.alias("createdAt"), F.array("lang").alias("langs"), F.when(F.col("reply_to_uri").isNotNull(), F.struct(F.struct(F.col("reply_to_uri").alias("uri")).alias("parent"), F.struct(F.col("root_uri").alias("uri")).alias("root"))).alias("reply"), embed.alias("embed"), F.when(F.col("facets_count") > 0, facets).alias("facets"))
     commit = F.struct(F.lit("create").alias("operation"), F.when(F.col("is_repost"), REPOST).otherwise(POST).alias("collection"), F.col("event_id").cast("string").alias("rkey"), F.lit("c").alias("cid"), record.alias("record"))
     return posts.select(F.to_json(F.struct(F.lit("commit").alias("kind"), F.col("author_did").alias("did"), micros.alias("time_us"), commit.alias("commit"))).alias("value"))
 

@@ -1,8 +1,8 @@
-"""Posts, authors and the other inputs, derived by rule from the driver's tables."""
+"""Posts, authors and the other inputs, derived by rule from all rows of the driver's tables."""
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -14,18 +14,30 @@ def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("ts").cast("timestamp_ntz"))).collect()[0][0]
 
 
+def _numbered(rows: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """``rows`` and how many numbers their ids span: one value."""
+    return rows, (rows.agg(F.max(id_col)).collect()[0][0] or 0) + 1
+
+
+def author_number() -> Column:
+    """Events with even ids belong to their user, the others to one of fewer, busier authors."""
+    return F.when(F.col("event_id") % 2 == 0, F.col("user_id")).otherwise(F.floor(F.col("user_id") / 15)).cast("long")
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A post for each event, with the whole text of a document; events go round all documents and pages."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("created_at"), "user_id", "event_type")
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 36").select("doc_id", F.col("text").alias("body"), F.col("lang"))
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id < 40").select("page_id", F.col("url").alias("page_url"))
+    d, n_docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"), "lang", "source"), "doc")
+    p, n_pages = _numbered(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page"), F.col("url").alias("page_url")), "page")
     i = F.col("event_id")
-    # At most 36 and 40 rows by the filters above.
-    e = e.join(F.broadcast(d), i % 36 == F.col("doc_id")).join(F.broadcast(p), i % 40 == F.col("page_id"))
+    e = e.withColumns({"doc": i % n_docs, "page": i % n_pages, "k": author_number()}).join(d, "doc", "left").join(p, "page", "left")
+    relay = F.col("k") % 10 == 7
     linked = F.col("event_type").isin("click", "purchase")
     dom = F.get(F.array(*[F.lit(x) for x in dims.FIXTURE_DOMAINS]), (i % 12).cast("int"))
     made = F.concat(F.lit("https://"), dom, F.lit("/item/"), F.when(i % 3 == 0, i).otherwise(i % 60).cast("string"), F.when(i % 2 == 0, "?utm_source=x&id=7").otherwise("?id=7#top"))
-    e = e.withColumn("external_uri", F.when(linked & (i % 7 == 0), F.col("page_url")).when(linked, made)).withColumn("author_did", F.concat(F.lit("did:u"), (F.col("user_id") % 20).cast("string")))
-    body = F.when(i % 5 == 0, F.substring("body", 1, 12)).otherwise(F.substring(F.col("body"), F.lit(1), (20 + (i * 37) % 600).cast("int")))
+    own = F.concat(F.lit("https://tickets.ticketmaster.com/item/"), i.cast("string"))
+    e = e.withColumn("external_uri", F.when(relay & (F.col("event_type") != "error"), own).when(linked & (i % 7 == 0), F.col("page_url")).when(linked, made)).withColumn("author_did", F.concat(F.lit("did:u"), F.col("k").cast("string")))
+    body = F.coalesce(F.when(relay | (i % 5 == 0), F.col("source")).otherwise(F.col("body")), F.lit(""))
     tail = F.when(F.col("external_uri").isNotNull() & (i % 4 == 0), F.concat(F.lit(" "), F.col("external_uri"))).otherwise("")
     kind = F.col("event_type")
     return e.select(
@@ -35,30 +47,62 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "signup", F.concat(F.lit("at://thread/"), (i - i % 10).cast("string"))).alias("root_uri"),
         F.when(kind == "purchase", F.concat(F.lit("at://quoted/"), (i % 25).cast("string"))).alias("quote_uri"),
         "external_uri", U.host(F.col("external_uri")).alias("external_domain"), F.col("external_uri").isNotNull().alias("has_external_embed"),
-        ((kind == "view") & (i % 4 == 1)).alias("has_image"), F.lit(False).alias("has_video"), (kind == "error").alias("is_repost"), "lang",
+        ((kind == "view") & (i % 4 == 1)).alias("has_image"), F.lit(False).alias("has_video"), (kind == "error").alias("is_repost"), "lang", "source",
         F.when(F.col("external_uri").isNull(), 0).otherwise(1 + i % 2).cast("long").alias("link_count"), (i % 4).cast("long").alias("facets_count"),
     )
 
 
-def authors(spark: SparkSession) -> DataFrame:
-    def of(k: int) -> tuple[str, float]:
-        return ("mutual", 4.0) if k <= 4 else ("followed", 2.0) if k <= 8 else ("trusted_list", 3.0) if k <= 10 else ("follower", 1.0) if k <= 14 else ("stale", 0.1)
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k, did``: everyone who wrote an event."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(author_number().alias("k")).distinct().withColumn("did", F.concat(F.lit("did:u"), F.col("k").cast("string")))
+
 
-    return spark.createDataFrame([(f"did:u{k}", f"u{k}", *of(k)) for k in range(16)], "did string, handle string, seed_class string, trusted_score double")
+def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the people, with a class by their number; the others are unknown."""
+    c = F.col("k") % 20
+    kind = F.when(c <= 4, "mutual").when(c <= 8, "followed").when(c <= 10, "trusted_list").when(c <= 14, "follower").otherwise("stale")
+    trust = F.when(c <= 4, 4.0).when(c <= 8, 2.0).when(c <= 10, 3.0).when(c <= 14, 1.0).otherwise(0.1)
+    return people(spark, sf_dir).where(c < 16).select("did", F.concat(F.lit("u"), F.col("k").cast("string")).alias("handle"), kind.alias("seed_class"), trust.alias("trusted_score"))
 
 
-def exclusion_commands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("did:u14", 1, "opt out"), ("did:u13", 1, "Exclude me."), ("did:u13", 2, "include me"), ("did:u12", 3, "hello there")], "did string, sent_at int, text string")
+def exclusion_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of some people: one asks out, one out and in again, one in without being out, one says hello."""
+    said = {14: [(1, "opt out")], 13: [(1, "Exclude me."), (2, "include me")], 12: [(3, "hello there")], 11: [(1, "add me back")]}
+    each = [F.when(F.col("k") % 20 == c, F.array(*[F.struct(F.lit(at).alias("sent_at"), F.lit(t).alias("text")) for at, t in messages])) for c, messages in said.items()]
+    return people(spark, sf_dir).select("did", F.explode(F.coalesce(*each)).alias("m")).select("did", "m.sent_at", "m.text")
 
 
-def follows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"did:u{k}", f"u{k}") for k in range(9)], "did string, handle string")
+def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people(spark, sf_dir).where("k % 20 < 9").select("did", F.concat(F.lit("u"), F.col("k").cast("string")).alias("handle"))
 
 
-def followers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"did:u{k}", f"u{k}") for k in [*range(5), *range(11, 15)]], "did string, handle string")
+def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people(spark, sf_dir).where("k % 20 < 5 or k % 20 between 11 and 14").select("did", F.concat(F.lit("u"), F.col("k").cast("string")).alias("handle"))
 
 
 def post_views(p: DataFrame) -> DataFrame:
-    """Display data of posts: some are gone, one author is hidden from readers who aren't signed in."""
-    return p.where(F.col("event_id") % 17 != 0).select("uri", F.when(F.col("author_did") == "did:u12", F.array(F.lit("!no-unauthenticated"))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    """Display data of posts, nested as it is served: some are gone, some authors are hidden from readers without an account."""
+    i, k = F.col("event_id"), F.substring("author_did", 6, 20).cast("long")
+    title = F.when(i % 3 == 0, F.concat(F.lit("Report "), i.cast("string"), F.lit(" from "), F.col("source")))
+    link = F.struct(F.col("external_uri").alias("uri"), title.alias("title"), F.lit(None).cast("string").alias("description"))
+    kind = F.when(i % 8 == 1, "app.bsky.embed.recordWithMedia#view").otherwise("app.bsky.embed.external#view")
+    nothing = F.lit(None).cast("struct<uri:string, title:string, description:string>")
+    media = F.when(i % 8 == 1, F.struct(F.lit("app.bsky.embed.external#view").alias("$type"), link.alias("external")))
+    quoted = F.lit(None).cast("struct<embeds:array<struct<`$type`:string, external:struct<uri:string, title:string, description:string>, media:struct<`$type`:string, external:struct<uri:string, title:string, description:string>>>>>")
+    embed = F.when(F.col("external_uri").isNotNull(), F.struct(kind.alias("$type"), F.when(i % 8 == 1, nothing).otherwise(link).alias("external"), media.alias("media"), quoted.alias("record")))
+    handle = F.concat(F.lit("u"), k.cast("string"))
+    labels = F.when(k % 20 == 12, F.array(F.struct(F.lit("!no-unauthenticated").alias("val")))).otherwise(F.array().cast("array<struct<val:string>>"))
+    author = F.struct(F.col("author_did").alias("did"), handle.alias("handle"), F.lit(None).cast("string").alias("displayName"), labels.alias("labels"))
+    record = F.struct("text", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("createdAt"), F.when(i % 6 != 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("langs"))
+    return p.where(i % 17 != 0).select("uri", author.alias("author"), record.alias("record"), embed.alias("embed"), (i % 50).alias("likeCount"), (i % 9).alias("replyCount"), F.lit(None).cast("long").alias("repostCount"))
+
+
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen editions without their items: an event is one, of the feed of its type."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("feed_name"), F.col("event_id").alias("edition_id"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+
+
+def state(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
+    """A table of keys and values: the last event of a type for each user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == event_type)
+    return e.groupBy(F.concat(F.lit("cursor:"), F.col("user_id").cast("string")).alias("key")).agg(F.max("event_id").cast("string").alias("value"))

@@ -1,14 +1,20 @@
 """Structured Streaming: commit frames to a table of posts, first write of a uri wins, deletes are tombstones."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.commits import gated, parsed
+from ..sources.commits import POST, REPOST, gated, parsed
 
 
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """JSON lines as they arrive; files per trigger bound a batch, and nothing is dropped."""
-    return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path)
+    """JSON lines as they arrive; files per trigger bound a batch, and nothing is dropped.
+
+    Only commits of post and repost collections pass, told by the line's text before it is parsed.
+    """
+    wanted = F.col("value").contains(POST) | F.col("value").contains(REPOST)
+    return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path).where(wanted)
 
 
 def unseen(batch: DataFrame, table: str) -> DataFrame:
@@ -17,20 +23,35 @@ def unseen(batch: DataFrame, table: str) -> DataFrame:
     return batch.dropDuplicates(["uri"]).join(held, "uri", "left_anti").select(*batch.columns)
 
 
-def start(frames: DataFrame, graph: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
+COUNTERS = "batch_id long, posts long, kept long, inserted long"
+
+
+def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str, trigger: dict | None = None):
     """Insert the gated posts of ``frames`` into ``table`` if their uri is absent; the checkpoint holds offsets.
 
     The table itself is the state: a batch reads its uris, so a batch that runs again inserts nothing twice.
+    ``graph`` may be a function: each batch then calls it, so a refreshed graph counts from the next batch on.
+    ``<table>-counters`` gets a row for each batch: the posts read, kept by the gate and inserted.
     """
-    posts = gated(parsed(frames), graph).where("op = 'create'")
-    posts.sparkSession.createDataFrame([], posts.schema).write.mode("ignore").parquet(table)
-
-    def insert(batch: DataFrame, _: int) -> None:
-        unseen(batch, table).write.mode("append").parquet(table)
+    posts = parsed(frames).where("op = 'create'")
+    spark = posts.sparkSession
+    spark.createDataFrame([], posts.schema).write.mode("ignore").parquet(table)
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        read, kept, new = Observation(), Observation(), Observation()
+        n = F.count(F.lit(1)).alias("n")
+        rows = gated(batch.observe(read, n), graph() if callable(graph) else graph).observe(kept, n)
+        unseen(rows, table).observe(new, n).write.mode("append").parquet(table)
+        counts = [(batch_id, *(o.get["n"] for o in (read, kept, new)))]
+        spark.createDataFrame(counts, COUNTERS).write.mode("overwrite").parquet(f"{table}-counters/batch={batch_id}")
 
     return posts.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
+def counters(spark: SparkSession, table: str) -> DataFrame:
+    return spark.read.schema(COUNTERS).parquet(f"{table}-counters")
+
+
 def start_tombstones(frames: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
     gone = parsed(frames).where("op = 'delete'").select("uri")
     return gone.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()

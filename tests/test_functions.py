@@ -48,7 +48,13 @@ def test_truncate(spark):
 
 def test_commands_and_titles(spark):
     assert each(spark, ["Opt out.", "don't include me", " INCLUDE ME ", "hello", None], T.command) == ["opt_out", "opt_out", "opt_in", None, None]
-    assert each(spark, ["The Iran strikes on Israel: https://x.com/a retaliation!"], lambda c: T.title_key(F.lit("wire"), c)) == ["wire:iran israel retaliation strikes"]
+    assert each(spark, ["The council votes on a bridge: https://x.com/a tolls!", "a b cd"], lambda c: T.title_key(F.lit("wire"), c)) == ["wire:bridge council tolls votes", None]
+    assert each(spark, ["at://d/app/feed", "plain"], U.last_segment) == ["feed", "plain"]
+
+
+def test_excerpts(spark):
+    rows = spark.createDataFrame([("A headline.", "A headline and more"), ("Title of the article", "own words"), ("x", ""), (None, "t"), ("Long headline here", "Long")], "h string, t string")
+    assert [r.d for r in rows.select(T.excerpt_differs(F.col("h"), F.col("t")).alias("d")).collect()] == [False, True, False, False, False]
 
 
 def post(**kw):
@@ -88,7 +94,7 @@ def test_representatives(spark):
     assert [r.uri for r in cluster.members(df).orderBy("place").collect()] == ["b", "c", "a"]
 
 
-@pytest.mark.parametrize("block", [5, 2000])
+@pytest.mark.parametrize("block", [5, 40, 2000])
 def test_composition_equals_a_plain_loop(spark, block):
     import random
 

@@ -36,6 +36,7 @@ def test_query_equals_sql(spark, con, name):
     assert Counter(tuple(plain(x) for x in r) for r in df.collect()) == want
 
 
+
 def test_contract(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from emberdesk import schema, shared
 from emberdesk.engine import Engine
 from emberdesk.operators import cluster, display, edition, state, views
 from emberdesk.plans.queries import Feed
@@ -33,13 +34,18 @@ def test_lifecycle(spark):
 
 def test_samples_repeat_and_vary(spark):
     rows = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(20)], "id int, kind string")
-    one, two = (state.sampled(rows, "kind", "id", 7, 2).collect() for _ in range(2))
+    one, two = (state.sampled(rows, "kind", "id", F.lit(7), 2).collect() for _ in range(2))
     assert one == two and {r.kind for r in one} == {"a", "b"}
 
 
 def test_tags_dedupe_by_category(spark):
-    df = spark.createDataFrame([(["mutual", "flood:-1.0", "original", "has_link", "domain:congress.gov:+3.5", "substance:+1.0"],), (["followed", "domain:x.com:+0.5", "substantive_reply", "substance:+1.3"],)], "reasons array<string>")
-    assert [r.t for r in df.select(edition.tags(F.col("reasons")).alias("t")).collect()] == [["mutual", "original", "linked", "primary source"], ["graph", "x.com", "good reply"]]
+    rows = [["mutual", "flood:-1.0", "original", "has_link", "domain:congress.gov:+3.5", "substance:+1.0"], ["followed", "domain:x.com:+0.5", "substantive_reply", "substance:+1.3"], ["domain:e.org:+1.5", "domain:x"], []]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, reasons array<string>")
+    got = {r.k: r for r in df.select("k", edition.tags(F.col("reasons")).alias("t"), edition.tags(F.col("reasons"), 2, F.lit("fading")).alias("u"), edition.tags(F.col("reasons"), 2, F.lit("active")).alias("v")).collect()}
+    assert [[(t.css, t.label) for t in got[k].t] for k in range(4)] == [
+        [("mutual", "mutual"), ("original", "original"), ("link", "linked"), ("source", "primary source")], [("graph", "graph"), ("link", "x.com"), ("substance", "good reply")], [("reporting", "reporting")], [],
+    ]
+    assert [t.label for t in got[0].u] == ["fading", "mutual"] and [t.label for t in got[0].v] == ["mutual", "original"] and [t.css for t in got[3].u] == ["state-fading"]
 
 
 def test_views(spark):
@@ -79,6 +85,45 @@ def test_stream_keeps_posts_behind_one_of_the_future(spark, tmp_path):
     assert got == [(f"at://d/app.bsky.feed.post/{k}", "c") for k in range(len(days))]
 
 
+def test_a_graph_that_changes_counts_from_the_next_batch_on(spark, tmp_path):
+    def frame(who, key):
+        return f'{{"kind":"commit","did":"{who}","commit":{{"operation":"create","collection":"app.bsky.feed.post","rkey":"{key}","record":{{"text":"t","createdAt":"2026-03-20T00:00:00Z"}}}}}}'
+
+    for n in range(3):
+        lines = [(frame(who, n),) for who in ("a", "b")] + [(frame("a", 0),), ('{"kind":"identity","did":"a"}',)]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(str(tmp_path / "in"))
+    calls = []
+
+    def graph():
+        calls.append(1)
+        return spark.createDataFrame([("a",)] if len(calls) == 1 else [("a",), ("b",)], "author_did string")
+
+    table = str(tmp_path / "posts")
+    ingest.start(ingest.read_frames(spark, str(tmp_path / "in"), 1), graph, table, str(tmp_path / "c"), {"availableNow": True}).awaitTermination()
+    counts = [(r.posts, r.kept) for r in ingest.counters(spark, table).orderBy("batch_id").collect()]
+    assert counts == [(3, 2), (3, 3), (3, 3)]
+    assert ingest.counters(spark, table).agg(F.sum("inserted")).first()[0] == spark.read.parquet(table).count() == 5
+
+
+def test_exclusions(spark):
+    held = spark.createDataFrame([("a", 0, "page", "excluded", "n"), ("b", 0, "dm", "included", None)], "did string, requested_at int, source string, state string, note string")
+    said = spark.createDataFrame([("a", 1, "opt_in"), ("b", 2, "opt_out"), ("c", 1, "opt_in"), ("d", 1, "opt_out"), ("d", 5, "opt_in")], "did string, sent_at int, command string")
+    got = {r.did: (r.requested_at, r.source, r.state, r.note) for r in state.exclusions(held, said).collect()}
+    assert got == {"a": (1, "page", "included", "n"), "b": (2, "dm", "excluded", ""), "d": (5, "dm", "included", "")}
+
+
+def test_every_table_takes_older_rows(spark):
+    for name in schema.TABLES:
+        old = spark.createDataFrame([(1,)], "unknown int")
+        got = schema.migrated(old, name)
+        assert got.schema.fieldNames() == schema.schema(name).fieldNames() and got.first()[0] is None
+
+
+def test_release_removes_what_was_stored(spark):
+    kept = shared.stored(spark.range(3), "test")
+    assert kept.count() == 3 and shared.release(spark) >= 1 and shared.release(spark) == 0
+
+
 def test_hourly_stream(spark, tmp_path):
     at = datetime(2026, 1, 1)
     spark.createDataFrame([(at + timedelta(minutes=20 * k), "click") for k in range(9)], "ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "in"))
@@ -90,7 +135,7 @@ def test_hourly_stream(spark, tmp_path):
 
 def test_engine(spark):
     f = Feed(spark, SF)
-    e = Engine(spark, f.now, f.posts, f.known, fixtures.exclusion_commands(spark), fixtures.post_views(f.posts), per_author=8)
+    e = Engine(spark, f.now, f.posts, f.known, f.commands, f.views, per_author=8)
     page = e.feed_page("ranked", 5).collect()
     assert len(page) == 5 and page[0].next_cursor is not None
     behind = e.feed_page("ranked", 5, page[0].next_cursor).collect()
@@ -99,6 +144,11 @@ def test_engine(spark):
         e.feed_page("none")
     with pytest.raises(ValueError, match="BadCursor"):
         e.feed_page("edition", 5, "x")
+    story = e.clusters().orderBy(F.desc("cluster_score")).first()
+    assert 0 < e.story(story.cluster_id).count() <= story.post_count
+    assert e.top(3).count() == 3 and {r.rank for r in e.top(3).collect()} == {1, 2, 3}
+    held = fixtures.editions(spark, SF).where("feed_name = 'view'")
+    assert e.freeze(held, "x", "view").first().stats.edition_num == held.count() + 1
     members = cluster.members(e.ranked())
     assert members.count() == members.select("uri").distinct().count() == e.ranked().count()
 
@@ -107,12 +157,13 @@ def test_display(spark):
     items = spark.createDataFrame([(i, f"u{i}", f"Headline number {i}") for i in range(12)], "pos int, uri string, headline string")
     got = display.change_previews(items.where("pos < 9"), items.where("pos > 1")).collect()
     assert [(r.change, r.uri, r.total) for r in got] == [("new", "u0", 2), ("new", "u1", 2), ("fading", "u9", 3), ("fading", "u10", 3), ("fading", "u11", 3)]
+    nameless = items.where("pos < 2").withColumn("headline", F.lit(""))
+    assert [(r.change, r.uri, r.total) for r in display.change_previews(nameless, items.limit(0)).collect()] == [("new", None, 2), ("fading", None, 0)]
     assert [(r.slice, r.side) for r in display.wire_slices(items).orderBy("pos").collect()] == [("strip", None)] * 5 + [(None, None)] + [("fold", k % 2) for k in range(6)]
     m = spark.createDataFrame([("c", "b", 1), ("c", "a", 2), ("c", "b", 3)], "cluster_id string, author_did string, place int")
     assert display.story_authors(m).collect()[0].authors == ["b", "a"]
-    said = fixtures.exclusion_commands(spark)
-    assert display.new_messages(said, 1).count() == 2 and display.high_water(said, 1).collect()[0].high_water == 3
     f = Feed(spark, SF)
+    assert display.high_water(f.commands, 1).collect()[0].high_water == 3 and display.high_water(f.commands.where("sent_at > 9"), 7).collect()[0].high_water == 7
     assert display.house_posts(f.posts, ["did:u0"]).count() <= 10
     assert {r.place for r in display.watched(f.posts, ["did:u3", "did:u1"]).collect()} == {1, 2}
     now = datetime(2026, 1, 2)
