@@ -22,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import schema_of, shared_dir, slices, texts, vocabulary
+from .common import new_path, schema_of, slices, texts, vocabulary
 from .encode import CachedEncoder, kept_for_worker
+from .windows import NULL_ID
 
 MAGIC = b"DAC1"
 #: Bits of the chunk levels: the commonest ids need one byte.
@@ -128,48 +128,90 @@ class DacReader:
         return out
 
 
+CODED = "doc_id long, th long, part int, codes binary"
+
+
+def _coded_batches(spec: str, bounds: np.ndarray):
+    """Each document's ids in as few bytes as the vocabulary needs, and the part that it goes to.
+
+    Parts are ranges of the id, null first. An id that fills several ranges is dealt to them by the range
+    of its texts' hashes, so that parts one after another stay in order.
+    """
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("part", pa.int32()), ("codes", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = kept_for_worker(CachedEncoder, spec)
+        kind = code_type(enc)
+        for b in slices(batches):
+            ids, th = (b.column(i).fill_null(NULL_ID).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lo, hi = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+            share = (th.astype(np.float64) + 2.0**63) / 2.0**64
+            part = np.minimum(lo + (share * (hi - lo + 1)).astype(np.int64), hi)
+            codes = [own.astype(kind).tobytes() for own in enc.encode_all(b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(part.astype(np.int32)), pa.array(codes, pa.binary())], schema=out)
+
+    return run
+
+
+def code_type(enc: CachedEncoder) -> str:
+    return "<u2" if len(enc.spaced) <= 1 << 16 else "<u4"
+
+
 def _segment_batches(spec: str, end_id: int, segment_tokens: int):
     out = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seg = kept_for_worker(CachedEncoder, spec), TaskContext.get().partitionId(), 0
-        end = np.asarray([end_id], dtype="<u4").tobytes()
+        kind = code_type(kept_for_worker(CachedEncoder, spec))
+        end = np.asarray([end_id], dtype=np.uint32)
+        part, seg = -1, 0
         docs: list = []
         ends: list[int] = []
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
-            data = dac_encode(np.frombuffer(b"".join(ids), dtype="<u4"))
+            data = dac_encode(np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(([part], [seg], [n], [docs], [ends], [data]), out, strict=True)], schema=out)
 
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = enc.encode(text) + end
-                ids.append(own)
-                n += len(own) // 4
-                docs.append(doc)
-                ends.append(n)
-                if n >= segment_tokens:
+            for doc, p, codes in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if docs and (p != part or n >= segment_tokens):
                     yield flush()
                     docs, ends, ids, n, seg = [], [], [], 0, seg + 1
+                if p != part:
+                    part, seg = p, 0
+                ids += [np.frombuffer(codes, kind), end]
+                n += len(ids[-2]) + 1
+                docs.append(doc)
+                ends.append(n)
         if docs:
             yield flush()
 
     return run
 
 
+def part_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Ids that cut the rows into ``parts`` ranges of about equal counts, from the id column alone."""
+    marks = [k / parts for k in range(1, parts)]
+    if not marks:
+        return np.zeros(0, dtype=np.int64)
+    got = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d")).agg(F.percentile_approx("d", marks, max(10_000, 20 * parts)).alias("b")).collect()[0].b
+    return np.array(got or [], dtype=np.int64)
+
+
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode every document, end it with ``end_id`` and write segments in ascending doc_id order.
 
     Null or empty text gives the end id alone; a null id sorts first; rows with equal ids lie side by
-    side, ordered by their texts' hash; an empty table writes no segment. Documents are dealt to parts
-    by ranges of the id, so a part holds as much as any other unless one id has most rows.
+    side, ordered by their texts' hash; an empty table writes no segment. Texts are encoded where they
+    are read, and their ids are dealt to parts by ranges of the id; rows of one id may fill several parts.
     """
     rows = texts(docs, id_col, text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(_segment_batches(vocabulary(vocab_path), end_id, segment_tokens), schema_of(SEGMENTS)).write.parquet(path)
+    spec = vocabulary(vocab_path)
+    coded = rows.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_coded_batches(spec, part_bounds(rows, parts)), schema_of(CODED))
+    ordered = coded.repartitionById(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "th")
+    ordered.mapInArrow(_segment_batches(spec, end_id, segment_tokens), schema_of(SEGMENTS)).write.parquet(path)
 
 
 def _range_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +253,7 @@ def read_ranges(spark, path: str) -> DataFrame:
 
 def token_ranges(docs: DataFrame, name: str = "tokens", **options) -> DataFrame:
     """Write ``docs`` to a token file in the shared folder and read it back."""
-    import uuid
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/emberdesk-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     write_tokens(docs, path, **options)
     return read_ranges(spark, path)

@@ -193,8 +193,8 @@ def _piece_batches(spec: str, capacity: int, end_id: int):
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for b in slices(batches):
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = memoryview(enc.encode(text) + end)
+            for doc, own in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+                ids = memoryview(own.astype("<u4").tobytes() + end)
                 n = len(ids) // 4
                 cut = (n - 1) % capacity + 1
                 for i, (lo, hi) in enumerate(zip([0, *range(cut, n, capacity)], [cut, *range(cut + capacity, n + 1, capacity)], strict=True)):

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
@@ -23,7 +24,7 @@ def ids_of(tok, text):
 
 def test_encoders_agree_with_the_library(tok):
     rng = random.Random(1)
-    odd = ["".join(rng.choice(" \n\tab é1'.,s<|\x85") for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a\n \tb", "x <|endoftext|> y", " lead", "trail ", "don't WE'LL", "日本語 テキスト"]
+    odd = ["".join(rng.choice(" \n\tab é1'.,s<|\x85\x00×ÿ") for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a\n \tb", "x <|endoftext|> y", " lead", "trail ", "don't WE'LL", "日本語 テキスト"]
     cached, prefix = CachedEncoder(vocabulary()), bpe.PrefixEncoder(vocabulary())
     for text in odd + odd:
         want = ids_of(tok, text)
@@ -33,6 +34,25 @@ def test_encoders_agree_with_the_library(tok):
         assert (n, joined, decoded) == (len(want), ",".join(map(str, want)), tok.decode(want, skip_special_tokens=False))
 
 
+def test_texts_encoded_together_are_as_alone(tok):
+    rng = random.Random(2)
+    held = ["", "a" * 40 + " " + "b" * 15 + " c", "Anew\nline.\nEnd", "<|endoftext|>", "日本", ""] + ["".join(rng.choice(" \n\tabcé1'.,s") for _ in range(rng.randrange(90))) for _ in range(300)]
+    enc = CachedEncoder(vocabulary())
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode_all(held)] == [ids_of(tok, t) for t in held]
+    grown = CachedEncoder(vocabulary())
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 24))) for _ in range(60_000)]  # tables grow
+    text = " ".join(words)
+    assert grown.encode_all([text])[0].tolist() == ids_of(tok, text) == grown.encode_all([text])[0].tolist()
+
+
+def test_other_pre_tokenizers_use_the_library(tok):
+    spec = json.loads(vocabulary())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = Tokenizer.from_str(json.dumps(spec))
+    assert [x.tolist() for x in CachedEncoder(json.dumps(spec)).encode_all(["a b. c", ""])] == [ids_of(other, "a b. c"), []]
+
+
 def test_a_full_cache_changes_nothing(tok):
     cached, prefix = CachedEncoder(vocabulary(), 3), bpe.PrefixEncoder(vocabulary(), 3)
     for text in ("alpha beta gamma delta", "delta epsilon, zeta eta", "alpha beta. gamma"):
@@ -80,6 +100,16 @@ def test_token_files_keep_the_order_of_ids(odd, empty, tok):
     assert dac.token_ranges(empty).count() == 0
 
 
+def test_one_id_may_fill_several_parts(spark, tok):
+    rows = [(7, f"text {k}") for k in range(60)] + [(k, f"own {k}") for k in range(20)] + [(None, "n")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(dac.token_ranges(docs, segment_tokens=5).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    want = Counter((d, zlib.crc32(np.array([*ids_of(tok, t), 2], "<u4").tobytes())) for d, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+
+
 def test_packing_holds_every_piece_once(odd, empty, tok):
     got = packing.pack(odd, capacity=64).collect()
     assert all(0 < r.length <= 64 and r.offset + r.length <= 64 for r in got)
