@@ -22,8 +22,8 @@ from .encode import CachedEncoder, kept_for_worker
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
-#: Nodes that the search may open beyond the best-fit incumbent.
-SEARCH_NODES = 20_000
+#: Nodes that the search may open beyond the best-fit incumbent, and fillings it tries at each.
+SEARCH_NODES, SEARCH_WIDTH = 2_000, 6
 
 #: Rows of one length that are ranked in one task, about.
 ROWS_PER_SALT = 20_000
@@ -53,19 +53,19 @@ class _Lengths:
         return min(int(self.n[k]) // c for k, c in pattern.items())
 
 
-def _fillings(lengths: _Lengths, largest: int, capacity: int, width: int) -> list[tuple[int, dict[int, int]]]:
-    """Undominated fillings around ``largest``, least waste first and fewest documents first.
+def _fillings(lengths: _Lengths, largest: int, capacity: int, width: int, most_waste: int) -> list[tuple[int, dict[int, int]]]:
+    """The ``width`` least wasteful undominated fillings around ``largest``, fewest documents first among equals.
 
     A filling is dominated if another holds, place for place, documents at least as long: of single
-    documents only the longest that fits remains, of pairs the best partner for each longer one, and a
-    pair or triple remains only if it leaves less waste than every filling of fewer documents.
+    documents only the longest that fits remains, of pairs the best partner for each longer one, of triples
+    the best third for each pair; larger ones remain only if they leave less waste than every filling of
+    fewer documents. Those that waste more than ``most_waste`` can't lead to a better packing.
     """
     room = capacity - largest
     lengths.take({largest: 1}, 1)
     below, n = lengths.below, lengths.n
-    found: list[tuple[int, tuple[int, ...]]] = []
     one = int(below[room])
-    found.append((room - one, (one,) if one else ()))
+    found: list[tuple[int, tuple[int, ...]]] = [(room - one, (one,) if one else ())]
     if one and found[0][0]:
         a = np.flatnonzero(n[: one + 1] > 0)[::-1]
         a = a[a > 0]
@@ -75,20 +75,22 @@ def _fillings(lengths: _Lengths, largest: int, capacity: int, width: int) -> lis
         for i in np.argsort(waste, kind="stable")[:width]:
             if b[i] and waste[i] < found[0][0]:
                 found.append((int(waste[i]), (int(a[i]), int(b[i]))))
-        if min(found)[0]:
-            best = min(found)[0]
-            for x in a[: 4 * width]:
-                left = room - int(x)
-                c = a[(a <= x) & (a < left)]
+        best = min(found)[0]
+        if best:
+            for x in a[a * 3 >= room - best].tolist():  # the longest of three fills a third of what they fill
+                left = room - x
+                c = a[(a <= x) & (a < left) & (a * 2 >= left - best)]
                 if not len(c):
                     continue
                 d = below[np.minimum(left - c, c)]
-                d = np.where((d == c) & (n[d] < 3), below[np.maximum(d - 1, 0)], d)
+                d = np.where((d == c) & (n[d] < 2 + (c == x)), below[np.maximum(d - 1, 0)], d)
                 w = left - c - d
-                for i in np.argsort(w, kind="stable")[:1]:
-                    t = (int(x), int(c[i]), int(d[i]))
-                    if t[2] and w[i] < best and all(n[k] >= t.count(k) for k in t):
-                        found.append((int(w[i]), t))
+                i = int(np.argmin(w))
+                t = (x, int(c[i]), int(d[i]))
+                if t[2] and w[i] < best and all(n[k] >= t.count(k) for k in t):
+                    found.append((int(w[i]), t))
+                    if not w[i]:
+                        break
     lengths.take({largest: 1}, -1)
     found.sort(key=lambda f: (f[0], len(f[1])))
     out = []
@@ -96,7 +98,7 @@ def _fillings(lengths: _Lengths, largest: int, capacity: int, width: int) -> lis
         pattern = {largest: 1}
         for k in items:
             pattern[k] = pattern.get(k, 0) + 1
-        if lengths.fits(pattern):
+        if lengths.fits(pattern) and (waste <= most_waste or not out):
             out.append((waste, pattern))
     return out
 
@@ -115,18 +117,35 @@ def _closed(lengths: _Lengths, pattern: dict[int, int], waste: int) -> tuple[dic
     return pattern, waste
 
 
-def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES, width: int = 3) -> list[tuple[dict[int, int], int]]:
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins: documents over half a bin stand alone, and what fits beside none of the
+    longer ones needs room of its own; the best such argument over all lengths."""
+    counts = np.asarray(counts, dtype=np.int64)
+    size = np.arange(len(counts))
+    total, n = np.cumsum(counts * size), np.cumsum(counts)
+    half, best = capacity // 2, int(-(-total[-1] // capacity))
+    for k in range(half + 1):
+        alone = int(n[capacity] - n[capacity - k])  # longer than capacity - k: nothing of k or more fits beside
+        middle = int(n[capacity - k] - n[half]) if capacity - k > half else 0
+        spare = middle * capacity - int(total[capacity - k] - total[half]) if capacity - k > half else 0
+        small = int(total[half] - (total[k - 1] if k else 0))
+        best = max(best, alone + middle + max(0, -(-(small - spare) // capacity)))
+    return best
+
+
+def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES, width: int = SEARCH_WIDTH) -> list[tuple[dict[int, int], int]]:
     """Patterns ``({length: copies}, times)`` that hold every document of the histogram ``counts``.
 
     ``counts[k]`` documents have length ``k``. The first incumbent is best fit, which completes each
     bin with the longest documents that fit. Bin completion then branches over the undominated
-    fillings around the longest document left and drops a branch when the waste it has made rules out
-    fewer bins than the incumbent; it ends at the lower bound or after ``nodes`` nodes.
+    fillings around the longest document left, each as often as it fits, then half as often, down to once,
+    and drops a branch when the waste it has made rules out fewer bins than the incumbent; it ends at the
+    lower bound or after ``nodes`` nodes of ``width`` fillings.
     """
     total = int((counts * np.arange(len(counts))).sum())
     if not total:
         return []
-    bound = max(-(-total // capacity), int(counts[capacity // 2 + 1 :].sum()))
+    bound = lower_bound(counts, capacity)
 
     def run(choose) -> tuple[list[tuple[dict[int, int], int]], int]:
         lengths, out, bins = _Lengths(counts), [], 0
@@ -147,8 +166,8 @@ def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES, w
     stack: list[list] = []
 
     def open_node() -> None:
-        largest = int(lengths.below[-1])
-        stack.append([_closed(lengths, p, w) for w, p in _fillings(lengths, largest, capacity, width)][::-1])
+        largest, spare = int(lengths.below[-1]), (best_bins - 1) * capacity - total - wasted
+        stack.append([(*_closed(lengths, p, w), None) for w, p in _fillings(lengths, largest, capacity, width, spare)][::-1])
 
     open_node()
     while stack and nodes > 0:
@@ -161,15 +180,15 @@ def pack_lengths(counts: np.ndarray, capacity: int, nodes: int = SEARCH_NODES, w
                 wasted -= waste * times
             continue
         nodes -= 1
-        pattern, waste = stack[-1].pop()
-        times = lengths.fits(pattern)
-        if not times:
-            continue
+        pattern, waste, most = stack[-1].pop()
+        times = lengths.fits(pattern) if most is None else most
         spare = (best_bins - 1) * capacity - total  # waste that a better packing may have
         if waste and wasted + waste * times > spare:
             times = max(0, (spare - wasted) // waste)
-            if not times:
-                continue
+        if not times:
+            continue
+        if times > 1:
+            stack[-1].append((pattern, waste, times // 2))
         lengths.take(pattern, times)
         path.append((pattern, times, waste))
         bins += times
@@ -225,9 +244,12 @@ def _place_batches(plan: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", nodes: int = SEARCH_NODES, width: int = SEARCH_WIDTH) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
+    Every piece is packed whatever the search finds; ``nodes`` and ``width`` bound only the search for
+    packings with fewer sequences than best fit. ``gap`` tells how far a result is from the least possible.
+
     Null or empty text: a piece with the end token alone. Longer documents are cut into full pieces
     behind a shorter first one. Repeated rows and repeated ids are packed once for each row; a null id
     stays null. An empty table gives no rows. Columns of the input other than the two named are not
@@ -241,7 +263,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab_path: str
         counts[length] = n
     plan: dict[int, list[tuple[int, int, int, int]]] = {}
     sequence, used = 0, np.zeros(capacity + 1, dtype=np.int64)
-    for pattern, times in pack_lengths(counts, capacity):
+    for pattern, times in pack_lengths(counts, capacity, nodes, width):
         offset = 0
         for k, copies in sorted(pattern.items(), reverse=True):
             plan.setdefault(k, []).append((int(used[k]), sequence, offset, copies))
@@ -258,3 +280,11 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab_path: str
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("r", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("r") - 1)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place_batches(table), schema_of(PACKED))
+
+
+def gap(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """The number of sequences of a packing, and a number that no packing of its pieces is below."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in packed.groupBy("length").count().collect():  # at most ``capacity`` rows
+        counts[length] = n
+    return packed.agg(F.countDistinct("sequence_id")).collect()[0][0], lower_bound(counts, capacity)

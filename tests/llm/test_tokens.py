@@ -165,3 +165,29 @@ def test_bin_completion_reaches_the_optimum():
                 held[k] += c * times
         assert held == Counter(items)
     assert packing.pack_lengths(np.zeros(21, dtype=int), 20) == []
+
+
+def test_lower_bound_is_below_every_packing_and_often_met():
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(60):
+        sizes = rng.integers(1, 21, 9).tolist()
+        counts = np.bincount(sizes, minlength=21)
+        bound = packing.lower_bound(counts, 20)
+        made = sum(t for _, t in packing.pack_lengths(counts, 20, nodes=3000, width=20))
+        assert bound <= made
+        met += bound == made
+    assert met >= 50
+
+
+def test_search_beats_best_fit_where_it_can():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(rng.integers(400, 900, 600), minlength=2049)
+    plain = sum(t for _, t in packing.pack_lengths(counts, 2048, nodes=0))
+    searched = packing.pack_lengths(counts, 2048, nodes=3000)
+    used = np.zeros(2049, dtype=int)
+    for pattern, times in searched:
+        assert sum(k * c for k, c in pattern.items()) <= 2048
+        for k, c in pattern.items():
+            used[k] += c * times
+    assert (used == counts).all() and packing.lower_bound(counts, 2048) <= sum(t for _, t in searched) <= plain
