@@ -52,7 +52,8 @@ def failing_line(line: Column) -> Column:
 
 
 def suspect(text: Column, n_symbols: Column) -> Column:
-    """False only if no line of ``text`` can fail: every rule of ``failing_line`` needs one of these."""
+    """False only if no line of ``text`` can fail: each rule of ``failing_line`` needs a symbol, a doubled mark,
+    a stutter between the text's or a line's ends, or a phrase, which the whole text then has as well."""
     return (n_symbols > 0) | text.contains("!!") | text.contains("??") | text.rlike(STUTTER_IN_TEXT) | _boilerplate(text)
 
 
@@ -77,12 +78,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     # One hash for each window of eight words, in order.
     n, none = F.size("h"), F.array().cast("array<long>")
     windows = F.slice(F.transform("h", lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)])), F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(0)))
-    no_lines = F.array().cast("array<string>")
     hashed = hashed.select(
         *held, "lines", "n_symbols", n.cast("long").alias("n_words"), F.when(n >= WINDOW, windows).otherwise(none).alias("hashes"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.filter("lines", lambda x: x.rlike(WORD)).alias("worded"),
-        F.when(suspect(F.col("text"), F.col("n_symbols")), F.filter("lines", failing_line)).otherwise(no_lines).alias("failed"),
+        # Every line is judged once; texts in which none can fail have no marks.
+        F.when(suspect(F.col("text"), F.col("n_symbols")), F.transform("lines", failing_line)).otherwise(F.array().cast("array<boolean>")).alias("fails"),
     )
     # Only a document with a repeated window sorts its windows.
     repeated = F.size(F.array_distinct("hashes")) < F.size("hashes")
@@ -92,17 +93,18 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     covered = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))))
     counted = placed.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
 
-    lost = F.aggregate("failed", F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x, F.lit(WORD)))
+    words_lost = F.transform("fails", lambda f, i: F.when(f, F.regexp_count(F.get("lines", i), F.lit(WORD))).otherwise(0))
+    lost = F.aggregate(words_lost, F.lit(0).cast("long"), lambda a, x: a + x)
     counts = F.struct(
         "n_words", "word_chars", "n_symbols", "n_repeat_words",
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
-        lost.alias("n_removed_words"), F.size("failed").cast("long").alias("n_removed_lines"),
+        lost.alias("n_removed_words"), F.size(F.filter("fails", lambda f: f)).cast("long").alias("n_removed_lines"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
     )
     # A generator of one row: a filter on the counts stays above it, so that it isn't computed from the text again.
-    judged = counted.select(*held, "lines", F.explode(F.array(counts)).alias("q")).select(*held, "lines", "q.*")
+    judged = counted.select(*held, "lines", "fails", F.explode(F.array(counts)).alias("q")).select(*held, "lines", "fails", "q.*")
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= MIN_KEPT_SHARE * F.col("n_words"))
-    cleaned = F.when(F.col("n_removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~failing_line(x)), "\n"))
+    cleaned = F.when(F.col("n_removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.get("fails", i)), "\n"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "n_removed_lines", "base_failed", kept.alias("kept"), cleaned.alias("cleaned"), *([] if keep is None else ["kept_columns.*"])
     )
