@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample; every row is put into a leaf by walking down it. A query keeps a
-priority queue of subtrees by the distance to their centres, takes the nearest first, and visits leaves
-until enough. How many leaves are enough is calibrated: visits are doubled, then refined, until sampled
-queries find the wanted share of their true neighbours within the sample.
+The tree is fitted on a bounded sample; every row is put into a leaf by walking down it. Leaves that get
+many rows are split again, each in a task of its own on a bounded sample of its rows, so that the tree
+deepens with the table. A query keeps a priority queue of subtrees by the distance to their centres, takes
+the nearest first, and visits leaves until enough. How many leaves are enough is calibrated on the whole
+tree: visits widen until sampled queries find the wanted share of their true neighbours within the sample.
 
 Equal vectors are held once with as many of their least ids as an answer can hold, so a vector that many
 rows share weighs no more than others. Leaves and their queries are cut into chunks by their counts; a
@@ -13,6 +14,8 @@ task scores one chunk of vectors against one chunk of queries.
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +34,9 @@ BRANCHES = 8
 #: Sampled rows in a leaf, about.
 LEAF_ROWS = 64
 RECALL = 0.97
+#: A leaf with more rows is split again, fitted on so many of them (those of least id hash). The tree, which the
+#: driver holds, has at most (FIT_ROWS / LEAF_ROWS) * (SPLIT_ROWS / LEAF_ROWS) leaves, about.
+SPLIT_ROWS = 4096
 #: Vectors and queries scored in one task.
 CHUNK_VECTORS, CHUNK_QUERIES = 4096, 2048
 
@@ -90,6 +96,26 @@ class Tree:
         tree.root = tree.grow(x, np.random.default_rng(seed))
         return tree
 
+    def graft(self, leaf: int, other: Tree) -> None:
+        """Put ``other`` in the place of a leaf; its first leaf takes that number, the others follow the last."""
+        if other.root < 0:
+            return
+        base, leaves = len(self.centres), self.leaves
+
+        def moved(node: int) -> int:
+            return node + base if node >= 0 else -1 - leaf if node == -1 else node + 1 - leaves
+
+        self.centres += other.centres
+        self.children += [[moved(c) for c in row] for row in other.children]
+        self.leaves += other.leaves - 1
+        at = -1 - leaf
+        if self.root == at:
+            self.root = other.root + base
+        for row in self.children[:base]:
+            if at in row:
+                row[row.index(at)] = other.root + base
+                break
+
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row."""
         out = np.zeros(len(x), dtype=np.int64)
@@ -132,29 +158,44 @@ class Tree:
         return out
 
 
-def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, seed: int = 5) -> int:
-    """The least number of leaf visits with which sampled queries reach ``recall`` within the sample."""
+def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float, sizes: np.ndarray, seed: int = 5) -> int:
+    """The least number of visits to leaves with rows with which sampled queries reach ``recall`` within the sample ``x``."""
     rng = np.random.default_rng(seed)
     chosen = rng.choice(len(x), size=min(CALIBRATION_QUERIES, len(x)), replace=False)
-    leaf = tree.assign(x)
-    order = np.argsort(leaf, kind="stable")
-    bounds = np.searchsorted(leaf[order], np.arange(tree.leaves + 1))
-    sizes = np.diff(bounds)
-    paths = [tree.visited(x[i], tree.leaves, sizes, len(x)) for i in chosen]
-    need = np.zeros((len(chosen), k), dtype=int)  # visits that each true neighbour needs
-    for r, i in enumerate(chosen):
+    leaf, held = tree.assign(x), sizes > 0
+    need: list[int] = []  # visits that each true neighbour needs
+    for i in chosen:
         score = x @ x[i]
         score[i] = -np.inf
-        true = np.argsort(-score, kind="stable")[: min(k, len(x) - 1)]
-        rank = np.empty(tree.leaves, dtype=int)
-        rank[paths[r]] = np.arange(1, len(paths[r]) + 1)
-        need[r, : len(true)] = rank[leaf[true]]
-    visits = 1
-    while visits < tree.leaves and (need <= visits).mean() < recall:
-        visits *= 2
-    while visits > 1 and (need <= visits - 1).mean() >= recall:
-        visits -= 1
-    return min(visits, tree.leaves)
+        most = min(k, len(x) - 1)
+        true = np.argpartition(-score, most - 1)[:most] if most else np.zeros(0, dtype=int)
+        wanted, visits = Counter(leaf[true].tolist()), 0
+        for at in tree.visit(x[i]):
+            if not wanted:
+                break
+            visits += bool(held[at]) or at in wanted
+            need += [visits] * wanted.pop(at, 0)
+    if not need:
+        return 1
+    return int(np.sort(need)[min(len(need) - 1, max(0, int(np.ceil(recall * len(need))) - 1))])
+
+
+def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
+    tree = Tree.fit(_unit(np.stack(rows["v"].to_numpy())))
+    return pd.DataFrame({"leaf": [int(rows["leaf"].iloc[0])], "tree": [pickle.dumps(tree)]})
+
+
+def deepened(tree: Tree, leafed: DataFrame, counts: dict[int, int]) -> bool:
+    """Split the leaves with more than ``SPLIT_ROWS`` rows; whether there are any. Each is fitted in its own task."""
+    large = [k for k, n in counts.items() if n > SPLIT_ROWS]
+    if not large:
+        return False
+    chosen = F.broadcast(leafed.sparkSession.createDataFrame([(k,) for k in large], "leaf long"))  # bounded by the tree
+    nth = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id"))
+    sample = leafed.join(chosen, "leaf").withColumn("nth", nth).where(F.col("nth") <= SPLIT_ROWS).select("leaf", "v")
+    for r in sorted(sample.groupBy("leaf").applyInPandas(_fitted, "leaf long, tree binary").collect()):  # bounded by the tree
+        tree.graft(r.leaf, pickle.loads(r.tree))
+    return True
 
 
 def valid(rows: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> tuple[DataFrame, int]:
@@ -226,8 +267,9 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 5, recall
 
     ``queries`` has the columns of ``rows``; by default every row is one. A query's own id is no
     candidate. Vectors null, empty, zero, or with null or non-finite components take no part, nor those of
-    another length than the commonest. Rows repeated in id and vector count once; ties go to the
-    smaller id. With fewer than ``k`` candidates, all are returned. An empty table gives no rows.
+    another length than the commonest. Rows repeated in id and vector count once; rows of one id with
+    several vectors are candidates, and queries, with each: their answers share the id's ranks, best first,
+    and name a neighbour once, by its nearest vector, so that they may be fewer. Ties go to the smaller id. With fewer than ``k`` candidates, all are returned. An empty table gives no rows.
     """
     every, length = valid(rows, id_col, vec_col)
     asked = every if queries is None else valid(queries, id_col, vec_col, length)[0]
@@ -237,22 +279,29 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 5, recall
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _unit(np.stack(sample["v"].to_numpy()))
     tree = Tree.fit(x)
-    visits = calibrate(tree, x, k, recall)
 
     # Equal vectors: an answer holds at most k of them, and the query itself may be one.
     by_vector = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     held = every.dropDuplicates(["vec_id", "v"]).withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1).select("vec_id", "v")
-    leafed = stored(held.mapInArrow(_leaf_batches(tree), schema_of("vec_id long, v array<double>, leaf long")), "ann-leaves")
-    counts = {r.leaf: r.n for r in leafed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree
+
+    def into_leaves(vectors: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+        out = stored(vectors.mapInArrow(_leaf_batches(tree), schema_of("vec_id long, v array<double>, leaf long")), "ann-leaves")
+        return out, {r.leaf: r.n for r in out.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree
+
+    leafed, counts = into_leaves(held)
+    if deepened(tree, leafed, counts):
+        leafed, counts = into_leaves(leafed.select("vec_id", "v"))
     sizes = np.array([counts.get(i, 0) for i in range(tree.leaves)])
+    visits = calibrate(tree, x, k, recall, sizes)
     walks = asked.dropDuplicates(["vec_id", "v"]).mapInArrow(_visit_batches(tree, visits, sizes, k + 1), schema_of("vec_id long, v array<double>, leaves array<long>"))
     walks = stored(walks.select(F.col("vec_id").alias("query_id"), "v", F.explode("leaves").alias("leaf")), "ann-walks")
     asks = {r.leaf: r.n for r in walks.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree
     grid = spark.createDataFrame([(leaf, -(-n // CHUNK_VECTORS), -(-asks.get(leaf, 0) // CHUNK_QUERIES)) for leaf, n in sorted(counts.items())], "leaf long, nv int, nq int")
-    grid = F.broadcast(grid)  # one row a leaf: bounded by FIT_ROWS
+    grid = F.broadcast(grid)  # one row a leaf: bounded by the tree
     cells_v = leafed.join(grid, "leaf").where("nq > 0").withColumn("cv", F.pmod(F.xxhash64("vec_id"), "nv").cast("int")).withColumn("cq", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).select("leaf", "cv", "cq", "vec_id", "v")
     cells_q = walks.join(grid, "leaf").withColumn("cq", F.pmod(F.xxhash64("query_id"), "nq").cast("int")).withColumn("cv", F.explode(F.sequence(F.lit(0), F.col("nv") - 1))).select("leaf", "cv", "cq", "query_id", "v")
     cell = ["leaf", "cv", "cq"]
     scored = cells_q.groupBy(*cell).cogroup(cells_v.groupBy(*cell)).applyInPandas(_score(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

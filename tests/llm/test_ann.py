@@ -52,3 +52,36 @@ def test_best_bin_first_visits_every_leaf_once(table):
     seen = list(tree.visit(u[7]))
     assert sorted(seen) == list(range(tree.leaves))
     assert seen[0] == tree.assign(u[7:8])[0]
+
+
+def test_large_leaves_are_split_again(table, monkeypatch):
+    x, rows = table
+    rng = np.random.default_rng(9)
+    u = ann._unit(rng.normal(size=(2000, 16)))
+    tree = ann.Tree.fit(u[:600])
+    before, leaf = tree.leaves, tree.assign(u)
+    large = np.bincount(leaf, minlength=tree.leaves).argmax()
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    part = ann.Tree.fit(u[leaf == large])
+    tree.graft(int(large), part)
+    assert part.leaves > 1 and tree.leaves == before + part.leaves - 1
+    assert sorted(tree.visit(u[7])) == list(range(tree.leaves))
+    deep = tree.assign(u)
+    assert (deep[leaf != large] == leaf[leaf != large]).all() and set(deep[leaf == large]) <= {int(large), *range(before, tree.leaves)}
+    assert all(next(tree.visit(u[i])) == deep[i] for i in range(0, 2000, 97))
+    # A sample smaller than the table, leaves that are split in their own tasks.
+    monkeypatch.setattr(ann, "FIT_ROWS", 400)
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 100)
+    hits = 0
+    found = {}
+    for r in ann.search(rows, rows.where("vec_id % 50 = 0"), k=5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, 3000, 50):
+        hits += len(set(brute(x, q, 5)[0]) & found[q])
+    assert hits / 300 >= 0.9
+
+
+def test_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (2, [0.01, 1.0]), (3, [-1.0, 0.0])]
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2), (2, 1, 1), (3, 1, 1), (3, 2, 2)]
