@@ -2,11 +2,13 @@
 
 Reference blocks are the non-overlapping blocks of ten words of a text. Any twenty words hold at least
 one of them whole, so a repeat shows as a block that equals some ten words elsewhere. Every rolling ten
-words probe the index of blocks; a hit is extended to both sides, to whole windows that agree word for
-word with their first place, and neighbouring windows with one source join to a maximal exact repeat.
+words probe the index of blocks; only a block of another place is a hit. A hit is extended to the windows
+around it; those whose words stand earlier join with their neighbours to maximal exact repeats, which
+are compared word for word with their source and then marked. Windows without a hit are never compared.
 
 ``windows`` brings texts that may share a window together, in groups of bounded size; the index, probes
-and extensions work on these.
+and extensions work on these. Whole stretches that occur several times are known there by their hash:
+they are counted, and of all their copies only the first goes through the index.
 """
 
 from __future__ import annotations
@@ -93,6 +95,26 @@ def rolling(units: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def probe_hits(units: np.ndarray, place: np.ndarray, whole: np.ndarray, aligned: np.ndarray, block: int) -> np.ndarray:
+    """Whether the rolling block at each unit equals an indexed block of another place.
+
+    ``place`` numbers the places of the units, ``whole`` tells where a block fits, ``aligned`` which of these
+    are reference blocks. A place may be held twice, by contents that overlap; it is no other place then.
+    """
+    probes = rolling(units, block)
+    ref = np.flatnonzero(aligned)
+    order = ref[np.lexsort((place[ref], probes[ref]))]
+    if not len(order):
+        return np.zeros(len(probes), dtype=bool)
+    key, own = probes[order], place[order]
+    head = np.append(True, key[1:] != key[:-1])
+    index, lo = key[head], np.flatnonzero(head)
+    least, most = own[lo], own[np.append(lo[1:], len(own)) - 1]  # the first and last place of each indexed block
+    at = np.minimum(np.searchsorted(index, probes), len(index) - 1)
+    mine = place[: len(probes)]
+    return whole & (index[at] == probes) & ((least[at] != mine) | (most[at] != mine))
+
+
 def earlier_windows(contents: list[bytes], firsts: np.ndarray, window: int) -> list[np.ndarray]:
     """For each content (words' hashes), whether the window at each place also starts at an earlier place.
 
@@ -104,43 +126,46 @@ def earlier_windows(contents: list[bytes], firsts: np.ndarray, window: int) -> l
     ends = np.cumsum(sizes)
     begin = ends - sizes
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(units)) - begin[owner]
+    within = np.arange(len(units)) - begin[owner]
+    start = firsts[owner, 1] + within
+    turn = np.lexsort((start, firsts[owner, 2], firsts[owner, 0]))  # places in the order of documents
+    same = (firsts[owner[turn[1:]]][:, [0, 2]] == firsts[owner[turn[:-1]]][:, [0, 2]]).all(axis=1) & (start[turn[1:]] == start[turn[:-1]])
+    place = np.empty(len(units), dtype=np.int64)
+    place[turn] = np.cumsum(np.append(False, ~same)[: len(turn)])
 
     # Index the reference blocks, probe with every rolling block.
-    probes = rolling(units, block)
-    whole = place[: len(probes)] + block <= sizes[owner[: len(probes)]]
-    aligned = whole & ((firsts[owner[: len(probes)], 1] + place[: len(probes)]) % block == 0)
-    index = np.unique(probes[aligned])
-    hit = whole & np.isin(probes, index)
+    n_blocks = max(0, len(units) - block + 1)
+    whole = (within + block <= sizes[owner])[:n_blocks]
+    hit = probe_hits(units, place, whole, whole & (start[:n_blocks] % block == 0), block)
 
-    # Extend: the windows around hits, compared as wholes with the earliest place of the same words.
+    # Extend the hits to the windows around them; each is compared with the first that has its words.
     n = max(0, len(units) - window + 1)
     reach = np.concatenate([[0], np.cumsum(hit)])
-    last = np.minimum(np.arange(n) + window - block + 1, len(hit))
-    around = (reach[last] - reach[np.arange(n)] > 0) & (place[:n] + window <= sizes[owner[:n]])
+    around = (reach[np.arange(n) + window - block + 1] - reach[np.arange(n)] > 0) & (within[:n] + window <= sizes[owner[:n]])
     at = np.flatnonzero(around)
     flags = np.zeros(len(units), dtype=bool)
     if len(at):
         same = rolling(units, window)[at]
-        d, s, tie = firsts[owner[at], 0], firsts[owner[at], 1] + place[at], firsts[owner[at], 2]
+        d, s, tie = firsts[owner[at], 0], start[at], firsts[owner[at], 2]
         order = np.lexsort((tie, s, d, same))
         head = np.append(True, same[order][1:] != same[order][:-1])
         source = at[order][np.flatnonzero(head)[np.cumsum(head) - 1]]
         mine = at[order]
-        later = ~head
-        agree = np.ones(int(later.sum()), dtype=bool)
-        for k in range(window):
-            agree &= units[source[later] + k] == units[mine[later] + k]
-        if not agree.all():
-            raise ValueError("two windows share a hash but not their words")
-        flags[mine[later]] = True
+        later = place[mine] != place[source]
+        for lo, hi, first in maximal_repeats(mine[later], source[later], window):
+            if not (units[lo:hi] == units[first : first + hi - lo]).all():
+                raise ValueError("two windows share a hash but not their words")
+            flags[lo : hi - window + 1] = True
     return [flags[b : b + max(0, k - window + 1)] for b, k in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
-def maximal_repeats(flags: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal runs of repeated words, as first and last word."""
-    m = marks_of(flags)
-    return [(a, a + n + window - 2) for a, n in zip(m[::2], m[1::2], strict=True)]
+def maximal_repeats(windows: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Neighbouring windows whose sources are neighbours too, joined: first unit, end, first unit of the source."""
+    order = np.argsort(windows, kind="stable")
+    w, s = windows[order], sources[order]
+    head = np.flatnonzero(np.append(True, (np.diff(w) != 1) | (np.diff(s) != 1))[: len(w)])
+    last = np.append(head[1:], len(w))[: len(head)] - 1
+    return list(zip(w[head].tolist(), (w[last] + window).tolist(), s[head].tolist(), strict=True))
 
 
 def _removed_words(text: bytes, spans: list[dict] | None, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
