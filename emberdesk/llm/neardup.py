@@ -11,10 +11,10 @@
   their leader, the least id, so it makes as many pairs as it has members.
 * Verification: the exact Jaccard similarity of the distinct shingles of each pair.
 * A member that isn't linked to its leader's class may still be near to another member. Of the sets in
-  buckets with several classes, those are left out that can't be near to any other: shingles that no
-  other of these sets has can't be shared, and too few remain. The rest are compared all with all inside
-  groups that buckets connect, block by block, as products of membership matrices; of each block's links only as
-  many come out as join its sets. No bucket, partner or candidate is capped.
+  buckets with several classes, near ones share one of their rarest shingles (a prefix filter at the
+  threshold). What both buckets and rare shingles connect, and is of several classes, is compared all
+  with all, block by block, as products of membership matrices; of each block's links only as many come
+  out as join its sets. No bucket, partner or candidate is capped.
 * Classes: connected components of all verified links, by alternating star contractions in the shared
   folder; nothing but a count reaches the driver.
 """
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _word_units, rolling
@@ -159,24 +159,39 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield batch_of(out, [np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes), value.view(np.int64)])
 
 
-def shareable(bodies: DataFrame, sids: DataFrame) -> DataFrame:
-    """``sid, n, m``: the shingles of each set, and those that at least one other of the sets has too."""
-    cut = bodies.join(sids, "sid").select("sid", "text").mapInArrow(_shingle_batches, schema_of("sid long, shingle long"))
-    by_shingle = cut.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("sid"))
-    own = by_shingle.where("df = 1").groupBy("sid").agg(F.count(F.lit(1)).alias("u"))
-    sizes = cut.groupBy("sid").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(own, "sid", "left").select("sid", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+def rare_groups(bodies: DataFrame, sids: DataFrame, threshold: float) -> DataFrame:
+    """``sid, n, rare``: sets that may be near to another of these, in groups that hold every near pair.
+
+    Of two near sets' shingles, taken rarest first, one of the first ``n - ceil(threshold * n) + 1`` of each
+    is shared. Sets are linked to the least one with the same early shingle; ``rare`` names the connected
+    groups. Shingles that no other set has come first and link nothing, so most sets are in no group.
+    """
+    cut = stored(bodies.join(sids, "sid").select("sid", "text").mapInArrow(_shingle_batches, schema_of("sid long, shingle long")), "near-shingles")
+    shared = cut.join(cut.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle")
+    sizes = cut.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).join(shared.groupBy("sid").agg(F.count(F.lit(1)).alias("m")), "sid")
+    early = F.col("m") - F.ceil(F.col("n") * threshold - 1e-9) + 1  # what is left of the prefix behind the shingles of this set alone
+    sizes = sizes.select("sid", "n", early.alias("early")).where("early > 0")
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy("df", "shingle"))
+    prefix = stored(shared.join(sizes, "sid").withColumn("nth", nth).where("nth <= early").select("sid", "shingle"), "near-prefixes")
+    least = prefix.groupBy("shingle").agg(F.min("sid").alias("b"), F.max("sid").alias("most")).where("b != most").select("shingle", "b")
+    ties = prefix.join(least, "shingle").where("sid != b").select(F.col("sid").alias("a"), "b").distinct()
+    return sizes.select("sid", "n").join(components(ties, "near-rare").toDF("sid", "rare"), "sid")
+
+
+#: Rounds of contraction beyond which something is wrong: enough for paths of any table.
+MOST_ROUNDS = 200
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``node, root`` for the nodes of ``links`` (``a, b``), root the least node of each component.
 
     Alternating contractions: every node sends its larger neighbours to its least one, then its smaller
-    ones; a round that changes nothing ends it. Each round is a table in the shared folder.
+    ones; a round that changes nothing ends it. Each round is a table in the shared folder. Rounds grow
+    with the logarithm of a component's longest path; should they not end, an error is raised.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
     seen = None
-    for k in range(1, 60):
+    for k in range(1, MOST_ROUNDS + 1):
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("x", "y")
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -187,6 +202,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"links of {name} still change after {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select("v", F.col("v").alias("x")).distinct())
 
@@ -237,15 +254,17 @@ def _block_links(threshold: float):
 
 
 def _blockwise(pool: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame:
-    """``a, b``: within the groups that the buckets of ``pool`` connect, each set with one that all links join it to.
+    """``a, b``: within the groups that buckets and rare shingles both connect, each set with one that all links join it to.
 
-    A group is cut into blocks of bounded size, and each set goes to every pair of blocks with its own;
-    every link lies in one of these, which returns at most one row for each of its sets.
+    A group of one class needs no comparison. Others are cut into blocks of bounded size, and each set goes
+    to every pair of blocks with its own; every link lies in one of these, which returns at most one row
+    for each of its sets.
     """
-    least = pool.groupBy("band", "bucket").agg(F.min("sid").alias("b"))
-    ties = pool.join(least, ["band", "bucket"]).where("sid != b").select(F.col("sid").alias("a"), "b").distinct()
-    grouped = components(ties, "near-groups").withColumnRenamed("node", "sid").join(pool.select("sid", "n").distinct(), "sid")
-    sizes = grouped.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
+    least = pool.groupBy("rare", "band", "bucket").agg(F.min("sid").alias("b"))
+    ties = pool.join(least, ["rare", "band", "bucket"]).where("sid != b").select(F.col("sid").alias("a"), "b").distinct()
+    grouped = components(ties, "near-groups").withColumnRenamed("node", "sid").join(pool.select("sid", "n", F.col("root").alias("class")).distinct(), "sid")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int")
+    sizes = grouped.groupBy("root").agg(blocks.alias("blocks"), F.min("class").alias("one"), F.max("class").alias("other")).where("one != other").select("root", "blocks")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     dealt = grouped.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid")
@@ -280,8 +299,8 @@ def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
     parts = own.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("m"))
     mixed_buckets = parts.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "bucket")
     placed = stored(own.join(mixed_buckets, ["band", "bucket"]), "near-placed")
-    enough = shareable(bodies, placed.select("sid").distinct()).where(F.col("m") >= threshold * F.col("n") - 1e-9)
-    pool = stored(placed.join(enough.select("sid", "n"), "sid").select("band", "bucket", "sid", "n"), "near-pool")
+    enough = rare_groups(bodies, placed.select("sid").distinct(), threshold)
+    pool = stored(placed.join(enough, "sid").select("band", "bucket", "sid", "n", "rare", "root"), "near-pool")
     found = _blockwise(pool, bodies, threshold)
     links = links.union(found)
     final = components(links, "near-final")

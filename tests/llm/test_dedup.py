@@ -62,16 +62,19 @@ def test_suffix_dedup_of_odd_rows(odd, plain, empty):
 
 
 def brute_words(rows, w):
+    """Rows ``id, text`` or, where ids repeat or are null, ``id, text, hash of the text``."""
     first = {}
-    for d, t in sorted(rows):
-        x = split(t)
+    place = lambda r, i: (r[0] is not None, r[0] or 0, i, *r[2:])
+    for r in rows:
+        x = split(r[1])
         for i in range(len(x) - w + 1):
-            first.setdefault(tuple(x[i : i + w]), (d, i))
-    for d, t in rows:
-        x = split(t)
+            k = tuple(x[i : i + w])
+            first[k] = min(first.get(k, place(r, i)), place(r, i))
+    for r in rows:
+        d, x = r[0], split(r[1])
         gone = [False] * len(x)
         for i in range(len(x) - w + 1):
-            if first[tuple(x[i : i + w])] != (d, i):
+            if first[tuple(x[i : i + w])] != place(r, i):
                 gone[i : i + w] = [True] * w
         yield d, len(x), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(x, gone, strict=True) if not g).encode()).hexdigest()
 
@@ -80,10 +83,49 @@ def test_anchor_dedup_of_odd_rows(odd, plain, empty):
     held = [(r.doc_id, r.text or "") for r in plain.collect()]
     for w in (20, 6):
         assert Counter(map(tuple, anchors.dedup(plain, w).collect())) == Counter(brute_words(held, w))
-    assert anchors.dedup(odd).count() == odd.count()
+    held = [(r.doc_id, r.text or "", r.h) for r in odd.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).select("doc_id", "text", "h").collect()]
+    for w in (20, 6):
+        assert Counter(map(tuple, anchors.dedup(odd, w).collect())) == Counter(brute_words(held, w))
     assert anchors.dedup(empty).count() == 0
 
 
+def _contents(rng, n, size):
+    shared = rng.integers(1, 1 << 60, 30, dtype=np.uint64)
+    out = [rng.integers(1, 1 << 60, size, dtype=np.uint64) for _ in range(n)]
+    for k in (1, 4, 6):
+        at = int(rng.integers(0, size - 30))
+        out[k][at : at + 30] = shared
+    return out, np.array([(k, int(rng.integers(0, 40)), 0) for k in range(n)], dtype=np.int64)
+
+
+def test_only_blocks_of_other_places_are_hits(monkeypatch):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        contents, firsts = _contents(rng, 8, 120)
+        contents.append(contents[4][50:100])  # the same place once more, as contents overlap
+        firsts = np.concatenate([firsts, [[4, firsts[4, 1] + 50, 0]]])
+        seen = {}
+        for c, (d, s, _) in zip(contents, firsts.tolist(), strict=True):
+            for i in range(len(c) - 19):
+                k = c[i : i + 20].tobytes()
+                seen[k] = min(seen.get(k, (d, s + i)), (d, s + i))
+        want = [[seen[c[i : i + 20].tobytes()] != (d, s + i) for i in range(len(c) - 19)] for c, (d, s, _) in zip(contents, firsts.tolist(), strict=True)]
+        assert sum(map(sum, want)) == 2 * 11 + sum(want[8])
+        hits = []
+        probe = anchors.probe_hits
+        monkeypatch.setattr(anchors, "probe_hits", lambda *a, probe=probe, hits=hits: hits.append(probe(*a)) or hits[-1])
+        assert [f.tolist() for f in anchors.earlier_windows([c.tobytes() for c in contents], firsts, 20)] == want
+        assert 0 < hits[0].sum() <= 4 * 21  # of about a thousand rolling blocks
+        monkeypatch.setattr(anchors, "probe_hits", lambda units, *a: np.zeros(max(0, len(units) - 9), dtype=bool))
+        assert not any(f.any() for f in anchors.earlier_windows([c.tobytes() for c in contents], firsts, 20))
+        monkeypatch.undo()
+
+
+def test_maximal_repeats_join_neighbours_with_one_source():
+    assert anchors.maximal_repeats(np.array([7, 5, 6, 20, 21]), np.array([2, 0, 1, 9, 3]), 4) == [(5, 11, 0), (20, 24, 9), (21, 25, 3)]
+    assert anchors.maximal_repeats(np.zeros(0, int), np.zeros(0, int), 4) == []
+
+
 def test_strip_keeps_columns_and_what_is_first(odd, plain, empty):
     out = anchors.strip(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -181,6 +223,38 @@ def brute_classes(rows):
     return {d: least[c] for (d, _), c in zip(rows, label, strict=True)}
 
 
+def odd_classes(odd):
+    """Classes of rows with repeated and null ids, with plain code: equal and near texts, least id first, null before all."""
+    rows = [(r.doc_id, r.text or "") for r in odd.collect()]
+    texts = sorted({t for _, t in rows})
+    of = {t: c for t, c in zip(texts, [brute_classes(list(enumerate(texts)))[i] for i in range(len(texts))], strict=True)}
+    low = lambda d: -1 if d is None else d
+    least = {}
+    for d, t in rows:
+        if split(t):
+            least[of[t]] = min(least.get(of[t], low(d)), low(d))
+    return Counter((d, d if not split(t) else None if least[of[t]] < 0 else least[of[t]]) for d, t in rows)
+
+
+def test_rare_groups_hold_every_near_pair(spark):
+    rng = random.Random(17)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        words = list(common) if k % 3 else [f"o{k // 6}x{i}" for i in range(60)]
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(60)] = f"r{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    bodies = spark.createDataFrame(list(enumerate(texts)), "sid long, text string")
+    got = {r.sid: r.rare for r in neardup.rare_groups(bodies, bodies.select("sid"), 0.8).collect()}
+    sets = []
+    for t in texts:
+        value, _, _ = neardup.shingle_sets([t.encode()])
+        sets.append(set(value.tolist()))
+    near = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 20 and all(got[i] == got[j] for i, j in near) and len(set(got.values())) > 1
+
+
 def test_classes_against_all_pairs(spark, plain, odd, empty):
     rng = random.Random(6)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
@@ -198,7 +272,7 @@ def test_classes_against_all_pairs(spark, plain, odd, empty):
     assert got == brute_classes([(r.doc_id, r.text) for r in rows.collect()])
     kept = neardup.keep_one(rows).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
-    assert neardup.classes(odd).count() == odd.count()
+    assert Counter((r.doc_id, r.class_id) for r in neardup.classes(odd).collect()) == odd_classes(odd)
     one = neardup.keep_one(odd)
     assert one.columns == odd.columns and one.where("doc_id = 900").count() <= 1
     assert neardup.classes(empty).count() == 0 and neardup.keep_one(empty).count() == 0
