@@ -38,6 +38,7 @@ class PrefixEncoder:
         import regex
 
         model = json.loads(spec)
+        self._check(model)
         to_byte = {c: b for b, c in enumerate(byte_letters())}
         vocab = {t: i for t, i in model["model"]["vocab"].items() if all(c in to_byte for c in t)}
         self.bytes_of = [b""] * (max([*vocab.values(), *(t["id"] for t in model["added_tokens"])]) + 1)
@@ -62,6 +63,16 @@ class PrefixEncoder:
         self.known: dict[str, list[int]] = {}
         self.inner: dict[str, str] = {}
 
+    @staticmethod
+    def _check(model: dict) -> None:
+        """Refuse a tokenizer file that asks for other rules than those followed here: its ids would be wrong."""
+        before, rules = model["pre_tokenizer"] or {}, model["model"]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        pairs = rules.get("type", "BPE") == "BPE" and not any(rules.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        added = all(not t[x] for t in model["added_tokens"] for x in ("single_word", "lstrip", "rstrip"))
+        if model.get("normalizer") or not (plain and pairs and added):
+            raise ValueError("the vocabulary is no plain byte-level BPE: only the byte-level pre-tokenizer without a prefix space, no normalizer and merges by rank are followed")
+
     def _merged(self, data: bytes) -> list[int]:
         """Merging by rank, the definition; it decides pairs of tokens, never whole words."""
         ids = [self.single[b] for b in data]
@@ -210,5 +221,10 @@ def decode(encoded: DataFrame, vocab_path: str | None = None, id_col: str = "doc
 
 
 def round_trip(docs: DataFrame, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every text, and return counts and digests of ids and decoded text."""
+    """Encode and decode every text, and return counts and digests of ids and decoded text.
+
+    Null text is empty and has no ids; a null id stays null; repeated rows give repeated rows; an empty table
+    gives none. Texts of any length are encoded whole. A vocabulary of other rules than plain byte-level
+    pairs raises an error. Only the two columns named are read.
+    """
     return texts(docs, id_col, text_col).mapInArrow(_digest_batches(vocabulary(vocab_path)), schema_of(DIGESTS))

@@ -53,6 +53,16 @@ def test_other_pre_tokenizers_use_the_library(tok):
     assert [x.tolist() for x in CachedEncoder(json.dumps(spec)).encode_all(["a b. c", ""])] == [ids_of(other, "a b. c"), []]
 
 
+def test_prefix_encoder_refuses_other_rules():
+    spec = json.loads(vocabulary())
+    for part, name, value in (("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "use_regex", False), ("model", "ignore_merges", True), ("model", "end_of_word_suffix", "</w>")):
+        other = spec | {part: spec[part] | {name: value}}
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.PrefixEncoder(json.dumps(other))
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.PrefixEncoder(json.dumps(spec | {"normalizer": {"type": "Lowercase"}}))
+
+
 def test_a_full_cache_changes_nothing(tok):
     cached, prefix = CachedEncoder(vocabulary(), 3), bpe.PrefixEncoder(vocabulary(), 3)
     for text in ("alpha beta gamma delta", "delta epsilon, zeta eta", "alpha beta. gamma"):
