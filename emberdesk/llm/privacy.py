@@ -86,8 +86,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # --- the chain ---
 
+#: A kind's number labels the first word of a span of it, ``INSIDE`` more the words behind it.
 OUTSIDE = len(KINDS)
-LABELS = len(KINDS) + 1
+INSIDE = len(KINDS) + 1
+LABELS = 2 * len(KINDS) + 1
 PLAIN, EDGE = "x", "<edge>"
 TRIM_LEFT, TRIM_RIGHT = "\"'`<[{", "\"'`>]},;:!?."
 
@@ -219,27 +221,25 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 120, rate: float
     hot = np.eye(LABELS)[gold] * mask[:, :, None]
     pairs = np.einsum("nta,ntb->ab", hot[:, :-1], hot[:, 1:] * mask[:, 1:, None])
 
-    def lse(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
+    used = np.flatnonzero(at.ravel() != none)
+    feature, cell = at.ravel()[used], used // width
+    goes_on = mask[:, 1:, None]
     for _ in range(steps):
         emit = weights[at].sum(axis=2)
-        forward, backward = np.zeros_like(emit), np.zeros_like(emit)
-        forward[:, 0] = emit[:, 0]
-        for k in range(1, t):
-            new = lse(forward[:, k - 1, :, None] + moves, 1) + emit[:, k]
-            forward[:, k] = np.where(mask[:, k, None] > 0, new, forward[:, k - 1])
+        own, step = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves)
+        # Both passes in shares of each place, so that no line is too long for a float; padding changes nothing.
+        forward, backward, total = np.zeros_like(own), np.ones_like(own), np.ones((n, t, 1))
+        for k in range(t):
+            new = own[:, k] if k == 0 else (forward[:, k - 1] @ step) * own[:, k]
+            total[:, k, 0] = np.where(mask[:, k] > 0, new.sum(axis=1), 1)
+            forward[:, k] = np.where(mask[:, k, None] > 0, new / total[:, k], forward[:, k - 1])
+        ahead = own / total
         for k in range(t - 2, -1, -1):
-            new = lse(moves + (emit[:, k + 1] + backward[:, k + 1])[:, None, :], 2)
-            backward[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0)
-        z = lse(forward[:, -1], 1)
-        p = np.exp(forward + backward - z[:, None, None]) * mask[:, :, None]
-        joint = forward[:, :-1, :, None] + moves + (emit[:, 1:] + backward[:, 1:])[:, :, None, :] - z[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
-        slope = np.zeros_like(weights)
-        np.add.at(slope, at.ravel(), np.repeat((hot - p).reshape(-1, LABELS), width, axis=0))
-        slope[none] = 0
+            backward[:, k] = np.where(mask[:, k + 1, None] > 0, (ahead[:, k + 1] * backward[:, k + 1]) @ step.T, 1)
+        p = forward * backward * mask[:, :, None]
+        expected = step * np.tensordot(forward[:, :-1], ahead[:, 1:] * backward[:, 1:] * goes_on, axes=([0, 1], [0, 1]))
+        gap = (hot - p).reshape(-1, LABELS)[cell]
+        slope = np.stack([np.bincount(feature, gap[:, j], none + 1) for j in range(LABELS)], axis=1)
         for value, grad, seen in ((weights, slope / n - decay * weights, speed[0]), (moves, (pairs - expected) / n - decay * moves, speed[1])):
             seen += grad * grad
             value += rate * grad / np.sqrt(seen)
@@ -277,8 +277,9 @@ def labelled_lines(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
             parts += [rng.choice(plain) for _ in range(rng.randint(1, 5))]
             if rng.random() < 0.75:
                 kind, f = rng.choice(made)
-                value = f()
-                parts.append((kind, value))
+                parts.append((kind, f()))
+                if rng.random() < 0.25:  # two of one kind side by side are two spans
+                    parts.append((kind, f()))
         text = ""
         for p in parts:
             kind, value = p if isinstance(p, tuple) else ("", p)
@@ -295,7 +296,7 @@ def labelled_lines(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
 def _training_line(text: str, spans: str) -> tuple[list[str], list[int]]:
     marked = [(KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)]
     words = [(m.start(), m.end()) for m in WORDS.finditer(text)]
-    labels = [next((k for k, s, e in marked if a < e and b > s), OUTSIDE) for a, b in words]
+    labels = [next((k + INSIDE * (a > s) for k, s, e in marked if a < e and b > s), OUTSIDE) for a, b in words]
     return [shape(text[a:b]) for a, b in words], labels
 
 
@@ -323,13 +324,14 @@ def _chain_lines(chain: Chain, text: str) -> Iterator[tuple[list[tuple[int, int]
 
 
 def added_spans(text: str, lines: list[tuple[list[tuple[int, int]], np.ndarray]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of one label as spans, without marks around them, clear of ``base`` and of what can't be personal."""
+    """A kind's first word and the words inside behind it as spans, without marks around them, clear of ``base`` and
+    of what can't be personal. Words inside that follow no word of their kind begin a span."""
     out = []
     for words, labels in lines:
         k = 0
         while k < len(words):
-            label, j = int(labels[k]), k + 1
-            while j < len(words) and labels[j] == label:
+            label, j = int(labels[k]) % INSIDE if labels[k] != OUTSIDE else OUTSIDE, k + 1
+            while j < len(words) and label != OUTSIDE and labels[j] == label + INSIDE:
                 j += 1
             if label != OUTSIDE:
                 lo, hi = words[k][0], words[j - 1][1]

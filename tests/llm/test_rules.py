@@ -199,6 +199,16 @@ def test_chain_on_held_out_lines():
     assert right / total > 0.98
 
 
+def test_neighbours_of_one_kind_are_two_spans():
+    chain = privacy.train()
+    text = "call (640) 555-0953 (212) 555-0147 today or write jo.doe (at) mail.com ann.roe (at) web.org\n640-555-0953 212-555-0147"
+    ((base, every),) = privacy.find_all(chain, [text])
+    assert base == []
+    assert [(privacy.KINDS[k], text[a:b]) for a, k, b in every] == [
+        ("phone", "(640) 555-0953"), ("phone", "(212) 555-0147"), ("email", "jo.doe (at) mail.com"), ("email", "ann.roe (at) web.org"), ("phone", "640-555-0953"), ("phone", "212-555-0147"),
+    ]
+
+
 def test_viterbi_finds_the_best_path():
     chain = privacy.train()
     rng = random.Random(8)
