@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import new_path as new_path
-from ..shared import stored as stored
+
+_CALL = threading.local()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    if getattr(_CALL, "tables", None) is not None:
+        _CALL.tables.append((name, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession, keep: tuple[str, ...]) -> Iterator[None]:
+    """Tables that this block stores are removed at its end, but those named in ``keep``.
+
+    What outlives the block may read the kept tables only. Should the block fail, its tables stay.
+    """
+    outer, _CALL.tables = getattr(_CALL, "tables", None), []
+    try:
+        yield
+        own = _CALL.tables
+    finally:
+        _CALL.tables = outer
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name, path in own:
+        if name not in keep:
+            at = hadoop(path)
+            at.getFileSystem(conf).delete(at, True)
+        elif outer is not None:
+            outer.append((name, path))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from emberdesk.llm import anchors, neardup, suffixes, windows
@@ -310,3 +311,24 @@ def test_components(spark):
     got = {r.node: r.root for r in neardup.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
     assert neardup.components(links.where(F.lit(False))).count() == 0
+
+
+def test_passing_tables_go_and_kept_ones_stay(spark):
+    from emberdesk.llm import common
+    from emberdesk.shared import shared_dir
+
+    def there(df) -> bool:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+    assert shared_dir(spark)
+    with common.passing(spark, keep=("b",)):
+        a, b = common.stored(spark.range(3), "a"), common.stored(spark.range(4), "b")
+        with common.passing(spark, keep=("c",)):
+            c = common.stored(spark.range(5), "c")
+        assert there(a) and there(c)
+    assert not there(a) and not there(c) and there(b) and b.count() == 4
+    with pytest.raises(ValueError), common.passing(spark, keep=()):
+        d = common.stored(spark.range(6), "d")
+        raise ValueError
+    assert there(d)
