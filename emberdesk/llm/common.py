@@ -6,6 +6,7 @@ import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,29 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Rows of a small table that is sent to all tasks, at most; with more it is joined by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
+def finite_vectors(rows: DataFrame, id_col: str, vec_col: str, extra: dict[str, str] | None = None) -> tuple[DataFrame, int]:
+    """``vec_id, v`` and the renamed columns of ``extra``: rows whose vector is not empty and all finite; its length.
+
+    Vectors of another length than the commonest (of equally common ones the shortest) are left out.
+    """
+    also = [F.col(c).alias(name) for name, c in (extra or {}).items()]
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), *also)
+    own = own.where(F.size("v") > 0).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    length = common[0].n if common else 0
+    return own.where(F.size("v") == length), length
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists of numbers as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def vocabulary(path: str | None = None) -> str:
     """The text of a tokenizer file. It has a fixed size and travels with the tasks."""
     if path is None:
