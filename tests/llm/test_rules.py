@@ -119,31 +119,62 @@ def test_secrets_on_held_out_findings(spark, odd, empty):
     assert secrets.scan(rows, own).columns == ["doc_id", "word_no", "value", "score"]
 
 
+def plain_candidates(text):
+    """Places and values of a text's candidates in plain Python; what names a value is none."""
+    words, out = re.split(r"[\x20\x09-\x0D]+", text), []
+    for w, word in enumerate(words):
+        found = list(re.finditer(secrets.CANDIDATE, word))
+        for k, m in enumerate(found):
+            end = found[k + 1].start() if k + 1 < len(found) else len(word)
+            after = word[m.end() : end]
+            if not after and k + 1 == len(found):
+                after = words[w + 1][:1] if w + 1 < len(words) else ""
+            if not (re.search(secrets.NAMED, after) or after == "="):
+                out.append((w, k, m[0]))
+    return out
+
+
 def test_every_candidate_of_a_word_is_judged(spark):
     hexes, other, token = "8f3a9c0b7d2e4f6a1b5c9d8e7f6a5b4c3d2e1f0a", "Zk3vQ9xT7bLm2RpW8sYdN4cH6gJfA1uE", "ghp_x7Kp2mQ9vT4bLz8RwW3sYdN6cH1gJfA5uEoB"
     rows = [
         (1, f"get https://api.service.io/v1/items?token={token} now"), (2, f'{{"title":"letters_without_digits","token":"{hexes}","secret":"{other}"}}'),
-        (3, f"name;letters_without_digits;{hexes};{other};"), (4, hexes), (5, "no-candidate! short"), (6, None),
+        (3, f"name;letters_without_digits;{hexes};{other};"), (4, hexes), (5, "no-candidate! short"), (6, None), (7, f"my_service_api_key={hexes}"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = secrets.candidates(docs.where("text is not null")).collect()
-    want = {(i, w, k, v) for i, t in rows for w, word in enumerate((t or "").split()) for k, v in enumerate(re.findall(secrets.CANDIDATE, word))}
+    want = {(i, *c) for i, t in rows for c in plain_candidates(t or "")}
     assert len(got) == len(want) and {(r.doc_id, r.word_no, r.nth, r.value) for r in got} == want
     pieces = {(r.doc_id, r.value): r.word for r in got}
     assert pieces[2, hexes] == f'","token":"{hexes}' and pieces[2, other] == f'","secret":"{other}"}}' and pieces[3, other] == f";{other};" and pieces[4, hexes] == hexes
+    assert pieces[7, hexes] == f"my_service_api_key={hexes}"
     found = {(r.doc_id, r.value) for r in secrets.scan(docs).collect()}
-    assert {(1, token), (2, hexes), (2, other)} <= found
+    assert {(1, token), (2, hexes), (2, other), (7, hexes)} <= found
+
+
+def test_names_stay_with_their_values_and_are_not_secrets(spark):
+    value = "8f3a9c0b7d2e4f6a1b5c9d8e7f6a5b4c3d2e1f0a"
+    names = ["api_key", "secret", "db_password", "my_service_api_key", "stripe_live_secret_key", "payment_gateway_token", "production_secret_key", "database_password_prod", "MY_APPLICATION_SECRET", "some-long-service-client-secret"]
+    forms = ["{n}={v}", "{n} = {v}", "{n}: {v}", '"{n}":"{v}",', "export {n}='{v}'", "https://host.io/path?{n}={v}&page=2"]
+    rows = [(i * 100 + k, "see " + form.format(n=n, v=value) + " there") for i, n in enumerate(names) for k, form in enumerate(forms)]
+    nothing = [(5000, "see //host/path1/index there"), (5001, "production_secret_key: none"), (5002, "long_option_name_of_mine=true"), (5003, "a_config_key_without_value=")]
+    found = Counter((r.doc_id, r.value) for r in secrets.scan(spark.createDataFrame(rows + nothing, "doc_id long, text string")).collect())
+    assert found == Counter((i, value) for i, _ in rows)
+
+
+def test_a_filter_on_scores_computes_features_once(odd):
+    plan = secrets.scan(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
 
 
 def test_candidates_and_pairs_against_plain_code(spark):
     rng = random.Random(15)
     bits = ["abcdefghijklmnopqrst", "=", ":", "?", "&", ";", "Zk3vQ9xT7bLm2RpW8sYdN4", "==", "/", "_", " ", "\n", '"', "short", "é", "0123456789abcdef"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(800)]
-    got = Counter((r.doc_id, r.value) for r in secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
-    assert got == Counter((i, v) for i, t in enumerate(texts) for w in re.split(r"[\x20\x09-\x0D]+", t) for v in re.findall(secrets.CANDIDATE, w))
+    got = Counter((r.doc_id, r.word_no, r.nth, r.value) for r in secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == Counter((i, *c) for i, t in enumerate(texts) for c in plain_candidates(t))
     words = secrets.language()
     values = ["internationalization", "Zk3vQ9xT7bLm2RpW8sYdN4", "0123456789012345", "qxzjkvwpqxzjkvwpqx"]
-    df = spark.createDataFrame([(i, "", v, v) for i, v in enumerate(values)], "doc_id long, before string, word string, value string")
+    df = spark.createDataFrame([(i, "", v, v, "") for i, v in enumerate(values)], "doc_id long, before string, word string, value string, after string")
     for r in secrets.features(df, words).collect():
         codes = [ord(c) - 97 for c in r.value.lower()]
         pairs = [words.pairs[a * 26 + b] for a, b in zip(codes, codes[1:], strict=False) if 0 <= a < 26 and 0 <= b < 26]
@@ -168,7 +199,7 @@ def test_secrets_in_lines_of_another_make(spark):
     found = {r.doc_id for r in secrets.scan(rows).collect()}
     missed = [t for i, (t, label) in enumerate(HELD_OUT) if label and i not in found]
     wrong = [t for i, (t, label) in enumerate(HELD_OUT) if not label and i in found]
-    assert len(missed) <= 2 and len(wrong) <= 2, (missed, wrong)
+    assert not missed and len(wrong) <= 1, (missed, wrong)
 
 
 def brute_spans(t):
