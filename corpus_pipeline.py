@@ -16,7 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass, with their failing lines removed."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     judged = quality.quality(docs, keep=others).where("kept")
-    return judged.select(*[F.col("cleaned").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    held = {"text": F.col("cleaned"), "doc_id": F.col("doc_id")}
+    return judged.select(*[held.get(c, F.col("columns").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

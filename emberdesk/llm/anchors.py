@@ -250,4 +250,4 @@ def strip(docs: DataFrame, window: int = WINDOW_WORDS, id_col: str = "doc_id", t
     own = docs.withColumn(d, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(absent, F.col(text_col).isNull())
     own = own.withColumn(th, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if apart else F.lit(0).cast("long")).drop(text_col)
     text = F.when(~F.col(absent), F.col(new))
-    return own.join(out, [d, th]).select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return own.join(out, [d, th]).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

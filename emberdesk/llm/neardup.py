@@ -334,4 +334,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     heads = _classified(docs, threshold, id_col, text_col).select(F.col("class_d").alias("__emberdesk_d"), F.col("class_th").alias("__emberdesk_th")).distinct()
     key = ["__emberdesk_d", "__emberdesk_th"]
     keyed = docs.withColumn(key[0], F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(key[1], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(heads, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    return keyed.join(heads, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])

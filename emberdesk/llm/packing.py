@@ -23,7 +23,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 #: Nodes that the search may open beyond the best-fit incumbent, and fillings it tries at each.
-SEARCH_NODES, SEARCH_WIDTH = 2_000, 6
+SEARCH_NODES, SEARCH_WIDTH = 20_000, 6
 
 #: Rows of one length that are ranked in one task, about.
 ROWS_PER_SALT = 20_000

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGITS = re.compile(r"[^0-9]+")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-MARKED = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
+AT_SIGN = re.compile(r"[(\[](?:at|AT)[)\]]")
+SPELLED_AT, SPELLED_DOT = re.compile(r"(?i)[\x20\x09]at[\x20\x09].*[\x20\x09]dot[\x20\x09]"), re.compile(r"(?i)[\x20\x09]dot[\x20\x09]")
+#: A line without any of these has nothing to add.
+MARKED = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]|[\x20\x09](?:dot|DOT|Dot)[\x20\x09]")
 
 #: Labelled lines used at most for a fit; a larger table is cut to the first of them by their hash.
 MAX_LABELLED = 2_000
@@ -94,17 +98,23 @@ PLAIN, EDGE = "x", "<edge>"
 TRIM_LEFT, TRIM_RIGHT = "\"'`<[{", "\"'`>]},;:!?."
 
 
+#: Runs of a word's shape that are held as they are.
+RUNS = 12
+#: Words that spell an address.
+SPELLED = {"at": "at", "dot": "dot", "com": "tld", "org": "tld", "net": "tld", "edu": "tld", "gov": "tld", "info": "tld"}
+
+
 def shape(word: str) -> str:
-    """What a word looks like: runs of letters and digits by kind and length class, marks as they are."""
+    """What a word looks like: runs of letters and digits by kind and length class, marks as they are, all of it."""
     if word.isalpha():
-        return PLAIN
+        return SPELLED.get(word.lower(), PLAIN)
     core = word.strip(TRIM_LEFT).rstrip(TRIM_RIGHT)
     if word.lower() in ("(at)", "[at]"):
         return "(at)"
     if not core or core.isalpha():
-        return PLAIN
+        return SPELLED.get(core.lower(), PLAIN)
     out, i, n = [], 0, len(core)
-    while i < n and len(out) < 12:
+    while i < n:
         c, j = core[i], i
         if "0" <= c <= "9":
             while j < n and "0" <= core[j] <= "9":
@@ -119,6 +129,9 @@ def shape(word: str) -> str:
             j += 1
             out.append(c if c in "@.()+-/:_=" else "?")
         i = j
+    if len(out) > RUNS:  # the rest by a hash, and by the mark that traits look for
+        rest = out[RUNS:]
+        out = [*out[:RUNS], *(["@"] if "@" in rest and "@" not in out[:RUNS] else []), f"~{zlib.crc32(' '.join(rest).encode()):x}"]
     return " ".join(out)
 
 
@@ -246,7 +259,7 @@ def fit(lines: list[tuple[list[str], list[int]]], steps: int = 120, rate: float
     return Chain(features, weights[:-1], moves)
 
 
-def labelled_lines(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
+def labelled_lines(count: int = 1_000, seed: int = 5) -> list[tuple[str, str]]:
     """Labelled lines made by rule: the text, and its spans as ``kind:start:end`` joined by commas."""
     rng = random.Random(seed)
     plain = ["the", "of", "und", "der", "les", "de", "que", "word", "lines,", "today.", "at", "dot", "it", "call", "or", "write", "Then", "after"]
@@ -269,6 +282,8 @@ def labelled_lines(count: int = 600, seed: int = 5) -> list[tuple[str, str]]:
         ("", lambda: str(rng.randint(1, 99999))), ("", lambda: f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1990, 2030)}"), ("", lambda: f"{rng.randint(1, 99)}.{d(2)}"),
         ("", lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(36))}"'), ("", lambda: f"{rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}"), ("", lambda: f"{rng.randint(1990, 2030)}-{d(2)}-{d(2)}"),
         ("", lambda: "1" + d(15) if not luhn("1" + (x := d(15))) else "1" + x), ("", lambda: f"{rng.randint(1, 23)}:{d(2)}"), ("", lambda: f"({rng.randint(1, 99)})"), ("", lambda: f"{name()} at {name()} dot {name()}"),
+        ("phone", lambda: f"0{d(2)} {d(7)}"), ("phone", lambda: f"0{d(3)}/{d(7)}"), ("phone", lambda: f"0{d(3)}-{d(6)}"), ("phone", lambda: f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"), ("", lambda: f"{d(2)}/{d(2)}/{rng.randint(1990, 2030)}"), ("", lambda: f"{d(2)} {d(4)}"),
+        *[("email", lambda: f"{name()} at {name()} dot {rng.choice(['com', 'org', 'net', 'edu'])}")] * 3, ("email", lambda: f"{name()} dot {name()} at {name()} dot {rng.choice(['com', 'org', 'net'])}"), ("", lambda: f"at {name()} com"), ("", lambda: f"dot {rng.choice(['com', 'org'])}"),
     ]
     out = []
     for _ in range(count):
@@ -323,6 +338,18 @@ def _chain_lines(chain: Chain, text: str) -> Iterator[tuple[list[tuple[int, int]
         at = end + 1
 
 
+def _address(text: str) -> bool:
+    """Whether an added email has a sign or word for @, and one for the dot of its domain."""
+    if "@" in text or AT_SIGN.search(text):
+        return "." in text or SPELLED_DOT.search(text) is not None
+    return SPELLED_AT.search(text) is not None
+
+
+def _four_parts(text: str) -> bool:
+    parts = re.findall("[0-9]+", text)
+    return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+
+
 def added_spans(text: str, lines: list[tuple[list[tuple[int, int]], np.ndarray]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """A kind's first word and the words inside behind it as spans, without marks around them, clear of ``base`` and
     of what can't be personal. Words inside that follow no word of their kind begin a span."""
@@ -335,12 +362,12 @@ def added_spans(text: str, lines: list[tuple[list[tuple[int, int]], np.ndarray]]
                 j += 1
             if label != OUTSIDE:
                 lo, hi = words[k][0], words[j - 1][1]
-                while lo < hi and text[lo] in TRIM_LEFT:
+                while lo < hi and (text[lo] in TRIM_LEFT or label == 0 and text[lo] == "("):
                     lo += 1
-                while hi > lo and text[hi - 1] in TRIM_RIGHT:
+                while hi > lo and (text[hi - 1] in TRIM_RIGHT or label == 0 and text[hi - 1] == ")"):
                     hi -= 1
                 digits = len(NOT_DIGITS.sub("", text[lo:hi]))
-                fits = {0: ("@" in text[lo:hi] or MARKED.search(text[lo:hi]) is not None) and "." in text[lo:hi] and j - k <= 4, 1: digits >= 4, 2: 12 <= digits <= 19, 3: 9 <= digits <= 15}[label]
+                fits = {0: _address(text[lo:hi]) and j - k <= 7, 1: _four_parts(text[lo:hi]), 2: 12 <= digits <= 19, 3: 9 <= digits <= 15}[label]
                 if fits and not any(s < hi and e > lo for s, _, e in base):
                     out.append((lo, label, hi))
             k = j
@@ -384,8 +411,8 @@ def _span_batches(chain: Chain):
 def find(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and digest of the base spans, and all spans (``kind:start:end``, code points, end exclusive).
 
-    Null or empty text has no spans; a null id stays null; repeated rows give repeated rows; an empty
-    table gives none. Spans of two kinds may overlap where the base patterns do. Only the two columns
+    Null or empty text has no spans; texts of any length are read whole; a null id stays null; repeated rows give
+    repeated rows; an empty table gives none. Spans of two kinds may overlap where the base patterns do. Only the two columns
     named are read.
     """
     return texts(docs, id_col, text_col).mapInArrow(_span_batches(train(labelled)), schema_of(SPANS))
@@ -407,7 +434,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced; null stays null and other columns stay as they are."""
+    """``docs`` with personal data in ``text_col`` replaced; null stays null and other columns stay as they are.
+
+    Texts of any length are read whole; null ids, repeated ids and repeated rows stay as they are, and equal texts
+    change alike; an empty table gives none. Only ``text_col`` is read, so other names can't clash.
+    """
     bounded_batches(docs.sparkSession)
     chain, place = train(labelled), docs.columns.index(text_col)
 
@@ -418,4 +449,5 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None, text_col: str = "
             new = pa.array([t if t is None else redacted(t, every) for t, (_, every) in zip(held, found, strict=True)], type=b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([new if i == place else b.column(i) for i in range(b.num_columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't be passed to Arrow functions
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -19,9 +19,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = (
-    "all rights reserved", "copyright (c)", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "sign up for",
-    "click here", "enable javascript", "licensed under", "skip to content", "skip to main content",
+    "all rights reserved", "copyright (c)", "copyright ©", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "accept cookies", "sign up for", "click here",
+    "enable javascript", "licensed under", "skip to content", "skip to main content", "alle rechte vorbehalten", "cookies akzeptieren", "nutzungsbedingungen", "hier klicken", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "conditions d'utilisation", "politique de confidentialité", "cliquez ici", "aller au contenu", "todos los derechos reservados", "aceptar cookies",
+    "términos de uso", "política de privacidad", "haga clic aquí", "saltar al contenido",
 )
+#: Words that links of a page's frame are made of.
+LINK_WORDS = (
+    "home", "homepage", "about", "contact", "login", "logout", "register", "menu", "search", "sitemap", "faq", "help", "subscribe", "newsletter", "share", "tweet", "next", "previous", "more", "read", "back", "top",
+    "startseite", "kontakt", "impressum", "anmelden", "registrieren", "suche", "datenschutz", "hilfe", "weiterlesen", "teilen", "accueil", "connexion", "recherche", "aide", "partager", "suivant", "inicio", "contacto", "buscar", "ayuda", "compartir", "siguiente",
+)
+LINK = r"(?i)(?<![^\x20\x09|<>/])(?:" + "|".join(LINK_WORDS) + r")(?![^\x20\x09|<>/:,])"
+#: The same inside a text, where lines' ends are borders as well.
+LINK_IN_TEXT = LINK.replace(r"\x09|", r"\x09\n|")
+SENTENCE_END = r"[.!?…][\"'”’»)\]]*[\x20\x09\r]*$"
 STUTTER = r"(?<![^\x20\x09])([^\x20\x09]+)(?:[\x20\x09]\1){3}(?![^\x20\x09])"
 #: The same inside a text: lines' ends are borders as well, and no word holds one.
 STUTTER_IN_TEXT = r"(?<![^\x20\x09\n])([^\x20\x09\n]+)(?:[\x20\x09]\1){3}(?![^\x20\x09\n])"
@@ -35,41 +46,48 @@ MIN_KEPT_SHARE = 0.5
 MAX_MARKS_PER_WORD = 0.3
 
 
-def _boilerplate(text: Column) -> Column:
+def _boilerplate(text: Column, words: Column | None = None) -> Column:
+    """Whether ``text`` holds a phrase, and with its number of ``words`` given, whether that is a quarter of them."""
     lower = F.lower(text)
-    return reduce(lambda a, b: a | b, [lower.contains(p) for p in BOILERPLATE])
+    return reduce(lambda a, b: a | b, [lower.contains(p) if words is None else lower.contains(p) & (words <= 4 * len(p.split())) for p in BOILERPLATE])
 
 
 def failing_line(line: Column) -> Column:
-    """True if ``line`` has words and fails a rule."""
+    """True if ``line`` has words and fails a rule.
+
+    Navigation: bars between few words, or link words as half of a line that doesn't end like a sentence.
+    Punctuation: doubled marks and symbols in place of punctuation; a word said four times on end.
+    Boilerplate: a known phrase that makes up a quarter of the line, so that sentences may mention it.
+    """
     words = F.regexp_count(line, F.lit(WORD))
     bars = F.regexp_count(line, F.lit(r"(?<![^\x20\x09])[|<>](?![^\x20\x09])"))
     marks = F.regexp_count(line, F.lit(r"[#*$%&|<>]{2,}|!{2,}|\?{2,}"))
-    navigation = (bars >= 2) & (bars * 4 >= words)
+    navigation = (bars >= 2) & (bars * 4 >= words) | (F.regexp_count(line, F.lit(LINK)) * 2 >= words - bars) & ~line.rlike(SENTENCE_END)
     punctuation = (words >= 3) & (marks > words * MAX_MARKS_PER_WORD)
     stutter = F.regexp_count(line, F.lit(STUTTER)) * 8 >= words
-    return (words > 0) & (navigation | punctuation | line.rlike(STUTTER) & stutter | _boilerplate(line))
+    return (words > 0) & (navigation | punctuation | line.rlike(STUTTER) & stutter | _boilerplate(line, words))
 
 
 def suspect(text: Column, n_symbols: Column) -> Column:
     """False only if no line of ``text`` can fail: each rule of ``failing_line`` needs a symbol, a doubled mark,
-    a stutter between the text's or a line's ends, or a phrase, which the whole text then has as well."""
-    return (n_symbols > 0) | text.contains("!!") | text.contains("??") | text.rlike(STUTTER_IN_TEXT) | _boilerplate(text)
+    a stutter between the text's or a line's ends, a link word or a phrase, which the whole text then has as well."""
+    return (n_symbols > 0) | text.contains("!!") | text.contains("??") | text.rlike(STUTTER_IN_TEXT) | text.rlike(LINK_IN_TEXT) | _boilerplate(text)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Counts, verdict and cleaned text of every document, in one pass without a shuffle.
 
     Columns: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
-    n_removed_lines, base_failed, kept, cleaned``, and behind them the columns named in ``keep``.
+    n_removed_lines, base_failed, kept, cleaned``, and with ``keep`` a struct ``columns`` of the columns it names,
+    so that these may have any names.
 
-    Null or empty text has no words, so it fails the base rule. Windows are compared by 64-bit hashes of
+    Null or empty text has no words, so it fails the base rule. Texts of any length are judged whole, in one row. Windows are compared by 64-bit hashes of
     their words within a document. Repeated rows are judged alike; an empty table gives no rows. Columns
     of the input are read only by the names given, so others can't clash.
     """
     keep = keep or None
-    rows = texts(docs, id_col, text_col) if keep is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*keep).alias("kept_columns"))
-    extra = [] if keep is None else ["kept_columns"]
+    rows = texts(docs, id_col, text_col) if keep is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("columns"))
+    extra = [] if keep is None else ["columns"]
     held = ["doc_id", "text", *extra]
 
     split = rows.select(*held, F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"), F.split("text", "\n").alias("lines"))
@@ -106,5 +124,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= MIN_KEPT_SHARE * F.col("n_words"))
     cleaned = F.when(F.col("n_removed_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda _, i: ~F.get("fails", i)), "\n"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "n_removed_lines", "base_failed", kept.alias("kept"), cleaned.alias("cleaned"), *([] if keep is None else ["kept_columns.*"])
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "n_removed_lines", "base_failed", kept.alias("kept"), cleaned.alias("cleaned"), *extra
     )
