@@ -28,7 +28,7 @@ from .ann import Tree
 from .common import batch_of, bounded_batches, schema_of, slices, stored, texts
 
 #: Labelled texts that are examples, about: those of least id hash.
-MAX_EXAMPLES = 12_000
+MAX_EXAMPLES = 8_000
 #: Terms: those with this chi-squared at least, the first of them; and the most frequent ones. Both counted in the examples.
 LEAST_CHI, MAX_TELLING, FREQUENT, LEAST_TEXTS = 25.0, 1_000, 50, 5
 STEM = 5
@@ -130,43 +130,32 @@ def _count_batches(terms: list[str]):
     return run
 
 
-@dataclass(frozen=True)
 class BlockMax:
-    """An inverted index of vectors: postings by term and block, and each term's largest weight in each block."""
+    """An inverted index of vectors in blocks: a term's postings in a block are the weights of its rows side by
+    side, zero where the term is absent, and its largest weight there stands apart. It travels without the zeros."""
 
-    size: int
-    row: np.ndarray  # of the postings, in the order of term, block and row
-    weight: np.ndarray
-    start: np.ndarray  # of each term and block in the postings, one more at the end
-    most: np.ndarray  # by block and term
+    def __init__(self, x: np.ndarray):
+        self._place(len(x), x.shape[1], *np.nonzero(x), x[np.nonzero(x)])
 
-    @classmethod
-    def build(cls, x: np.ndarray) -> BlockMax:
-        n, width = x.shape
-        blocks = -(-n // BLOCK)
-        term, row = np.nonzero(x.T)
-        key = term * blocks + row // BLOCK
-        start = np.searchsorted(key, np.arange(width * blocks + 1))
-        padded = np.zeros((blocks * BLOCK, width))
-        padded[:n] = x
-        return cls(n, row, x[row, term], start, padded.reshape(blocks, BLOCK, width).max(axis=1))
+    def _place(self, size: int, width: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        self.size, self.blocks = size, -(-size // BLOCK)
+        self.postings = np.zeros((self.blocks, width, BLOCK))
+        self.postings[row // BLOCK, term, row % BLOCK] = weight
+        self.most = np.ascontiguousarray(self.postings.max(axis=2).T)  # by term and block
+
+    def __reduce__(self):
+        block, term, at = np.nonzero(self.postings)
+        return _placed, (self.size, self.postings.shape[1], (block * BLOCK + at).astype(np.int32), term.astype(np.int32), self.postings[block, term, at])
 
     def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``blocks`` and their products with the query, terms summed in one order."""
-        key = (terms[:, None] * len(self.most) + blocks[None]).ravel()
-        lo, hi = self.start[key], self.start[key + 1]
-        n = hi - lo
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        place = np.zeros(len(self.most), dtype=np.int64)
-        place[blocks] = np.arange(len(blocks))
-        own = self.row[at]
-        total = np.bincount(place[own // BLOCK] * BLOCK + own % BLOCK, weights=self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), n), minlength=len(blocks) * BLOCK)
+        total = (self.postings[blocks[:, None], terms[None]] * weights[None, :, None]).sum(axis=1).ravel()
         rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         return rows[rows < self.size], total[rows < self.size]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` rows with the largest products, largest first, ties to the lower row; all if fewer."""
-        bound = self.most[:, terms] @ weights + ROUNDING
+        bound = weights @ self.most[terms] + ROUNDING
         order = np.argsort(-bound, kind="stable")
         rows, found = np.zeros(0, dtype=np.int64), np.zeros(0)
         at, step = 0, FIRST_BLOCKS
@@ -178,12 +167,21 @@ class BlockMax:
                 break
             r, s = self.scores(terms, weights, take)
             rows, found = np.concatenate([rows, r]), np.concatenate([found, s])
+            if len(found) > k:
+                enough = found >= np.partition(found, -k)[-k]
+                rows, found = rows[enough], found[enough]
             best = np.lexsort((rows, -found))[:k]
             rows, found = rows[best], found[best]
             at, step = at + step, step * 2
         return rows, found
 
 
+def _placed(*held) -> BlockMax:
+    out = BlockMax.__new__(BlockMax)
+    out._place(*held)
+    return out
+
+
 def pooled(votes: np.ndarray, truth: np.ndarray) -> tuple[list[float], list[float]]:
     """Points of a rising line from votes to the share of label 1, by pooling neighbours that would fall."""
     order = np.argsort(votes, kind="stable")
@@ -224,7 +222,7 @@ class Model:
         # Similar examples stand together, so that a block's bound is close to what it holds.
         order = np.lexsort((names, Tree.fit(x).assign(x)))
         x, y, names = x[order], y[order], names[order]
-        model = cls(terms, idf, names, y, BlockMax.build(x), ([], []), prior)
+        model = cls(terms, idf, names, y, BlockMax(x), ([], []), prior)
         votes = np.array([model.vote(np.flatnonzero(row), row[row != 0], without=i)[0] for i, row in enumerate(x)])
         return cls(terms, idf, names, y, model.index, pooled(votes, y), prior)
 
@@ -294,5 +292,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = sorted(chosen.select("doc_id", "text").mapInArrow(_count_batches(terms), kind).collect(), key=lambda r: (r.doc_id, r.terms, r.counts))  # bounded by ``most``
     label = {r.doc_id: r.toxic for r in chosen.select("doc_id", "toxic").collect()}
     model = Model.fit(terms, idf, [r.doc_id for r in held], [label[r.doc_id] for r in held], [(r.terms, r.counts) for r in held])
-    scored = counted.mapInArrow(_score_batches(model), schema_of("doc_id long, score double, neighbours array<long>, evidence array<string>"))
+    # The counts are a small table in few files: dealt out, so that tasks don't grow with the corpus.
+    dealt = counted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = dealt.mapInArrow(_score_batches(model), schema_of("doc_id long, score double, neighbours array<long>, evidence array<string>"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "evidence")

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -59,7 +60,7 @@ def test_the_index_finds_what_all_products_find():
     rng = np.random.default_rng(2)
     for n, width in ((5, 3), (700, 40), (2000, 12)):
         x = np.round(rng.random((n, width)) * (rng.random((n, width)) < 0.2), 2)
-        index = toxicity.BlockMax.build(x)
+        index = pickle.loads(pickle.dumps(toxicity.BlockMax(x)))
         for _ in range(20):
             q = np.round(rng.random(width) * (rng.random(width) < 0.5), 2)
             terms = np.flatnonzero(q)
@@ -71,7 +72,7 @@ def test_the_index_finds_what_all_products_find():
 
 def test_blocks_out_of_reach_are_not_read(monkeypatch):
     x = np.kron(np.eye(40), np.ones((64, 1)))
-    index, read = toxicity.BlockMax.build(x), []
+    index, read = toxicity.BlockMax(x), []
     plain = toxicity.BlockMax.scores
     monkeypatch.setattr(toxicity.BlockMax, "scores", lambda self, t, w, b: (read.append(len(b)), plain(self, t, w, b))[1])
     rows, _ = index.nearest(np.array([17]), np.array([1.0]), 15)
