@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting to remove a query's shuffle files as soon as it has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Within this block a query's shuffle files go with its end; the session's own setting comes back after it."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here.
 
@@ -41,7 +61,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with cleaning(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
