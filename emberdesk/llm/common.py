@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import cleaning
 from ..shared import new_path as new_path
 
 _CALL = threading.local()
@@ -21,7 +22,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with cleaning(spark):
+        df.write.parquet(path)
     if getattr(_CALL, "tables", None) is not None:
         _CALL.tables.append((name, path))
     return spark.read.schema(df.schema).parquet(path)

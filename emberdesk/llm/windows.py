@@ -10,6 +10,7 @@ the number of its occurrences.
 ``repeats`` does this for any unit. Its tables:
 
 * ``stretches``: key, content, document and place of each stretch;
+* ``places``: those whose key occurs more than once;
 * ``live``: contents that occur twice or share their key, with the number and the first of the
   occurrences;
 * marks: for contested contents, the runs of windows that the comparing method found;
@@ -228,7 +229,11 @@ def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool)
     runs of windows (``offset, count, ...``) that also start elsewhere among them, or with ``first_stays``
     those that start earlier.
     """
-    found = stored(keyed.mapInArrow(_stretch_batches(how), schema_of(STRETCHES)), f"{name}-stretches")
+    with passing(keyed.sparkSession, keep=(f"{name}-places",)):
+        # Most keys have one stretch, and nothing to do with the rest: they are left out before anything wide is shuffled.
+        every = stored(keyed.mapInArrow(_stretch_batches(how), schema_of(STRETCHES)), f"{name}-stretches")
+        keys = stored(every.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), f"{name}-keys")
+        found = stored(every.join(keys, "key").select(*every.columns), f"{name}-places")
     with passing(keyed.sparkSession, keep=(f"{name}-judged",)):
         contents = found.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n_occ"), F.min(F.struct("d", "start", "th")).alias("first"), F.first("n").alias("n"))
         counted = contents.withColumn("n_contents", F.count(F.lit(1)).over(Window.partitionBy("key")))
