@@ -1,11 +1,20 @@
-"""Structured Streaming: commit frames to a table of posts, first write of a uri wins, deletes are tombstones."""
+"""Structured Streaming: commit frames to a table of changes, first write of a uri wins, deletes are tombstones."""
 
+from __future__ import annotations
+
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from ..shared import cleaning
 from ..sources.commits import POST, REPOST, gated, parsed
+from .keyed import FORGET_MS, first_writes, rocks
+
+COUNTERS = "batch_id long, read long, kept long, inserted long, deleted long"
+PROGRESS = "at string, batch_id long, rows_in long, batch_ms long, backlog long"
 
 
 def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -17,49 +26,118 @@ def read_frames(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path).where(wanted)
 
 
-def unseen(batch: DataFrame, table: str) -> DataFrame:
-    """Posts of ``batch`` whose uri ``table`` doesn't hold, each once. Clients' dates decide nothing."""
-    held = batch.sparkSession.read.schema(batch.schema).parquet(table).select("uri")
-    return batch.dropDuplicates(["uri"]).join(held, "uri", "left_anti").select(*batch.columns)
+def _activate(spark: SparkSession) -> None:
+    """Make ``spark`` the active session of the stream's thread again: the next batch's keyed state is planned with it."""
+    spark._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
 
 
-COUNTERS = "batch_id long, posts long, kept long, inserted long"
+def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str, trigger: dict | None = None, forget_ms: int = FORGET_MS):
+    """Keep the gated posts of ``frames``, each uri's first, and the deletes, as a table of changes.
 
+    What is known of a uri is keyed state, not a look into ``table``. A batch writes one folder by its number,
+    ``table/batch=<n>``: a batch that runs again after a loss writes over what it wrote, so nothing is doubled,
+    and offsets, state and folders name the same batches. ``graph`` is read where a batch is written; it may be a
+    function, which each batch then calls, so a refreshed graph counts from the next batch on. ``<table>-counters``
+    gets a row for each batch: events read that changed something, kept by the gate, posts and deletes written.
+    """
+    spark, events = frames.sparkSession, parsed(frames)
 
-def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str, trigger: dict | None = None):
-    """Insert the gated posts of ``frames`` into ``table`` if their uri is absent; the checkpoint holds offsets.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        read, kept = Observation(), Observation()
+        n, creates = F.count(F.lit(1)), F.count_if(F.col("op") == "create")
+        rows = gated(batch.observe(read, n.alias("n")), graph() if callable(graph) else graph)
+        rows = rows.observe(kept, n.alias("n"), creates.alias("creates")).select(*events.columns)
+        with cleaning(batch.sparkSession):
+            rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        counts = [(batch_id, read.get["n"], kept.get["n"], kept.get["creates"], kept.get["n"] - kept.get["creates"])]
+        batch.sparkSession.createDataFrame(counts, COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{table}-counters/batch={batch_id}")
+        _activate(batch.sparkSession)
+
+    with rocks(spark):
+        changes = first_writes(events, forget_ms).writeStream.foreachBatch(write).outputMode("update")
+        return changes.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def changes(spark: SparkSession, table: str) -> DataFrame:
+    """All changes so far, with the batch that wrote them."""
+    like = parsed(spark.createDataFrame([], "value string")).schema
+    return spark.read.schema(like.add("batch", "long")).option("basePath", table).parquet(table)
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """Posts that are held: created and not deleted, whichever event came first."""
+    every = changes(spark, table)
+    return every.where("op = 'create'").join(every.where("op = 'delete'").select("uri"), "uri", "left_anti")
 
-    The table itself is the state: a batch reads its uris, so a batch that runs again inserts nothing twice.
-    ``graph`` may be a function: each batch then calls it, so a refreshed graph counts from the next batch on.
-    ``<table>-counters`` gets a row for each batch: the posts read, kept by the gate and inserted.
-    """
-    posts = parsed(frames).where("op = 'create'")
-    spark = posts.sparkSession
-    spark.createDataFrame([], posts.schema).write.mode("ignore").parquet(table)
 
-    def insert(batch: DataFrame, batch_id: int) -> None:
-        read, kept, new = Observation(), Observation(), Observation()
-        n = F.count(F.lit(1)).alias("n")
-        rows = gated(batch.observe(read, n), graph() if callable(graph) else graph).observe(kept, n)
-        unseen(rows, table).observe(new, n).write.mode("append").parquet(table)
-        counts = [(batch_id, *(o.get["n"] for o in (read, kept, new)))]
-        spark.createDataFrame(counts, COUNTERS).write.mode("overwrite").parquet(f"{table}-counters/batch={batch_id}")
+def compact(spark: SparkSession, table: str, through: int) -> int:
+    """Fold the batches up to ``through`` that are finished into one folder without deleted posts; returns how many were folded.
 
-    return posts.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    The new folder takes the number of the last batch folded, in place of it, so readers see old folders or the
+    new one; between the two steps a post may be read twice, never lost. Deletes stay, for posts of earlier folders.
+    """
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(table)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(int(s.getPath().getName()[6:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch="))
+    old = [b for b in found if b <= through]
+    if len(old) < 2:
+        return 0
+    rows = changes(spark, table).where(F.col("batch") <= through)
+    gone = rows.where("op = 'delete'").select("uri").distinct()
+    kept = rows.where("op = 'create'").join(gone, "uri", "left_anti").drop("batch")
+    staged = f"{table}-compacted"
+    with cleaning(spark):
+        kept.unionByName(rows.where("op = 'delete'").drop("batch").dropDuplicates(["uri"])).write.mode("overwrite").parquet(staged)
+    fs.delete(fs_path(f"{table}/batch={old[-1]}"), True)
+    fs.rename(fs_path(staged), fs_path(f"{table}/batch={old[-1]}"))
+    for b in old[:-1]:
+        fs.delete(fs_path(f"{table}/batch={b}"), True)
+    return len(old)
 
 
 def counters(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.schema(COUNTERS).parquet(f"{table}-counters")
 
 
-def start_tombstones(frames: DataFrame, table: str, checkpoint: str, trigger: dict | None = None):
-    gone = parsed(frames).where("op = 'delete'").select("uri")
-    return gone.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+class Progress(StreamingQueryListener):
+    """Writes a row about each batch: rows in, its time, and how many landed files wait behind it.
+
+    ``landed`` tells how many files have arrived; the frames' own source tells in its offsets how many it has taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, landed: Callable[[], int] | None = None):
+        self.spark, self.path, self.landed, self.taken = spark, path, landed, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        ms = int(p.durationMs.get("triggerExecution", 0)) if p.durationMs else 0
+        row = (str(p.timestamp), int(p.batchId), int(p.numInputRows), ms, self.backlog(p))
+        self.spark.createDataFrame([row], PROGRESS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/run={p.runId}/batch={p.batchId}")
+
+    def backlog(self, progress) -> int | None:
+        """Files that have landed and no batch has taken: those behind the name in the source's offset, or None if it has none."""
+        if self.landed is None or not progress.sources:
+            return None
+        end = progress.sources[0].endOffset
+        try:
+            taken = json.loads(end) if end else {}
+        except ValueError:
+            return None
+        return max(0, self.landed() - int(taken["files"])) if "files" in taken else None
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
-def current(posts: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Posts without deleted ones, whichever event came first."""
-    return posts.join(tombstones.select("uri").distinct(), "uri", "left_anti")
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PROGRESS).parquet(path)
 
 
 def hourly(events: DataFrame) -> DataFrame:
