@@ -70,3 +70,5 @@ WATCHLIST = ["u3", "u1", "u8", "u12", "u2", "u16"]
 HOUSE = ["did:u0", "did:u1"]
 #: Seconds between runs of the periodic jobs.
 CADENCE = {"rank": 120, "edition": 900, "messages": 300, "graph": 86_400, "seeds": 600}
+#: Seconds from the start to a job's first run.
+DELAY = {"rank": 0, "edition": 30, "messages": 60, "graph": 300, "seeds": 0}

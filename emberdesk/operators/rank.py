@@ -34,6 +34,11 @@ def profiles(posts: DataFrame, now: datetime) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(link).alias("links"), F.count_if(link & (F.col("bare") < 30)).alias("titles"),
         (F.count("reply_to_uri") + F.count("quote_uri")).alias("talk"), F.sum("bare").alias("bare"),
     )
+    return profiles_of(by_domain)
+
+
+def profiles_of(by_domain: DataFrame) -> DataFrame:
+    """Profiles from sums by author and domain (``n, links, titles, talk, bare``)."""
     named = F.col("external_domain").isNotNull()
     a = by_domain.groupBy("author_did").agg(
         F.sum("n").alias("total"), F.sum("links").alias("links"), F.sum("titles").alias("titles"), F.sum("talk").alias("talk"), F.sum("bare").alias("bare"),
@@ -109,16 +114,19 @@ def composed(scored: DataFrame, size: int = dims.PAGE_SIZE * dims.BUFFER_PAGES,
     """The best posts under caps for each author, thread and link, ranked.
 
     A rejected post takes nothing from the other caps, so this is a fold, not a window. Posts are scored
-    once and stored without those that can't get in. The fold reads the best ``block`` of them; should more
+    once and stored without those that can't get in. The fold reads the best ``block`` of them, found behind
+    a score that about as many reach, so that tasks don't each send a block to the one that folds; should more
     be needed, the next block leaves out the posts of every author, thread and link whose cap is full, so
     its first post is kept: rounds are bounded by ``size``, a task by ``block``, the driver by ``size``.
     """
     rows = stored(pruned(ranked(scored), per_author, per_thread, per_link).withColumns({"s": -F.col("score_r"), "t": F.expr("-timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")}), "candidates")
     spark, kept, last, todo = rows.sparkSession, [], None, rows
     while True:
-        got = folded(todo.orderBy("s", "t", "uri").limit(block), kept, size, per_author, per_thread, per_link).collect()[0]  # one row of ``size`` posts at most
+        n = todo.count()
+        best = todo if n <= block else todo.where(F.col("s") <= todo.approxQuantile("s", [min(1.0, 1.5 * block / n)], 0.2 * block / n)[0])
+        got = folded(best.orderBy("s", "t", "uri").limit(block), kept, size, per_author, per_thread, per_link).collect()[0]  # one row of ``size`` posts at most
         kept, last = got.kept, got.last
-        if len(kept) >= size or got.seen < block:
+        if len(kept) >= size or n <= block:
             break
         todo = rows.where(F.struct("s", "t", "uri") > F.struct(F.lit(float(last.s)), F.lit(last.t).cast("bigint"), F.lit(last.uri)))
         for key, most in (("author_did", per_author), ("root", per_thread), ("link", per_link)):
@@ -137,6 +145,11 @@ def deduplicated(composed_: DataFrame, limit: int) -> DataFrame:
     return d.orderBy("rank").limit(limit)
 
 
+def stored_pass(composed_: DataFrame) -> DataFrame:
+    """What a rank pass stores for pages: whole posts would be more than a page needs."""
+    return composed_.select("rank", "uri", "author_did", "score_r", "external_uri", "external_domain", "reasons").coalesce(1)  # as many rows as the buffer holds
+
+
 def feed_page(composed_: DataFrame, limit: int = 30, cursor: float | None = None) -> DataFrame:
     """A page behind a score; ``next_cursor`` is the last score of a full page."""
     behind = composed_ if cursor is None else composed_.where(F.col("score_r") < cursor)

@@ -61,10 +61,16 @@ def by_key(rows: DataFrame, key: str, value) -> DataFrame:
 
 
 def sampled(rows: DataFrame, kind: str, id_col: str, seed: Column, count: int) -> DataFrame:
-    """A repeatable pick with varied kinds: ordered by a hash of seed and id, the first of each kind before others."""
-    h = F.xxhash64(seed, F.col(id_col))
-    nth = F.row_number().over(Window.partitionBy(kind).orderBy(h, id_col))
-    return rows.withColumns({"__h": h, "__n": nth}).orderBy(F.col("__n") > 1, "__h", id_col).limit(count).drop("__h", "__n")
+    """A repeatable pick with varied kinds: ordered by a digest of seed and id, the first of each kind before others.
+
+    The digest is MD5 of ``seed:id``, which any engine can compute. Of each kind only the first ``count`` can be
+    picked, so a kind is ranked within salts first: no task ranks a whole one.
+    """
+    digest = F.md5(F.concat_ws(":", seed.cast("string"), F.col(id_col).cast("string")).cast("binary"))
+    keyed = rows.withColumn("__h", digest).withColumn("__s", F.pmod(F.xxhash64("__h"), F.lit(64)))
+    for by in ([kind, "__s"], [kind]):
+        keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__h", id_col))).where(F.col("__n") <= count)
+    return keyed.orderBy(F.col("__n") > 1, "__h", id_col).limit(count).drop("__h", "__n", "__s")
 
 
 def hour_seed(at: Column) -> Column:

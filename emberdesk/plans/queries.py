@@ -15,9 +15,10 @@ from ..functions import url as U
 from .. import schema
 from ..engine import Engine
 from ..engine import edition_page as _edition_page
-from ..operators import cluster, display, edition, graph, rank, state, views
+from ..operators import cluster, display, edition, graph, rank, state, trailing, views
 from ..shared import new_path
 from ..sources import commits, fixtures
+from ..tables import Daily, Keyed, Snapshots
 from . import oracle as O
 
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)"
@@ -528,7 +529,8 @@ def short_forms(spark, sf_dir):
     return Feed(spark, sf_dir).posts.select("uri", T.truncate(F.col("text"), 60).alias("short"), U.last_segment(F.col("uri")).alias("name"), U.short_link(F.col("external_uri"), 35).alias("link"))
 
 
-@query(None)
+@query("""SELECT page_id, kind, seed::INT AS seed FROM (SELECT *, row_number() OVER (ORDER BY n > 1, h, page_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY h, page_id) AS n
+    FROM (SELECT page_id, page_id % 4 AS kind, seed, md5(seed || ':' || page_id) AS h FROM pages, (SELECT year(t) * 100000 + dayofyear(t) * 100 + hour(t) AS seed FROM now)))) WHERE place <= 3""")
 def marginalia_pick(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", (F.col("page_id") % 4).alias("kind"))
     at = spark.range(1).select(F.lit(fixtures.as_of(spark, sf_dir)).alias("at"))
@@ -568,6 +570,122 @@ def landed_frames(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("frames"), F.count_if(F.col("operation") == "create").alias("posts"), F.count_if(F.col("operation") == "delete").alias("deletes"))
 
 
+def _partials(f: Feed) -> DataFrame:
+    """Partial sums appended by four batches of posts, as a stream of them would."""
+    at = new_path(f.spark, "partials")
+    for k in range(4):
+        trailing.hourly(f.posts.where(F.col("event_id") % 4 == k)).write.mode("append").parquet(at)
+    return f.spark.read.schema(trailing.SCHEMA).parquet(at)
+
+
+@query("SELECT author_did, total::BIGINT AS total, round(link_post_ratio, 6) AS link_post_ratio, round(reply_ratio, 6) AS reply_ratio, round(avg_non_url_len, 6) AS avg_non_url_len, round(domain_concentration::DOUBLE, 6) AS domain_concentration, round(stink_score::DOUBLE, 6) AS stink_score FROM profiles")
+def trailing_profiles(spark, sf_dir):
+    """Author profiles of seven days from hourly partial sums."""
+    f = Feed(spark, sf_dir)
+    p = trailing.profiles(_partials(f), f.posts, f.now)
+    return p.select("author_did", "total", *[F.round(c, 6).alias(c) for c in ("link_post_ratio", "reply_ratio", "avg_non_url_len", "domain_concentration", "stink_score")])
+
+
+@query("SELECT uri, count(*) OVER (PARTITION BY author_did ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS n_24h, count(*) OVER (PARTITION BY author_did ORDER BY created_at RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND CURRENT ROW) AS n_7d FROM posts")
+def running_counts(spark, sf_dir):
+    """At each post, how many its author wrote in the day and in the week up to it."""
+    return trailing.running_counts(Feed(spark, sf_dir).posts, {"n_24h": 24, "n_7d": 168})
+
+
+@query("SELECT coalesce(a.author_did, n.did) AS author_did, a.handle, CASE WHEN n.did IS NULL THEN a.seed_class ELSE 'followed' END AS seed_class, CASE WHEN n.did IS NULL THEN a.trusted_score ELSE 2.0::DOUBLE END AS trusted_score FROM authors a FULL JOIN (SELECT 'did:u' || k AS did FROM people WHERE k % 2 = 0) n ON n.did = a.author_did")
+def author_merge(spark, sf_dir):
+    """The upsert of authors into a table on disk: only buckets of changed authors are written."""
+    known = Feed(spark, sf_dir).known
+    table = Keyed(spark, new_path(spark, "authors"), "author_did", known.schema, buckets=16)
+    table.write(lambda rows, new: rows.unionByName(new), known)
+    table.upsert(fixtures.people(spark, sf_dir).where("k % 2 = 0").select(F.col("did").alias("author_did"), F.lit("followed").alias("seed_class"), F.lit(2.0).alias("trusted_score")), ["author_did", "seed_class", "trusted_score"])
+    return table.read()
+
+
+@query(f"""SELECT coalesce(o.cluster_id, c.cluster_id) AS cluster_id, coalesce(o.was, 0) + (c.cluster_id IS NOT NULL)::INT AS editions_present,
+    CASE WHEN c.cluster_id IS NULL THEN 'fading' WHEN o.cluster_id IS NULL THEN 'emerging' WHEN o.was + 1 >= 3 THEN 'persistent' ELSE 'active' END AS state, c.lead_post_uri, c.n AS post_count,
+    o.cluster_id IS NULL AS first_seen_now, coalesce(c.cluster_id IS NOT NULL OR o.state <> 'fading', true) AS last_seen_now FROM clusters c FULL JOIN {KNOWN_SQL} o ON o.cluster_id = c.cluster_id""")
+def story_merge(spark, sf_dir):
+    """The table of stories on disk after one more edition: stories of long ago lie in buckets that are not written."""
+    f = Feed(spark, sf_dir)
+    now = f.clusters()
+    known = _known_stories(spark, now, f.now)
+    table = Keyed(spark, new_path(spark, "stories"), "cluster_id", schema.schema("story_clusters"), buckets=16)
+    table.write(lambda rows, new: rows.unionByName(new), known)
+    told = now.select("cluster_id").union(table.read().where("state <> 'fading'").select("cluster_id")).distinct()
+    table.write(lambda rows, _: schema.migrated(cluster.persisted(rows, now, f.now), "story_clusters"), told)
+    at = F.lit(f.now).cast("timestamp_ntz")
+    return table.read().select("cluster_id", F.col("editions_present").cast("long").alias("editions_present"), "state", "lead_post_uri", "post_count", (F.col("first_seen_at") == at).alias("first_seen_now"), (F.col("last_seen_at") == at).alias("last_seen_now"))
+
+
+@query("SELECT uri FROM posts WHERE created_at >= (SELECT t FROM now) - INTERVAL 48 HOUR")
+def purge_by_day(spark, sf_dir):
+    """Retention of posts by dropping days; the border day is cut when it is read."""
+    f = Feed(spark, sf_dir)
+    rows = f.posts.select("uri", "author_did", "created_at")
+    table = Daily(spark, new_path(spark, "posts-by-day"), rows.schema)
+    table.append(rows)
+    table.purge(f.now, dims.RETENTION_HOURS)
+    return table.since(f.now, dims.RETENTION_HOURS).select("uri")
+
+
+@query("SELECT feed_name, edition_id, nth::INT AS nth FROM (SELECT event_type AS feed_name, event_id AS edition_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 100")
+def editions_by_day(spark, sf_dir):
+    """Retention of editions: whole days behind a feed's newest hundred are dropped, the rest is ranked."""
+    rows = fixtures.editions(spark, sf_dir)
+    table = Daily(spark, new_path(spark, "editions-by-day"), rows.schema, by="feed_name")
+    table.append(rows)
+    table.purge_beyond(100)
+    return edition.retained(table.read().drop("day")).select("feed_name", "edition_id", "nth")
+
+
+def _page_sql(name: str, where: str) -> str:
+    """A page of ten behind a condition, deduplicated by links and families as ``dedup`` is."""
+    steps = {f"{name}_c": f"SELECT * FROM composed WHERE {where} ORDER BY rank LIMIT 20", f"{name}_0": O.CTES["dedup0"].replace("FROM composed", f"FROM {name}_c")}
+    steps |= {f"{name}_1": O.CTES["dedup1"].replace("FROM dedup0", f"FROM {name}_0"), f"{name}_2": O.CTES["dedup"].replace("FROM dedup1", f"FROM {name}_1")}
+    return ", ".join(f"{k} AS ({q})" for k, q in steps.items()) + f", {name} AS (SELECT uri, score_r AS score, CASE WHEN count(*) OVER () >= 10 THEN min(score_r) OVER () END AS next_cursor FROM (SELECT * FROM {name}_2 ORDER BY rank LIMIT 10))"
+
+
+@query(f"SELECT * FROM (WITH {_page_sql('p1', 'true')}, {_page_sql('p2', 'score_r < (SELECT max(next_cursor) FROM p1)')} SELECT 1 AS page, * FROM p1 UNION ALL SELECT 2, * FROM p2)")
+def stored_pages(spark, sf_dir):
+    """Two pages of one stored rank pass, the second by the first one's cursor while a later pass is already there."""
+    f = Feed(spark, sf_dir)
+    passes = Snapshots(spark, new_path(spark, "ranked"))
+    at = passes.publish(rank.stored_pass(f.composed()))
+    first = rank.feed_page(passes.read(at), 10)
+    cursor = first.agg(F.max("next_cursor")).collect()[0][0]  # one value
+    passes.publish(passes.read(at).withColumn("score_r", F.lit(0.0)))
+    second = first.limit(0) if cursor is None else rank.feed_page(passes.read(at), 10, cursor)
+    pages = [p.select(F.lit(k).alias("page"), "uri", F.col("score_r").alias("score"), "next_cursor") for k, p in ((1, first), (2, second))]
+    return pages[0].union(pages[1])
+
+
+@query("SELECT uri, title, headline, author_handle, likes AS like_count FROM views")
+def looked_up_views(spark, sf_dir):
+    """Views of all posts by keyed lookups of 25 uris, of a store that answers as a service would; some rows ask twice."""
+    from ..operators import lookup
+
+    f = Feed(spark, sf_dir)
+    asked = f.posts.select("uri").union(f.posts.where("event_id % 5 = 0").select("uri"))
+    store = new_path(spark, "views")
+    # The service: answers by uri, in buckets on disk that a call opens.
+    answers = f.views.select("uri", F.to_json(F.struct(*[c for c in f.views.columns if c != "uri"])).alias("answer"), F.pmod(F.xxhash64("uri"), F.lit(64)).cast("int").alias("b"))
+    answers.repartition(16, "b").write.partitionBy("b").parquet(store)
+    buckets = asked.select("uri").join(spark.read.parquet(store).drop("b"), "uri", "left").distinct()
+    served = buckets.select(F.concat_ws("\t", "uri", F.coalesce("answer", F.lit("null"))).alias("request"))
+
+    def service(requests: list[str]) -> dict:
+        import json
+
+        assert len(requests) <= lookup.CHUNK
+        said = {r: json.loads(r.split("\t", 1)[1]) for r in requests}
+        return {r: {"view": {"uri": r.split("\t", 1)[0], **v}} for r, v in said.items() if v is not None}
+
+    found = lookup.looked_up(served, "request", service, f"request string, view struct<{views.VIEW.replace(' string', ':string').replace(' struct', ':struct').replace(' long', ':bigint')}>")
+    v = views.shown(found.select("view.*"))
+    return v.select("uri", F.col("external_title").alias("title"), edition.display_headline().alias("headline"), "author_handle", "like_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in REGISTRY.items()}
 
