@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 The tree is fitted on a bounded sample; every row is put into a leaf by walking down it. Leaves that get
-many rows are split again, each in a task of its own on a bounded sample of its rows, so that the tree
-deepens with the table. A query keeps a priority queue of subtrees by the distance to their centres, takes
+many rows are split again, each in a task of its own on a bounded sample of its rows, round by round until
+none is large, so that the tree deepens with the table. A query keeps a priority queue of subtrees by the distance to their centres, takes
 the nearest first, and visits leaves until enough. How many leaves are enough is calibrated on the whole
 tree: visits widen until sampled queries find the wanted share of their true neighbours within the sample.
 
@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import schema_of, stored
 
-#: Rows of the fit at most (those of least id hash), and sampled queries of the calibration.
+#: Rows of the fit, about (those under a threshold of their hash), and sampled queries of the calibration.
 FIT_ROWS = 20_000
 CALIBRATION_QUERIES = 400
 BRANCHES = 8
 #: Sampled rows in a leaf, about.
 LEAF_ROWS = 64
 RECALL = 0.97
-#: A leaf with more rows is split again, fitted on so many of them (those of least id hash). The tree, which the
-#: driver holds, has at most (FIT_ROWS / LEAF_ROWS) * (SPLIT_ROWS / LEAF_ROWS) leaves, about.
+#: A leaf with more rows is split again, fitted on about so many of them (those under a threshold of their hash). The
+#: driver holds the tree: a leaf for some hundreds to thousands of rows, of which it has the centre.
 SPLIT_ROWS = 4096
 #: Vectors and queries scored in one task.
 CHUNK_VECTORS, CHUNK_QUERIES = 4096, 2048
@@ -185,17 +185,32 @@ def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"leaf": [int(rows["leaf"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
 
-def deepened(tree: Tree, leafed: DataFrame, counts: dict[int, int]) -> bool:
-    """Split the leaves with more than ``SPLIT_ROWS`` rows; whether there are any. Each is fitted in its own task."""
-    large = [k for k, n in counts.items() if n > SPLIT_ROWS]
+#: Steps of the thresholds on hashes.
+STEPS = 1 << 30
+
+
+def _share(*columns: str) -> F.Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(STEPS))
+
+
+def deepened(tree: Tree, leafed: DataFrame, counts: dict[int, int], whole: set[int]) -> bool:
+    """Split the leaves with more than ``SPLIT_ROWS`` rows; whether any was. Each is fitted in its own task.
+
+    Leaves in ``whole`` are known not to split, as their rows are all alike; those that turn out so are added.
+    """
+    large = [k for k, n in counts.items() if n > SPLIT_ROWS and k not in whole]
     if not large:
         return False
-    chosen = F.broadcast(leafed.sparkSession.createDataFrame([(k,) for k in large], "leaf long"))  # bounded by the tree
-    nth = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("vec_id"), "vec_id"))
-    sample = leafed.join(chosen, "leaf").withColumn("nth", nth).where(F.col("nth") <= SPLIT_ROWS).select("leaf", "v")
+    shares = leafed.sparkSession.createDataFrame([(k, STEPS * SPLIT_ROWS // counts[k]) for k in large], "leaf long, share long")
+    sample = leafed.join(F.broadcast(shares), "leaf").where(_share("vec_id", "v") < F.col("share")).select("leaf", "v")  # a row for each leaf: bounded by the tree
+    split = False
     for r in sorted(sample.groupBy("leaf").applyInPandas(_fitted, "leaf long, tree binary").collect()):  # bounded by the tree
-        tree.graft(r.leaf, pickle.loads(r.tree))
-    return True
+        part = pickle.loads(r.tree)
+        tree.graft(r.leaf, part)
+        if part.root < 0:
+            whole.add(r.leaf)
+        split |= part.root >= 0
+    return split
 
 
 def valid(rows: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> tuple[DataFrame, int]:
@@ -274,7 +289,9 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 5, recall
     every, length = valid(rows, id_col, vec_col)
     asked = every if queries is None else valid(queries, id_col, vec_col, length)[0]
     spark = rows.sparkSession
-    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()  # bounded by FIT_ROWS
+    n = every.count()
+    picked = every if n <= FIT_ROWS else every.where(_share("vec_id", "v") < STEPS * FIT_ROWS // n)
+    sample = picked.dropDuplicates(["vec_id", "v"]).toPandas().sort_values("vec_id", kind="stable")  # about FIT_ROWS rows, by the threshold
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _unit(np.stack(sample["v"].to_numpy()))
@@ -289,7 +306,8 @@ def search(rows: DataFrame, queries: DataFrame | None = None, k: int = 5, recall
         return out, {r.leaf: r.n for r in out.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the tree
 
     leafed, counts = into_leaves(held)
-    if deepened(tree, leafed, counts):
+    whole: set[int] = set()
+    while deepened(tree, leafed, counts, whole):
         leafed, counts = into_leaves(leafed.select("vec_id", "v"))
     sizes = np.array([counts.get(i, 0) for i in range(tree.leaves)])
     visits = calibrate(tree, x, k, recall, sizes)
