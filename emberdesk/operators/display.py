@@ -1,5 +1,6 @@
 """What the pages show: previews of changes, column slices, authors of a story, house posts, messages."""
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,3 +65,23 @@ def new_messages(messages: DataFrame, high_water: int) -> DataFrame:
 
 def high_water(messages: DataFrame, before: int) -> DataFrame:
     return messages.agg(F.greatest(F.coalesce(F.max("sent_at"), F.lit(before)), F.lit(before)).alias("high_water"))
+
+
+def debug_ranking(composed: DataFrame, most: int = 30) -> DataFrame:
+    """The first places of a rank pass as an operator reads them."""
+    none = F.lit("")
+    return composed.where(F.col("rank") <= most).select(
+        "uri", F.col("score_r").alias("score"), F.coalesce("handle", F.lit("?")).alias("author_handle"), F.coalesce("seed_class", none).alias("seed_class"), F.round(F.coalesce("stink_score", F.lit(0.0)), 3).alias("author_stink"),
+        F.col("stripped_len").alias("non_url_text_len"), F.coalesce("external_domain", none).alias("external_domain"), F.substring("text", 1, 80).alias("text_preview"),
+    )
+
+
+def debug_stats(posts: DataFrame, authors: DataFrame, exclusions: DataFrame, ranked: DataFrame, editions: DataFrame, state: DataFrame, feed: str, refresh_key: str) -> DataFrame:
+    """One row about all tables: their sizes, the latest edition of ``feed``, and the stored value of ``refresh_key``."""
+    n = F.count(F.lit(1))
+    parts = [
+        posts.agg(n.alias("posts")), authors.agg(n.alias("authors"), F.count_if(F.col("seed_class") == "stale").alias("authors_stale")), exclusions.where("state = 'excluded'").agg(n.alias("exclusions")), ranked.agg(n.alias("ranked")),
+        editions.agg(n.alias("editions")), editions.where(F.col("feed_name") == feed).agg(F.max_by("edition_id", F.struct("created_at", "edition_id")).alias("latest_edition")),
+        state.where(F.col("key") == refresh_key).agg(F.max("value").alias("last_graph_refresh")),
+    ]
+    return functools.reduce(lambda a, b: a.crossJoin(b), parts)  # one row each

@@ -53,8 +53,28 @@ def profiles_of(by_domain: DataFrame) -> DataFrame:
 
 def excluded(commands: DataFrame) -> DataFrame:
     """Authors whose last command asked to be left out."""
+    return last_commands(commands).where("last_command = 'opt_out'").select("did")
+
+
+def last_commands(commands: DataFrame) -> DataFrame:
+    """``did, last_command``: what each author asked last; messages without a command say nothing."""
     said = commands.withColumn("command", T.command(F.col("text"))).where("command is not null")
-    return said.groupBy("did").agg(F.max_by("command", "sent_at").alias("last")).where("last = 'opt_out'").select("did")
+    return said.groupBy("did").agg(F.max_by("command", "sent_at").alias("last_command"))
+
+
+def candidates(posts: DataFrame, commands: DataFrame, now: datetime) -> DataFrame:
+    """Posts of the horizon whose authors didn't ask to be left out."""
+    return since(posts, now, dims.HORIZON_HOURS).join(excluded(commands), F.col("author_did") == F.col("did"), "left_anti")
+
+
+def relays(posts: DataFrame) -> DataFrame:
+    """How often each author linked to each domain."""
+    return posts.where("external_domain is not null").groupBy("author_did", "external_domain").agg(F.count(F.lit(1)).alias("outsider_posts"))
+
+
+def outsider_relays(posts: DataFrame, authors: DataFrame) -> DataFrame:
+    """``relays`` of authors outside the graph."""
+    return relays(posts.join(authors, "author_did", "left_anti"))
 
 
 def author_table(authors: DataFrame, posts: DataFrame, now: datetime) -> DataFrame:
@@ -64,10 +84,8 @@ def author_table(authors: DataFrame, posts: DataFrame, now: datetime) -> DataFra
 
 def score_posts(posts: DataFrame, authors: DataFrame, commands: DataFrame, now: datetime) -> DataFrame:
     """Every candidate of the horizon with its components, score and reasons."""
-    candidates = since(posts, now, dims.HORIZON_HOURS).join(excluded(commands), F.col("author_did") == F.col("did"), "left_anti")
     about = author_table(authors, posts, now).select("author_did", "handle", "seed_class", "trusted_score", "posts_24h", "stink_score", F.lit(True).alias("is_known"))
-    relays = posts.where("external_domain is not null").groupBy("author_did", "external_domain").agg(F.count(F.lit(1)).alias("outsider_posts"))
-    joined = candidates.join(about, "author_did", "left").join(relays, ["author_did", "external_domain"], "left")
+    joined = candidates(posts, commands, now).join(about, "author_did", "left").join(relays(posts), ["author_did", "external_domain"], "left")
     age = F.expr("timestampdiff(MICROSECOND, created_at, as_of)") / 3.6e9
     filled = joined.withColumns({"is_known": F.coalesce("is_known", F.lit(False)), "outsider_posts": F.coalesce("outsider_posts", F.lit(0)), "as_of": F.lit(now).cast("timestamp_ntz")})
     return S.scored(filled.withColumn("age_hours", age))

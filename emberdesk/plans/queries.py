@@ -16,7 +16,7 @@ from .. import schema
 from ..engine import Engine
 from ..engine import edition_page as _edition_page
 from ..operators import cluster, display, edition, graph, rank, state, trailing, views
-from ..shared import new_path
+from ..shared import new_path, stored
 from ..sources import commits, fixtures
 from ..tables import Daily, Keyed, Snapshots
 from . import oracle as O
@@ -41,8 +41,13 @@ class Feed:
         self.posts, self.known = fixtures.posts(spark, sf_dir), fixtures.authors(spark, sf_dir).withColumnRenamed("did", "author_did")
         self.commands, self.views = fixtures.exclusion_commands(spark, sf_dir), fixtures.post_views(self.posts)
 
+    @functools.cached_property
+    def held(self) -> DataFrame:
+        """The posts derived once and stored: candidates, counts, profiles and relays each read their columns of them."""
+        return stored(self.posts, "posts")
+
     def scored(self) -> DataFrame:
-        return rank.score_posts(self.posts, self.known, self.commands, self.now)
+        return rank.score_posts(self.held, self.known, self.commands, self.now)
 
     def composed(self, per_author: int = 8) -> DataFrame:
         return rank.composed(self.scored(), per_author=per_author)
@@ -57,7 +62,8 @@ class Feed:
         return edition.items(self.clusters(), self.views)
 
     def page(self) -> DataFrame:
-        return edition.compacted(self.items())
+        """An edition's page, stored: its statistics, domains, hero and columns each read thirty rows."""
+        return stored(edition.compacted(self.items()), "page")
 
 
 POST_COLUMNS = "uri, event_id, author_did, text, reply_to_uri, root_uri, quote_uri, external_uri, external_domain, has_external_embed, has_image, is_repost, lang, link_count, facets_count"
@@ -91,14 +97,13 @@ def stinky_accounts(spark, sf_dir):
 @query("SELECT author_did, external_domain, outsider_posts FROM relays WHERE author_did NOT IN (SELECT author_did FROM authors)")
 def outsider_relay(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    return f.posts.where("external_domain is not null").join(f.known, "author_did", "left_anti").groupBy("author_did", "external_domain").agg(F.count(F.lit(1)).alias("outsider_posts"))
+    return rank.outsider_relays(f.posts, f.known)
 
 
 @query("SELECT uri FROM candidates")
 def exclusion_anti(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    out = rank.excluded(f.commands)
-    return rank.since(f.posts, f.now, dims.HORIZON_HOURS).join(out, F.col("author_did") == F.col("did"), "left_anti").select("uri")
+    return rank.candidates(f.posts, f.commands, f.now).select("uri")
 
 
 @query(f"SELECT DISTINCT external_uri, {O.host('external_uri')} AS host, {O.canonical('external_uri')} AS canonical, substr(sha256({O.canonical('external_uri')}), 1, 16) AS url_key, {O.bonus('external_domain')} AS bonus, {O.platform('external_domain')} AS platform, {O.display('external_uri')} AS display_domain, {O.family('external_domain')} AS family FROM posts WHERE external_uri IS NOT NULL")
@@ -347,19 +352,13 @@ KEPT_SQL = "(SELECT * FROM (SELECT event_type AS feed_name, event_id, ts, row_nu
 @query(f"SELECT (SELECT count(*) FROM posts) AS posts, (SELECT count(*) FROM authors) AS authors, (SELECT count(*) FROM authors WHERE seed_class = 'stale') AS authors_stale, (SELECT count(*) FROM barred) AS exclusions, (SELECT count(*) FROM tight) AS ranked, (SELECT count(*) FROM {KEPT_SQL}) AS editions, (SELECT event_id FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 1) AS latest_edition, (SELECT max(event_id)::VARCHAR FROM events WHERE event_type = 'click' AND user_id = 3) AS last_graph_refresh")
 def debug_stats(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    n, held = F.count(F.lit(1)), edition.retained(fixtures.editions(spark, sf_dir))
-    excluded = state.exclusions(spark.createDataFrame([], "did string, requested_at int, source string, state string, note string"), _asked(f)).where("state = 'excluded'")
-    parts = [
-        f.posts.agg(n.alias("posts")), f.known.agg(n.alias("authors"), F.count_if(F.col("seed_class") == "stale").alias("authors_stale")), excluded.agg(n.alias("exclusions")), f.composed(dims.PER_AUTHOR).agg(n.alias("ranked")), held.agg(n.alias("editions")),
-        state.nth_latest(held.drop("nth"), 1).where("feed_name = 'view'").agg(F.max("edition_id").alias("latest_edition")), state.by_key(fixtures.state(spark, sf_dir, "click"), "key", "cursor:3").agg(F.max("value").alias("last_graph_refresh")),
-    ]
-    return functools.reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    excluded = state.exclusions(spark.createDataFrame([], "did string, requested_at int, source string, state string, note string"), _asked(f))
+    return display.debug_stats(f.posts, f.known, excluded, f.composed(dims.PER_AUTHOR), edition.retained(fixtures.editions(spark, sf_dir)), fixtures.state(spark, sf_dir, "click"), "view", "cursor:3")
 
 
 @query("SELECT c.uri, c.score_r AS score, coalesce(c.handle, '?') AS author_handle, coalesce(c.seed_class, '') AS seed_class, round(stink_score::DOUBLE, 3) AS author_stink, c.sl::INT AS non_url_text_len, coalesce(c.external_domain, '') AS external_domain, substr(c.text, 1, 80) AS text_preview FROM tight c WHERE rank <= 30")
 def debug_ranking(spark, sf_dir):
-    c = Feed(spark, sf_dir).composed(dims.PER_AUTHOR).where("rank <= 30")
-    return c.select("uri", F.col("score_r").alias("score"), F.coalesce("handle", F.lit("?")).alias("author_handle"), F.coalesce("seed_class", F.lit("")).alias("seed_class"), F.round(F.coalesce("stink_score", F.lit(0.0)), 3).alias("author_stink"), F.col("stripped_len").alias("non_url_text_len"), F.coalesce("external_domain", F.lit("")).alias("external_domain"), F.substring("text", 1, 80).alias("text_preview"))
+    return display.debug_ranking(Feed(spark, sf_dir).composed(dims.PER_AUTHOR))
 
 
 @query(f"SELECT author_did, uri, nth::INT AS nth, list_position({O._list(['did:' + h for h in dims.WATCHLIST])}, author_did) AS place FROM (SELECT author_did, uri, row_number() OVER (PARTITION BY author_did ORDER BY created_at DESC, uri) AS nth FROM posts WHERE length(trim(text)) >= 10 AND NOT is_repost AND author_did IN ({', '.join(repr('did:' + h) for h in dims.WATCHLIST)})) WHERE nth <= 5")
@@ -385,7 +384,7 @@ def _asked(f: Feed) -> DataFrame:
 
 @query("SELECT did, arg_max(command, sent_at) AS last_command FROM asked WHERE command IS NOT NULL GROUP BY 1")
 def dm_commands(spark, sf_dir):
-    return _asked(Feed(spark, sf_dir)).groupBy("did").agg(F.max_by("command", "sent_at").alias("last_command"))
+    return rank.last_commands(Feed(spark, sf_dir).commands)
 
 
 @query("SELECT did, CASE WHEN did = 'did:u14' THEN 'page' ELSE 'dm' END AS source, CASE last WHEN 'opt_out' THEN 'excluded' ELSE 'included' END AS state FROM (SELECT did, arg_max(command, sent_at) AS last FROM asked WHERE command IS NOT NULL GROUP BY 1) WHERE did IN (SELECT did FROM asked WHERE command = 'opt_out') UNION ALL SELECT 'did:none', 'page', 'excluded'")
@@ -448,14 +447,14 @@ ARCHIVE_SQL = """SELECT event_id AS edition_id, lpad((row_number() OVER (ORDER B
     FROM events WHERE event_type = 'signup'"""
 
 
-@query(f"SELECT edition_id::VARCHAR AS edition_id, edition_no, total, coalesce(heads[hero_idx + 1], '') AS hero_headline, 'a.org, b.org, c.org' AS domains FROM ({ARCHIVE_SQL}) ORDER BY ts DESC, edition_id::VARCHAR DESC LIMIT 20")
+@query(f"SELECT edition_id::VARCHAR AS edition_id, edition_no, total, coalesce(heads[hero_idx + 1], '') AS hero_headline, 'd' || edition_id % 5 || '.org, d' || (edition_id + 1) % 5 || '.org, d' || (edition_id + 2) % 5 || '.org' AS domains FROM ({ARCHIVE_SQL}) ORDER BY ts DESC, edition_id::VARCHAR DESC LIMIT 20")
 def archive_listing(spark, sf_dir):
     """The last editions of a table of many, one for each signup."""
     i = F.col("event_id")
     every = F.row_number().over(Window.orderBy("event_id"))  # the fixture's numbers
     e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'signup'").withColumn("edition_num", every.cast("long"))
     items = F.transform(F.sequence(F.lit(0), (i % 3).cast("int")), lambda k: F.struct(k.alias("pos"), F.concat(F.lit("Story "), (k + 1).cast("string"), F.lit(" of the hour")).alias("headline")))
-    domains = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(n).alias("n")) for d, n in (("a.org", 4), ("b.org", 3), ("c.org", 2), ("d.org", 1))])
+    domains = F.array(*[F.struct(F.concat(F.lit("d"), ((i + k) % 5).cast("string"), F.lit(".org")).alias("domain"), F.lit(4 - k).alias("n")) for k in range(4)])
     stats = F.struct((1 + i % 3).alias("total"), F.lit(50).alias("original_pct"), F.lit(0).alias("url_clusters"), F.lit("Mixed").alias("character"), domains.alias("top_domains"), "edition_num")
     held = e.select(i.cast("string").alias("edition_id"), F.lit("receipts").alias("feed_name"), F.col("ts").alias("created_at"), items.alias("items"), stats.alias("stats"), (i % 2).cast("int").alias("hero_idx"))
     return edition.archive(held, "receipts").select("edition_id", "edition_no", "total", "hero_headline", "domains")

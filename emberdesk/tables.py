@@ -108,15 +108,18 @@ class Keyed:
         return self.write(lambda rows, keys: state.delete(rows, keys, self.key), gone.select(self.key))
 
     def vacuum(self, keep: int = 2) -> int:
-        """Drop all but the newest ``keep`` versions, and folders that none of these reads; the number of folders dropped."""
+        """Drop all but the newest ``keep`` versions, and the buckets' folders that none of these reads; the number of folders dropped."""
         known = self.versions()
-        alive = {w for v in known[-keep:] for w in self._published(v)[1].values()}
+        alive = {(w, b) for v in known[-keep:] for b, w in self._published(v)[1].items()}
         for v in known[:-keep]:
             drop(self.spark, f"{self.path}/versions/v={v}")
-        old = [w for w in folders(self.spark, f"{self.path}/data", "w=") if int(w) not in alive]
-        for w in old:
-            drop(self.spark, f"{self.path}/data/w={w}")
-        return len(old)
+        n = 0
+        for w in map(int, folders(self.spark, f"{self.path}/data", "w=")):
+            for b in map(int, folders(self.spark, f"{self.path}/data/w={w}", "bucket=")):
+                if (w, b) not in alive:
+                    drop(self.spark, f"{self.path}/data/w={w}/bucket={b}")
+                    n += 1
+        return n
 
 
 class Snapshots:
