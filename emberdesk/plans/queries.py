@@ -601,7 +601,7 @@ def author_merge(spark, sf_dir):
     return table.read()
 
 
-@query(f"""SELECT coalesce(o.cluster_id, c.cluster_id) AS cluster_id, coalesce(o.was, 0) + (c.cluster_id IS NOT NULL)::INT AS editions_present,
+@query(f"""SELECT coalesce(o.cluster_id, c.cluster_id) AS cluster_id, (coalesce(o.was, 0) + (c.cluster_id IS NOT NULL)::INT)::BIGINT AS editions_present,
     CASE WHEN c.cluster_id IS NULL THEN 'fading' WHEN o.cluster_id IS NULL THEN 'emerging' WHEN o.was + 1 >= 3 THEN 'persistent' ELSE 'active' END AS state, c.lead_post_uri, c.n AS post_count,
     o.cluster_id IS NULL AS first_seen_now, coalesce(c.cluster_id IS NOT NULL OR o.state <> 'fading', true) AS last_seen_now FROM clusters c FULL JOIN {KNOWN_SQL} o ON o.cluster_id = c.cluster_id""")
 def story_merge(spark, sf_dir):
