@@ -71,10 +71,10 @@ def current(spark: SparkSession, table: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, table: str, through: int) -> int:
-    """Fold the batches up to ``through`` that are finished into one folder without deleted posts; returns how many were folded.
+    """Fold the batches up to ``through``, all of them committed, into one folder without deleted posts; returns how many were folded.
 
-    The new folder takes the number of the last batch folded, in place of it, so readers see old folders or the
-    new one; between the two steps a post may be read twice, never lost. Deletes stay, for posts of earlier folders.
+    The new folder has a negative number and is moved into place before the old ones go, so a reader may see a post
+    twice meanwhile, but never misses one. Deletes stay, for posts of earlier folders.
     """
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = fs_path(table)
@@ -89,9 +89,9 @@ def compact(spark: SparkSession, table: str, through: int) -> int:
     staged = f"{table}-compacted"
     with cleaning(spark):
         kept.unionByName(rows.where("op = 'delete'").drop("batch").dropDuplicates(["uri"])).write.mode("overwrite").parquet(staged)
-    fs.delete(fs_path(f"{table}/batch={old[-1]}"), True)
-    fs.rename(fs_path(staged), fs_path(f"{table}/batch={old[-1]}"))
-    for b in old[:-1]:
+    if not fs.rename(fs_path(staged), fs_path(f"{table}/batch={-1 - through}")):
+        raise RuntimeError(f"batches up to {through} were folded before")
+    for b in old:
         fs.delete(fs_path(f"{table}/batch={b}"), True)
     return len(old)
 
