@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,10 +18,12 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    Read from ``spark.checkpoint.dir``; only a session without one (tests) gets a folder of its own.
+    Read from ``spark.checkpoint.dir``; only a session in one process (tests) that has none gets a folder of its own.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors see")
         own = tempfile.mkdtemp(prefix="emberdesk-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own

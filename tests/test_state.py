@@ -88,6 +88,24 @@ def test_release_removes_what_was_stored(spark):
     assert kept.count() == 3 and shared.release(spark) >= 1 and shared.release(spark) == 0
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+
+
 def test_hourly_stream(spark, tmp_path):
     at = datetime(2026, 1, 1)
     spark.createDataFrame([(at + timedelta(minutes=20 * k), "click") for k in range(9)], "ts timestamp_ntz, event_type string").write.parquet(str(tmp_path / "in"))
