@@ -61,6 +61,10 @@ class Feed:
     def items(self) -> DataFrame:
         return edition.items(self.clusters(), self.views)
 
+    def stored_items(self) -> DataFrame:
+        """An edition's items, stored: what is compared reads thirty rows twice."""
+        return stored(self.items(), "items")
+
     def page(self) -> DataFrame:
         """An edition's page, stored: its statistics, domains, hero and columns each read thirty rows."""
         return stored(edition.compacted(self.items()), "page")
@@ -315,7 +319,8 @@ def story_member_table(spark, sf_dir):
 @query("SELECT uri, 'new' AS change FROM items WHERE uri NOT IN (SELECT uri FROM page) UNION ALL SELECT uri, 'gone' FROM page WHERE uri NOT IN (SELECT uri FROM items WHERE pos < 20) AND uri NOT IN (SELECT uri FROM items WHERE uri NOT IN (SELECT uri FROM page))")
 def edition_diff(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    items, page = f.items(), f.page()
+    items = f.stored_items()
+    page = stored(edition.compacted(items), "page")
     new = items.join(page, "uri", "left_anti").select("uri")
     return edition.difference(items.where("pos < 20").select("uri").union(new).distinct(), page.select("uri").distinct())
 
@@ -465,7 +470,7 @@ def archive_listing(spark, sf_dir):
     SELECT change, uri, total FROM nth WHERE n <= CASE change WHEN 'new' THEN 5 ELSE 3 END UNION ALL SELECT c, NULL, 0 FROM (VALUES ('new'), ('fading')) v(c) WHERE c NOT IN (SELECT change FROM moved))""")
 def change_previews(spark, sf_dir):
     f = Feed(spark, sf_dir)
-    items = f.items()
+    items = f.stored_items()
     return display.change_previews(items.where("pos < 20"), edition.compacted(items).where("pos >= 6")).select("change", "uri", "total")
 
 
