@@ -28,7 +28,7 @@ def profiles(posts: DataFrame, now: datetime) -> DataFrame:
 
     Two levels of one aggregation: by author and domain, then by author.
     """
-    recent = since(posts, now, dims.PROFILE_DAYS * 24).withColumn("bare", F.length(T.strip_urls(F.col("text"))))
+    recent = S.measured(since(posts, now, dims.PROFILE_DAYS * 24)).withColumnRenamed("stripped_len", "bare")
     link = F.col("has_external_embed")
     by_domain = recent.groupBy("author_did", "external_domain").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(link).alias("links"), F.count_if(link & (F.col("bare") < 30)).alias("titles"),

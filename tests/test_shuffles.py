@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 import pytest
 
+from emberdesk.plans.queries import Feed
 from emberdesk.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,14 @@ def test_posts_shuffle_each_text_once_with_its_document(spark):
     assert [c for c in found if c & {"body", "text"}] == [{"doc", "body", "lang", "source"}]
 
 
+def test_the_posts_that_scores_read_are_held_without_texts(spark):
+    f = Feed(spark, SF)
+    assert "text" not in f.held.columns and {"text_len", "stripped_len"} <= set(f.held.columns)
+    told = f.told(f.held.where("created_at >= timestamp_ntz'2024-01-25 00:00:00'"))
+    want = f.posts.where("created_at >= timestamp_ntz'2024-01-25 00:00:00'")
+    assert sorted((r.uri, r.text, len(r.text)) for r in want.collect()) == sorted((r.uri, r.text, r.text_len) for r in told.collect())
+
+
 @pytest.mark.parametrize("uris", [[], ["at://did:u1/post/nothing"], None])
 def test_a_few_posts_are_those_of_all(spark, uris):
     every = fixtures.posts(spark, SF)
