@@ -31,7 +31,7 @@ def _activate(spark: SparkSession) -> None:
     spark._get_j_spark_session_class(spark._jvm).setActiveSession(spark._jsparkSession)
 
 
-def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str, trigger: dict | None = None, forget_ms: int = FORGET_MS):
+def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str, trigger: dict | None = None, forget_ms: int = FORGET_MS, keep: tuple[str, ...] | None = None):
     """Keep the gated posts of ``frames``, each uri's first, and the deletes, as a table of changes.
 
     What is known of a uri is keyed state, not a look into ``table``. A batch writes one folder by its number,
@@ -39,8 +39,14 @@ def start(frames: DataFrame, graph: DataFrame | Callable[[], DataFrame], table:
     and offsets, state and folders name the same batches. ``graph`` is read where a batch is written; it may be a
     function, which each batch then calls, so a refreshed graph counts from the next batch on. ``<table>-counters``
     gets a row for each batch: events read that changed something, kept by the gate, posts and deletes written.
+    ``keep`` names the columns of posts that the table's readers want (all, if none): whole frames are read and
+    parsed in any case, but a stream is not pruned for its readers as a query is, so what isn't named here would
+    be shuffled to its state and written.
     """
     spark, events = frames.sparkSession, parsed(frames)
+    if keep is not None:
+        needed = {*keep, "uri", "op", "author_did", "external_domain"}  # state and gate read these
+        events = events.select(*[c for c in events.columns if c in needed])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         read, kept = Observation(), Observation()

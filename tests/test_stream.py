@@ -161,3 +161,12 @@ def test_edge_pages_are_followed_by_cursor(spark, tmp_path):
     assert {(r.edge, r.did, r.handle) for r in rows.collect()} == {(e, f"did:{w}", w) for e, lists in pages.items() for who in lists for w in who}
     (tmp_path / "followers" / "c1.json").write_text(json.dumps({"followers": [{"did": "did:z"}], "cursor": "start"}))  # cursors that go round end
     assert rows.where("edge = 'followers'").agg(F.count(F.lit(1))).first()[0] == 2
+
+
+def test_a_table_keeps_the_columns_that_are_asked_for(spark, tmp_path):
+    files = [[frame(0), frame(1), frame(2, who="x")], [frame(0, text="again"), frame(1, "delete"), frame(3)]]
+    land(tmp_path / "in", *files)
+    run(spark, tmp_path, keep=("uri",))
+    assert [(k, t) for k, t in held(spark, tmp_path)] == [("0", None), ("3", None)]
+    stored = spark.read.parquet(str(tmp_path / "posts"))
+    assert "text" not in stored.columns and {"uri", "op", "author_did", "external_domain"} < set(stored.columns)
