@@ -10,11 +10,31 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def strip_urls(c: Column) -> Column:
-    """The text without links and bare paths, trimmed. Each pattern needs a slash or ``www.``, so most texts need none."""
+def without_urls(c: Column) -> Column:
+    """The text without links and bare paths. Each pattern needs a slash or ``www.``, so most texts need none."""
     once = F.regexp_replace(c, r"(?U)https?://\S+|www\.\S+|\S+\.\w{2,4}/\S+", "")
     bare = F.regexp_replace(once, r"(?U)\S+\.(com|org|gov|net|io|co|edu|news)/\S*", "")
-    return strip(F.when(c.contains("/") | c.contains("www."), bare).otherwise(c))
+    return F.when(c.contains("/") | c.contains("www."), bare).otherwise(c)
+
+
+def strip_urls(c: Column) -> Column:
+    """The text without links and bare paths, trimmed."""
+    return strip(without_urls(c))
+
+
+def stripped_lengths(c: Column) -> tuple[Column, Column]:
+    """The length of ``c``, from which links were taken, when trimmed, and when trimmed on its left alone."""
+    return F.length(strip(c)), F.length(F.regexp_replace(c, r"(?U)^\s+", ""))
+
+
+def joined_length(trimmed: Column, left: Column, link: Column) -> Column:
+    """The length of a text with ``link`` behind a space, by ``strip_urls``, from the text's ``stripped_lengths``.
+
+    No link reaches over white space, so what is left of both is what is left of each.
+    """
+    rest = without_urls(link)
+    behind = F.length(strip(rest))
+    return F.when(behind == 0, trimmed).when(trimmed == 0, behind).otherwise(left + 1 + F.length(F.regexp_replace(rest, r"(?U)\s+$", "")))
 
 
 def clean_headline(c: Column) -> Column:

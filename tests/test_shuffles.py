@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 import pytest
 
+from emberdesk.functions import score as S
 from emberdesk.plans.queries import Feed
 from emberdesk.sources import fixtures
 
@@ -58,3 +59,22 @@ def test_a_few_posts_are_those_of_all(spark, uris):
         got = fixtures.posts(spark, SF, few)
         assert exchanged(got.where("text is not null")) == exchanged(few)
     assert sorted(map(str, got.collect())) == want
+
+
+def test_posts_are_measured_by_document_without_shuffling_texts(spark):
+    with sort_merge_only(spark):
+        found = exchanged(fixtures.measured(spark, SF))
+    assert found and not [c for c in found if c & {"body", "bare", "text"}]
+
+
+def test_lengths_from_a_document_are_those_of_the_whole_text(spark, tmp_path):
+    bodies = ["", None, "  ", " see http://a.b/c ", "www.x.y", "plain", "\n lead", "trail \n", "a.com/x b", "a/b c.d", "x.org/", " wide ", "no end http://"]  # as many as go round with the rule's other periods
+    spark.createDataFrame([(i, b, "en", f"s{i} x.com/y") for i, b in enumerate(bodies)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    urls = ["https://p.org/1", "not a link", " spaced http://x.y/z ", "plain", None]
+    spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = spark.range(4000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 97 as user_id", "element_at(array('click', 'view', 'error', 'purchase', 'signup'), cast(id % 5 + 1 as int)) as event_type")
+    rows = rows.union(rows.selectExpr("event_id + 4000", "ts", "user_id", "'click'"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    want = S.measured(fixtures.posts(spark, str(tmp_path))).select("uri", "text_len", "stripped_len")
+    got = fixtures.measured(spark, str(tmp_path)).select("uri", "text_len", "stripped_len")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.select("stripped_len").distinct().count() > 12
