@@ -166,6 +166,39 @@ def repeated_windows(contents: list[bytes], window: int) -> list[np.ndarray]:
     return out
 
 
+def _may_repeat(contents: list[bytes], window: int) -> list[tuple[int, int, int]]:
+    """``content, first window, windows`` of the parts of contents whose windows may start elsewhere among them.
+
+    All windows of a content hold its least gram, and reach at least half of what is left of a window to the
+    left or to the right of it. Equal windows do so on the same side, and agree on the bytes there: windows
+    whose side no other content has are in one place only.
+    """
+    joined = np.frombuffer(b"\xff".join([*contents, b""]), dtype=np.uint8)
+    grams, half = _byte_grams(joined), (window - GRAM + 1) // 2
+    seen: dict[tuple[bool, bytes], int] = {}
+    parts, start = [], 0
+    for i, c in enumerate(contents):
+        n = len(c) - window + 1
+        at = int(grams[start : start + len(c) - GRAM + 1].argmin())
+        start += len(c) + 1
+        middle = min(max(at - half + 1, 0), n)  # windows before it reach ``half`` bytes left of the gram
+        for first, last, side in ((0, middle, (True, c[max(0, at - half) : at + GRAM])), (middle, n, (False, c[at : at - half + 1 + window]))):
+            if last > first:
+                parts.append((i, first, last - first, side))
+                seen[side] = seen.get(side, 0) + 1
+    return [p[:3] for p in parts if seen[p[3]] > 1]
+
+
+def _compared(contents: list[bytes], window: int) -> list[np.ndarray]:
+    """``repeated_windows`` of contents of whole groups, with suffix arrays of what ``_may_repeat``."""
+    parts = _may_repeat(contents, window)
+    flags = [np.zeros(len(c) - window + 1, dtype=bool) for c in contents]
+    found = repeated_windows([contents[i][a : a + n + window - 1] for i, a, n in parts], window) if parts else []
+    for (i, a, n), f in zip(parts, found, strict=True):
+        flags[i][a : a + n] = f
+    return flags
+
+
 def _byte_units(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(held), dtype=np.uint8), np.cumsum([len(t) for t in held])
 
@@ -179,7 +212,7 @@ def _byte_grams(units: np.ndarray) -> np.ndarray:
 
 
 def byte_units(window: int) -> Units:
-    return Units(window=window, gram=GRAM, longest=1024, load=_byte_units, grams=_byte_grams)
+    return Units(window=window, gram=GRAM, longest=1024, load=_byte_units, grams=_byte_grams, blocks=4)
 
 
 def _removal_batches(window: int):
@@ -216,7 +249,7 @@ def _with_spans(docs: DataFrame, window: int, id_col: str, text_col: str) -> Dat
     keyed = keyed_rows(texts(docs, id_col, text_col))
 
     def compare(contents: list[bytes], firsts: np.ndarray) -> list[list[int]]:
-        return [marks_of(f) for f in repeated_windows(contents, window)]
+        return [marks_of(f) for f in _compared(contents, window)]
 
     spans = repeats(keyed, byte_units(window), compare, "suffixes", first_stays=False)
     return keyed.join(spans, ["d", "th"], "left").select("d", "text", "spans")

@@ -59,6 +59,7 @@ class Units:
     longest: int  # windows in one stretch
     load: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # texts -> units of all texts, ends of each
     grams: Callable[[np.ndarray], np.ndarray]
+    blocks: int = 1  # times ``BLOCK_BYTES`` of contents that are compared at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -185,7 +186,7 @@ CONTENTS = "sub long, key long, content long, off int, d long, start int, th lon
 MARKS = "key long, content long, marks array<int>"
 
 
-def _mark_batches(compare):
+def _mark_batches(compare, blocks: int = 1):
     out = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("marks", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def _mark_batches(compare):
 
         for b in slices(batches):
             for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if held and held[-1][0] != row[0] and size >= BLOCK_BYTES:
+                if held and held[-1][0] != row[0] and size >= blocks * BLOCK_BYTES:
                     yield flush()
                     held, size = [], 0
                 if held and held[-1][:4] == row[:4]:
@@ -246,7 +247,7 @@ def repeats(keyed: DataFrame, how: Units, compare, name: str, first_stays: bool)
             cut = stored(cut, f"{name}-cut")
             singles = _single_marks(cut.where("data is null"), name, first_stays)
             cut = cut.where("data is not null")
-        marks = cut.repartition("sub").sortWithinPartitions("sub", "key", "content", "off").mapInArrow(_mark_batches(compare), schema_of(MARKS))
+        marks = cut.repartition("sub").sortWithinPartitions("sub", "key", "content", "off").mapInArrow(_mark_batches(compare, how.blocks), schema_of(MARKS))
         marks = marks if singles is None else marks.union(singles)
         marks = marks.groupBy("key", "content").agg(F.flatten(F.collect_list("marks")).alias("marks"))  # a content's parts
         judged = live.join(marks, ["key", "content"], "left").where("n_occ > 1 or marks is not null").select("key", "content", "n_occ", "first", "n", "marks")

@@ -332,3 +332,25 @@ def test_passing_tables_go_and_kept_ones_stay(spark):
         d = common.stored(spark.range(6), "d")
         raise ValueError
     assert there(d)
+
+
+def test_only_parts_that_may_repeat_reach_a_suffix_array(monkeypatch):
+    rng, how = random.Random(5), suffixes.byte_units(40)
+    texts = ["".join(rng.choices("ab", k=rng.randint(30, 300))).encode() for _ in range(60)]
+    texts += [texts[0][:150] + t[:90] for t in texts[:20]] + [b"x" * 120, b"x" * 90, "é€ñ".encode() * 20]
+    units, ends = how.load(texts)
+    doc, start, n, key = windows.cut_stretches(units, ends, how)
+    groups = {}
+    for d, s, k, h in zip(doc.tolist(), start.tolist(), n.tolist(), key.tolist(), strict=True):
+        groups.setdefault(h, {})[texts[d][s : s + k + 39]] = None
+    contents = [c for g in groups.values() for c in g]
+    seen, whole = [], suffixes.repeated_windows
+    monkeypatch.setattr(suffixes, "repeated_windows", lambda cs, w: seen.append(sum(map(len, cs))) or whole(cs, w))
+    assert [f.tolist() for f in suffixes._compared(contents, 40)] == [f.tolist() for f in whole(contents, 40)]
+    assert seen[0] < sum(map(len, contents))
+
+    pool = np.frombuffer(bytes(rng.choices(range(97, 123), k=20_000)), dtype=np.uint8)
+    low = int(suffixes._byte_grams(pool).argmin())
+    gram, sides = pool[low : low + 16].tobytes(), [bytes(rng.choices(range(97, 123), k=100)) for _ in range(40)]
+    alone = [c for c in (a + gram + b for a, b in zip(sides[::2], sides[1::2], strict=True)) if int(suffixes._byte_grams(np.frombuffer(c, dtype=np.uint8)).argmin()) == 100]
+    assert len(alone) > 1 and not any(f.any() for f in suffixes._compared(alone, 200)) and len(seen) == 1  # no side is another's: nothing to sort
