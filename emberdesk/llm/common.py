@@ -21,9 +21,9 @@ _CALL = threading.local()
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path, most = new_path(spark, name), getattr(_CALL, "most", None)
     with cleaning(spark):
-        df.write.parquet(path)
+        (df.coalesce(most) if most else df).write.parquet(path)
     if getattr(_CALL, "tables", None) is not None:
         _CALL.tables.append((name, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -35,12 +35,12 @@ def passing(spark: SparkSession, keep: tuple[str, ...]) -> Iterator[None]:
 
     What outlives the block may read the kept tables only. Should the block fail, its tables stay.
     """
-    outer, _CALL.tables = getattr(_CALL, "tables", None), []
+    outer, most, _CALL.tables = getattr(_CALL, "tables", None), getattr(_CALL, "most", None), []
     try:
         yield
         own = _CALL.tables
     finally:
-        _CALL.tables = outer
+        _CALL.tables, _CALL.most = outer, most
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for name, path in own:
@@ -51,6 +51,18 @@ def passing(spark: SparkSession, keep: tuple[str, ...]) -> Iterator[None]:
             outer.append((name, path))
 
 
+#: Documents that a task has at least, where tables are written with as many tasks as there is work for.
+TASK_ROWS, LEAST_TASKS = 2_000, 8
+
+
+def spread(rows: int) -> None:
+    """Until the ``passing`` block ends, tables made from so many documents are written by a task for each ``TASK_ROWS`` at most.
+
+    A session with many partitions would write as many files of each small table, however few rows they hold.
+    """
+    _CALL.most = max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

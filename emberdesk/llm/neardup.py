@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import _word_units, rolling
-from .common import batch_of, passing, schema_of, slices, stored, texts
+from .common import LEAST_TASKS, batch_of, passing, schema_of, slices, spread, stored, texts
 from .encode import forget
 from .windows import MIX, NULL_ID, SLICE_BYTES, mixed
 
@@ -180,6 +180,13 @@ def rare_groups(bodies: DataFrame, sids: DataFrame, threshold: float) -> DataFra
 
 #: Rounds of contraction beyond which something is wrong: enough for paths of any table.
 MOST_ROUNDS = 200
+#: Links that one task contracts: few links take few tasks, whatever the number of partitions.
+TASK_LINKS = 200_000
+
+
+def _digest(edges: DataFrame):
+    """The number of links and a sum of their hashes."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -190,15 +197,18 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     with the logarithm of a component's longest path; should they not end, an error is raised.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
-    seen = None
+    seen = _digest(edges)
     for k in range(1, MOST_ROUNDS + 1):
+        if not seen[0]:
+            break
+        tasks = max(LEAST_TASKS, -(-2 * seen[0] // TASK_LINKS))  # a round of few links is not spread over all partitions
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("x", "y")
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(tasks)
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = stored(small, f"{name}-{k}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).union(down.select("u", F.col("m").alias("v")).coalesce(tasks)).where("u != v").distinct()
+        edges = stored(small.coalesce(tasks), f"{name}-{k}")
+        now = _digest(edges)
         if now == seen:
             break
         seen = now
@@ -281,6 +291,7 @@ def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -
     rows = _keyed(docs, id_col, text_col)
     with passing(docs.sparkSession, keep=("near-rows", "near-sets", "near-classes")):
         known = stored(rows.mapInArrow(_signed_batches(REGISTERS, ROWS), schema_of(SIGNED)), "near-rows")
+        spread(known.count())
         # One row of each set, the least, stands for it.
         sets = known.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("d", "th")).alias("r"), F.first("buckets").alias("buckets"))
         sets = stored(sets.select("s1", "s2", F.col("r.d").alias("d"), F.col("r.th").alias("th"), F.xxhash64("s1", "s2").alias("sid"), "buckets"), "near-sets")

@@ -354,3 +354,25 @@ def test_only_parts_that_may_repeat_reach_a_suffix_array(monkeypatch):
     gram, sides = pool[low : low + 16].tobytes(), [bytes(rng.choices(range(97, 123), k=100)) for _ in range(40)]
     alone = [c for c in (a + gram + b for a, b in zip(sides[::2], sides[1::2], strict=True)) if int(suffixes._byte_grams(np.frombuffer(c, dtype=np.uint8)).argmin()) == 100]
     assert len(alone) > 1 and not any(f.any() for f in suffixes._compared(alone, 200)) and len(seen) == 1  # no side is another's: nothing to sort
+
+
+def test_few_links_take_few_tasks_whatever_the_partitions(monkeypatch, spark):
+    from emberdesk.llm import common
+
+    monkeypatch.setattr(common, "_CALL", type("Call", (), {})())
+    links = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
+    before, read = spark.conf.get("spark.sql.shuffle.partitions"), []
+    keep = neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: read.append(keep(df, name)) or read[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.root for r in neardup.components(links).collect()} == {0}
+        with common.passing(spark, keep=("x",)):
+            common.spread(5)
+            assert len(common.stored(spark.range(500).repartition(64, "id"), "x").inputFiles()) <= common.LEAST_TASKS
+        assert len(common.stored(spark.range(500).repartition(64, "id"), "x").inputFiles()) > common.LEAST_TASKS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(len(t.inputFiles()) <= common.LEAST_TASKS for t in read[1:])
