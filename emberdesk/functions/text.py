@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
+#: White space, as ``(?U)\s`` means it.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def without_urls(c: Column) -> Column:
@@ -37,10 +41,16 @@ def joined_length(trimmed: Column, left: Column, link: Column) -> Column:
     return F.when(behind == 0, trimmed).when(trimmed == 0, behind).otherwise(left + 1 + F.length(F.regexp_replace(rest, r"(?U)\s+$", "")))
 
 
+#: What ``clean_headline`` takes out, and a part of each that a text without any of these lacks.
+_MESS = {r"(?U)https?://\S{20,}": "://", r"(?U)bsky\.app/profile/\S+": "bsky.app/profile/", r"(?U)did:(plc|web):\S+": "did:", r"(?U)\bundefined\b": "undefined", r"(?U)#\w+\s*$": "#"}
+
+
 def clean_headline(c: Column) -> Column:
-    for pattern in (r"(?U)https?://\S{20,}", r"(?U)bsky\.app/profile/\S+", r"(?U)did:(plc|web):\S+", r"(?U)\bundefined\b", r"(?U)#\w+\s*$"):
-        c = F.regexp_replace(c, pattern, "")
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    out, messy = c, F.lit(False)
+    for pattern, part in _MESS.items():
+        out, messy = F.regexp_replace(out, pattern, ""), messy | c.contains(part)
+    # Single spaces stay as they are, so only other white space is replaced.
+    return strip(F.regexp_replace(F.when(messy, out).otherwise(c), r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def title_words(c: Column) -> Column:

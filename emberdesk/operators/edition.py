@@ -32,7 +32,7 @@ def items(stories: DataFrame, views: DataFrame, limit: int = 30, spare: int = 10
 def display_headline() -> Column:
     """The chosen headline cleaned, or as it is if nothing is left."""
     raw = F.coalesce(F.nullif("display_headline", F.lit("")), "text")
-    return F.coalesce(F.nullif(T.clean_headline(raw), F.lit("")), raw)
+    return F.get(F.transform(F.array(T.clean_headline(raw)), lambda c: F.coalesce(F.nullif(c, F.lit("")), raw)), 0)  # cleaned once
 
 
 def story_page(members: DataFrame, views: DataFrame) -> DataFrame:

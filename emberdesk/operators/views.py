@@ -31,9 +31,9 @@ def media_kind(e: Column) -> Column:
     return F.when(kind.contains("images") | ((kind == WITH_MEDIA) & media.contains("images")), "image").when(kind.contains("video"), "video")
 
 
-def headline(text: Column, title: Column) -> Column:
-    """The embed's title where it says more than the text."""
-    t = T.strip(text)
+def headline(text: Column, title: Column, trimmed: Column | None = None) -> Column:
+    """The embed's title where it says more than the text; ``trimmed`` is the text without white space around it."""
+    t = T.strip(text) if trimmed is None else trimmed
     linkish = t.contains("http") | t.contains("www.") | t.contains(".com/") | t.contains(".org/")
     opens = [t.startswith(x) for x in ("- ", '"...', "“...", "...", "♫", "♪", "http", "www.")]
     stub = (F.length(t) < 60) | opens[0] | opens[1] | opens[2] | opens[3] | opens[4] | opens[5] | opens[6] | opens[7] | (linkish & (F.length(t) < 140))
@@ -45,8 +45,9 @@ def shown(views: DataFrame) -> DataFrame:
     e = F.col("embed")
     v = views.where(~F.exists(F.coalesce("author.labels", F.array().cast("array<struct<val:string>>")), lambda x: x["val"] == "!no-unauthenticated"))
     v = v.withColumn("link", embed_link(e)).withColumn("text", F.coalesce("record.text", F.lit("")))
+    v = v.withColumn("trimmed", T.strip(F.col("text")))  # read many times
     return v.select(
         "uri", U.web_url(F.col("uri")).alias("web_url"), F.col("author.did").alias("author_did"), F.col("author.handle").alias("author_handle"), F.coalesce("author.displayName", "author.handle").alias("author_display_name"), "text",
-        headline(F.col("text"), F.col("link.title")).alias("display_headline"), F.col("record.createdAt").alias("created_at"), F.col("link.uri").alias("external_uri"), F.col("link.title").alias("external_title"), media_kind(e).alias("media_type"),
+        headline(F.col("text"), F.col("link.title"), F.col("trimmed")).alias("display_headline"), F.col("record.createdAt").alias("created_at"), F.col("link.uri").alias("external_uri"), F.col("link.title").alias("external_title"), media_kind(e).alias("media_type"),
         F.coalesce("likeCount", F.lit(0)).alias("like_count"), F.coalesce("replyCount", F.lit(0)).alias("reply_count"), F.coalesce("repostCount", F.lit(0)).alias("repost_count"), F.col("record.langs").alias("langs"),
     )

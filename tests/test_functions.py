@@ -23,6 +23,15 @@ def test_strip_urls(spark):
     assert each(spark, values, T.strip_urls) == ["look at  now", "and text", "plain words", "see", ""]
 
 
+def test_trimming_takes_every_white_space_there_is(spark):
+    c = F.col("value")
+    rows = spark.range(0x20, 0x30000).union(spark.range(0, 0x20)).where("id not between 55296 and 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') as ch")
+    rows = rows.select(F.concat("ch", F.lit(" a "), "ch", F.lit("b"), "ch", F.lit("\t"), "ch").alias("value"))
+    assert rows.where(T.strip(c) != F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).count() == 0 and rows.where("value like 'A a Ab%'").count() == 1
+    plain = F.regexp_replace(c, r"(?U)\s+", " ")
+    assert rows.where(T.clean_headline(c) != F.regexp_replace(F.regexp_replace(plain, r"(?U)#\w+\s*$", ""), r"(?U)^\s+|\s+$", "")).count() == 0
+
+
 def test_canonical_links(spark):
     cases = {
         "https://www.Example.com/a?utm_source=x&id=7#top": "https://example.com/a?id=7",

@@ -3,10 +3,13 @@
 from contextlib import contextmanager
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberdesk.functions import score as S
+from emberdesk.operators import edition, views
+from emberdesk.plans import queries as Q
 from emberdesk.plans.queries import Feed
-from emberdesk.sources import fixtures
+from emberdesk.sources import fixtures, served
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +81,39 @@ def test_lengths_from_a_document_are_those_of_the_whole_text(spark, tmp_path):
     want = S.measured(fixtures.posts(spark, str(tmp_path))).select("uri", "text_len", "stripped_len")
     got = fixtures.measured(spark, str(tmp_path)).select("uri", "text_len", "stripped_len")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.select("stripped_len").distinct().count() > 12
+
+
+def test_lookups_shuffle_keys_alone(spark):
+    with sort_merge_only(spark):
+        found = exchanged(Q.REGISTRY["looked_up_views"][0](spark, SF))
+    assert found and not [c for c in found if c & {"answer", "request", "text", "body", "view"}]
+
+
+def test_a_store_of_views_answers_as_the_views_do(spark, tmp_path, monkeypatch):
+    bodies = ["plain “quoted” \\ text\n\twith  ünïcode 🙂", None, "", "  see http://a.b/c  ", 'a "b" #tag ', " wide　"]
+    spark.createDataFrame([(i * 3, b, "en", f"s{i}") for i, b in enumerate(bodies)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")  # with gaps
+    spark.createDataFrame([(0, "https://p.org/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = spark.range(600).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 97 as user_id", "element_at(array('click', 'view', 'error', 'purchase', 'signup'), cast(id % 7 % 5 + 1 as int)) as event_type")
+    rows.union(rows.where("event_id < 50").withColumn("event_type", F.lit("view"))).union(rows.where("event_id = 1")).write.parquet(f"{tmp_path}/events.parquet")  # uris with several posts
+    monkeypatch.setattr(served, "BUCKET_VIEWS", 100)
+    shown = views.shown(fixtures.post_views(fixtures.posts(spark, str(tmp_path))))
+    want = shown.select("uri", F.col("external_title").alias("title"), edition.display_headline().alias("headline"), "author_handle", "like_count").collect()
+    got = Q.REGISTRY["looked_up_views"][0](spark, str(tmp_path)).collect()
+    assert len(want) > 500 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_store_holds_each_text_once_in_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(served, "BUCKET_TEXTS", 50)
+    store = served.written(spark, SF, str(tmp_path))
+    texts = spark.read.parquet(f"{tmp_path}/texts")
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    assert store.buckets == 4 and texts.groupBy("b").count().where("count > 50").count() == 0
+    assert sorted(map(tuple, texts.select("doc", "body").collect())) == sorted(map(tuple, documents.select("doc_id", "text").collect()))
+    uris = [r.uri for r in fixtures.posts(spark, SF).select("uri").limit(300).collect()]
+    opened = []
+    real = store._rows
+    monkeypatch.setattr(store, "_rows", lambda kind, b: opened.append((kind, b)) or real(kind, b))
+    ordered = [r.uri for r in spark.createDataFrame([(u,) for u in uris], "uri string").orderBy(*store.places(F.col("uri"))).collect()]
+    for k in range(0, 300, 25):
+        store(ordered[k : k + 25])
+    assert sorted(opened) == [(kind, b) for kind in ("texts", "views") for b in range(4)]
