@@ -56,6 +56,21 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEAN, before)
 
 
+#: Spark's setting of how many files a task keeps open, to write rows to their folders as they come and not sorted by these.
+OPEN = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def split_as_written(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Within this block a write by columns sorts nothing, if a task has rows for no more than ``folders`` of their values."""
+    before = spark.conf.get(OPEN)
+    spark.conf.set(OPEN, str(folders))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here.
 

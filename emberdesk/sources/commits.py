@@ -15,8 +15,8 @@ WIRE = (
 POST, REPOST = "app.bsky.feed.post", "app.bsky.feed.repost"
 
 
-def frames(posts: DataFrame) -> DataFrame:
-    """One create event as a JSON line for each post: the inverse of ``parsed`` for tests and streams."""
+def frames(posts: DataFrame, *beside: str) -> DataFrame:
+    """One create event as a JSON line for each post, and columns ``beside`` it: the inverse of ``parsed`` for tests and streams."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', created_at)")
     created = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     link, quote, kind = F.struct(F.col("external_uri").alias("uri")), F.struct(F.col("quote_uri").alias("uri")), F.col("event_id") % 3
@@ -28,12 +28,13 @@ def frames(posts: DataFrame) -> DataFrame:
     facets = F.transform(F.sequence(F.lit(1), F.col("facets_count")), lambda k: F.struct(F.array(F.struct(F.when(k <= F.col("link_count"), "app.bsky.richtext.facet#link").otherwise("app.bsky.richtext.facet#tag").alias("$type"))).alias("features")))
     record = F.struct("text", created.alias("createdAt"), F.array("lang").alias("langs"), F.when(F.col("reply_to_uri").isNotNull(), F.struct(F.struct(F.col("reply_to_uri").alias("uri")).alias("parent"), F.struct(F.col("root_uri").alias("uri")).alias("root"))).alias("reply"), embed.alias("embed"), F.when(F.col("facets_count") > 0, facets).alias("facets"))
     commit = F.struct(F.lit("create").alias("operation"), F.when(F.col("is_repost"), REPOST).otherwise(POST).alias("collection"), F.col("event_id").cast("string").alias("rkey"), F.lit("c").alias("cid"), record.alias("record"))
-    return posts.select(F.to_json(F.struct(F.lit("commit").alias("kind"), F.col("author_did").alias("did"), micros.alias("time_us"), commit.alias("commit"))).alias("value"))
+    return posts.select(*beside, F.to_json(F.struct(F.lit("commit").alias("kind"), F.col("author_did").alias("did"), micros.alias("time_us"), commit.alias("commit"))).alias("value"))
 
 
 def parsed(lines: DataFrame, now: datetime | None = None) -> DataFrame:
     """Flat posts, and deletes as tombstones, from JSON lines; what can't be read or isn't a post is left out."""
-    js = lines.select(F.from_json("value", WIRE).alias("j")).where("j.kind = 'commit'").select("j.*", "j.commit.*").select("did", "time_us", "operation", "collection", "rkey", "cid", "record.*", F.col("record").isNotNull().alias("has_record"))
+    once = F.explode(F.array(F.from_json("value", WIRE))).alias("j")  # conditions stay behind it: each would parse the line again
+    js = lines.select(once).where("j.kind = 'commit'").select("j.*", "j.commit.*").select("did", "time_us", "operation", "collection", "rkey", "cid", "record.*", F.col("record").isNotNull().alias("has_record"))
     keep = (F.col("operation") == "delete") | (F.col("operation").isin("create", "update") & F.col("collection").isin(POST, REPOST))
     blank = lambda c: F.nullif(c, F.lit(""))
     repost = F.col("collection") == REPOST

@@ -6,6 +6,7 @@ Files are read where the tasks run, by any path that Arrow's file systems know (
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,22 @@ def landed_files(path: str) -> list[str]:
     return sorted(f.base_name for f in found if f.is_file and not f.base_name.startswith((".", "_")))
 
 
+def land(spark: SparkSession, folders: list[str], path: str) -> None:
+    """Move the files of ``folders`` into ``path``, those of one folder before the next one's: names and times tell that order."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs, now = to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), int(time.time() * 1000)
+    fs.mkdirs(to(path))
+    for k, folder in enumerate(folders):
+        if not fs.exists(to(folder)):
+            continue  # a folder without rows
+        for f in fs.listStatus(to(folder)):
+            name = f.getPath().getName()
+            if f.isFile() and not name.startswith((".", "_")):
+                if not fs.rename(f.getPath(), to(f"{path}/{k:03}-{name}")):
+                    raise OSError(f"{f.getPath()} can't be moved to {path}")
+                fs.setTimes(to(f"{path}/{k:03}-{name}"), now - 1000 * (len(folders) - k), -1)
+
+
 class FramePart(InputPartition):
     """One landed file."""
 

@@ -1,10 +1,14 @@
 import json
+import random
 import time
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from emberdesk.plans import queries as Q
 from emberdesk.sources import landed
+from emberdesk.sources.commits import parsed
 from emberdesk.streaming import ingest
 
 NOW = {"availableNow": True}
@@ -170,3 +174,52 @@ def test_a_table_keeps_the_columns_that_are_asked_for(spark, tmp_path):
     assert [(k, t) for k, t in held(spark, tmp_path)] == [("0", None), ("3", None)]
     stored = spark.read.parquet(str(tmp_path / "posts"))
     assert "text" not in stored.columns and {"uri", "op", "author_did", "external_domain"} < set(stored.columns)
+
+
+def test_state_equals_a_plain_loop_and_is_kept_without_python(spark, tmp_path):
+    rng, what, batches, want = random.Random(3), {}, [], []
+    for _ in range(5):
+        batches.append([(rng.randrange(14), rng.choice(["create", "create", "delete"])) for _ in range(rng.randrange(1, 25))])
+        done = [0, 0]
+        for key, op in batches[-1]:
+            if op == "delete" and what.get(key) != "gone":
+                what[key] = "gone"
+                done[1] += 1
+            elif op == "create" and key not in what:
+                what[key] = "held"
+                done[0] += 1
+        want.append(tuple(done))
+    land(tmp_path / "in", *[[frame(key, op) for key, op in b] for b in batches])
+    graph = spark.createDataFrame([("d",)], "author_did string")
+    q = ingest.start(ingest.read_frames(spark, str(tmp_path / "in"), 1), graph, str(tmp_path / "posts"), str(tmp_path / "c"), NOW)
+    q.awaitTermination()
+    assert [s.operatorName for s in q.lastProgress.stateOperators] == ["dedupe"]
+    assert [(r.inserted, r.deleted) for r in ingest.counters(spark, str(tmp_path / "posts")).orderBy("batch_id").collect()] == want
+    assert [k for k, _ in held(spark, tmp_path)] == sorted(str(k) for k, w in what.items() if w == "held")
+
+
+def test_a_line_is_parsed_once(spark):
+    plan = parsed(spark.read.text(__file__)).select("uri", "op")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_folders_land_one_after_the_other(spark, tmp_path):
+    for n in (2, 0, 1):
+        folder = tmp_path / "spans" / f"span={n}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text(f"{n}\n")
+        (folder / ".part-0.txt.crc").write_bytes(b"")
+    landed.land(spark, [f"file://{tmp_path}/spans/span={n}" for n in (1, 3, 2, 0)], f"file://{tmp_path}/in")
+    found = sorted((tmp_path / "in").glob("*part-*.txt"), key=lambda p: p.stat().st_mtime)
+    assert [p.read_text() for p in found] == ["1\n", "2\n", "0\n"] and [p.name for p in found] == landed.landed_files(f"{tmp_path}/in")
+
+
+def test_frames_of_all_spans_are_written_once_without_a_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "new_path", lambda s, name: f"file://{tmp_path}/{name}")
+    written = []
+    real = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path, *a, **k: written.append(path) or real(self, path, *a, **k))
+    rows = Q.REGISTRY["stream_equals_batch"][0](spark, "/root/testdata/sf0.001")
+    assert len(written) == 1 and rows.count() > 500
+    spans = {n[:3] for n in landed.landed_files(f"{tmp_path}/stream/in")}
+    assert len(spans) == 9 and ingest.counters(spark, f"file://{tmp_path}/stream/posts").count() > 1
